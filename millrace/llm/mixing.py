@@ -39,8 +39,9 @@ def size_class(size: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """(source, source_size) to (source, source_size, target): shares by weight of 100 %, none over its cap.
 
-    Filling up by weight is one sort: a source is capped iff its weight's share of what the sources with a lower
-    cap per weight leave exceeds its cap. One row per source goes in, so these windows see the sources only.
+    Filling up by weight is one sort by cap per weight: were exactly the sources before one capped, the others would share the
+    rest at some level per weight; capping a source that is over its cap raises that level, capping one that isn't lowers
+    it, so the level is the highest of these. One row per source goes in, so these windows see the sources only.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
@@ -55,7 +56,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
         "_left": F.sum("_w").over(rest),
     })
     out = out.withColumn("_level", (F.col("_total") - F.col("_done")) / F.col("_left"))
-    level = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(everything)
+    level = F.max("_level").over(everything)
     return out.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(level, F.lit(0.0)) * F.col("_w")).alias("target"))
 
 

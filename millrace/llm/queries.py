@@ -117,7 +117,7 @@ named AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) %
 room AS (SELECT *, (SELECT sum(source_size) FROM sums)::DOUBLE AS total,
          coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS done,
          sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM named),
-level AS (SELECT min((total - done) / rest) AS level FROM room WHERE (total - done) / rest * w <= cap),
+level AS (SELECT max((total - done) / rest) AS level FROM room),
 goal AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM level), 0.0::DOUBLE) * w) AS target FROM room),
 placed AS (SELECT *, md5(coalesce(doc_id::VARCHAR, 'null') || ':7') AS h, CASE WHEN size < 8 THEN size ELSE length(bin(size)) * 4 + floor(size / pow(2.0, length(bin(size)) - 3))::BIGINT % 4 END AS class FROM d),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, h, size) AS k FROM placed),
@@ -130,7 +130,7 @@ b AS (SELECT item_id, w, least({decontam.WINDOW}, len(w)) AS k FROM (SELECT item
 windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b WHERE k > 0)),
 spots AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS i FROM d, (SELECT DISTINCT k FROM windows))),
 hits AS (SELECT doc_id, spots.k, i, item_id FROM spots JOIN windows ON spots.k = windows.k AND spots.s = windows.s),
-covered AS (SELECT doc_id, count(DISTINCT at)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS at FROM hits) GROUP BY doc_id),
+covered AS (SELECT doc_id, count(DISTINCT j)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hits) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
