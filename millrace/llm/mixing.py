@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling.
 
 Within a source the documents stand in a fixed order (size class, hash, id); the expected copies of each are summed
-up along it, one random offset per source is added, and a document is emitted once per integer that its interval
+up along it, one random offset per source is added (the nearest of TRIES draws), and a document is emitted once per integer that its interval
 crosses. Ordering by size class keeps the words taken close to the target.
 
 The running sums come from three small sums, so no task holds a source: rows within a chunk, chunks within a
@@ -18,7 +18,9 @@ from millrace.llm.common import BROADCAST_ROWS, scratch
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-CHUNK = 20_000
+CHUNK = 4_000
+#: Random offsets that are tried for each source; the one whose words taken come nearest to the target is added.
+TRIES = 16
 
 
 def word_count(text: Column) -> Column:
@@ -94,13 +96,25 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     starts = starts.join(goal.select(F.col("source").alias("_g"), "source_size", "target", "_rate"), F.col("_source").eqNullSafe(F.col("_g")))
     starts = starts.select(F.col("_source").alias("_s"), F.col("_class").alias("_c"), F.col("_piece").alias("_p"), (F.col("_before_class") + F.col("_before_piece")).alias("_start"), "source_size", "target", "_rate")
     starts = scratch(starts, "mix-starts")
-    rows = placed(sized, doc_id, source) if keep else placed(narrow, "doc_id", "source")
-    order = Window.partitionBy(*chunk).orderBy("_h", "size")
-    ranked = rows.withColumn("_rank", F.row_number().over(order))
-    side = F.broadcast(starts) if starts.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4 else starts
-    out = ranked.join(side, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")) & (F.col("_piece") == F.col("_p")))
-    offset = unit(F.concat(F.coalesce(F.col("_source"), F.lit("null")), F.lit(f":offset:{seed}")))
-    k = F.col("_start") + F.col("_rank")
-    copies = F.floor(k * F.col("_rate") + offset) - F.floor((k - 1) * F.col("_rate") + offset)
+    few = starts.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy(*chunk).orderBy("_h", "size")
+        at = rows.withColumn("_rank", F.row_number().over(order))
+        out = at.join(F.broadcast(starts) if few else starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")) & (F.col("_piece") == F.col("_p")))
+        return out.withColumn("_k", F.col("_start") + F.col("_rank"))
+
+    def copies(offset: Column) -> Column:
+        return F.floor(F.col("_k") * F.col("_rate") + offset) - F.floor((F.col("_k") - 1) * F.col("_rate") + offset)
+
+    draw = [unit(F.concat(F.coalesce(F.col("_source"), F.lit("null")), F.lit(f":offset:{j}:{seed}"))) for j in range(TRIES)]
+    order = scratch(ranked(placed(narrow, "doc_id", "source")).drop("_h", "_s", "_c", "_p"), "mix-ranked")
+    tried = order.groupBy("_source").agg(F.first("target").alias("_t"), *[F.sum(F.least(copies(u), F.lit(max_copies)) * F.col("size")).alias(f"_w{j}") for j, u in enumerate(draw)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_w{j}") - F.col("_t")).alias("d"), F.lit(j).alias("j"), u.alias("u")) for j, u in enumerate(draw)]))
+    offsets = scratch(tried.select(F.col("_source").alias("_o"), nearest.getField("u").alias("_offset")), "mix-offsets")
+    out = ranked(placed(sized, doc_id, source)) if keep else order
+    side = F.broadcast(offsets) if offsets.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4 else offsets
+    out = out.join(side, F.col("_source").eqNullSafe(F.col("_o")))
+    copies = copies(F.col("_offset"))
     out = out.withColumn("copies", F.least(copies, F.lit(max_copies)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*([c for c in docs.columns if c not in MADE] if keep else ["doc_id", "source"]), *MADE)

@@ -121,9 +121,12 @@ level AS (SELECT max((total - done) / rest) AS level FROM room),
 goal AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM level), 0.0::DOUBLE) * w) AS target FROM room),
 placed AS (SELECT *, md5(coalesce(doc_id::VARCHAR, 'null') || ':7') AS h, CASE WHEN size < 8 THEN size ELSE length(bin(size)) * 4 + floor(size / pow(2.0, length(bin(size)) - 3))::BIGINT % 4 END AS class FROM d),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, h, size) AS k FROM placed),
-paid AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate, ('0x' || substr(md5(coalesce(r.source, 'null') || ':offset:7'), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
-         FROM ranked r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, (least(floor(k * rate + u) - floor((k - 1) * rate + u), 3)::BIGINT * size)::BIGINT AS taken FROM paid"""
+paid AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate
+         FROM ranked r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source),
+draws AS (SELECT source, j, ('0x' || substr(md5(coalesce(source, 'null') || ':offset:' || j || ':7'), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM sums, range({mixing.TRIES}) t(j)),
+tried AS (SELECT p.source, j, u, abs(sum(least(floor(k * rate + u) - floor((k - 1) * rate + u), 3)::BIGINT * size)::BIGINT - any_value(target)) AS d FROM paid p JOIN draws ON p.source IS NOT DISTINCT FROM draws.source GROUP BY ALL),
+chosen AS (SELECT source, u FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY d, j) = 1)
+SELECT doc_id, size, source_size, target, (least(floor(k * rate + u) - floor((k - 1) * rate + u), 3)::BIGINT * size)::BIGINT AS taken FROM paid JOIN chosen ON paid.source IS NOT DISTINCT FROM chosen.source"""
 
 _OP5_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, {_PLAIN}) AS w FROM documents),
 b AS (SELECT item_id, w, least({decontam.WINDOW}, len(w)) AS k FROM (SELECT item_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, {_PLAIN}) AS w FROM benchmark)),
