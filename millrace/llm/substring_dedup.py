@@ -22,11 +22,11 @@ from millrace.llm.common import Rolling, bounded_batches, canonical, mix, scratc
 
 WINDOW = 50
 DEPTH = 2
-#: Cells in a row of the sketch: a power of two, about CELLS_PER_WINDOW a window, at most MAX_CELLS (64 MB of bits a row).
-CELLS_PER_WINDOW, MAX_CELLS = 3, 1 << 29
+#: Cells in a row of the sketch: a power of two, about CELLS_PER_WINDOW a window, at most MAX_CELLS (32 MB of bits a row).
+CELLS_PER_WINDOW, MAX_CELLS = 3, 1 << 28
 PIECE = 1 << 22
-#: Windows that a task holds before it sends what it has.
-HOLD = 4_000_000
+#: Windows, and candidates, that a task holds before it sends what it has.
+HOLD, HOLD_CANDIDATES = 3_000_000, 600_000
 ROUTE = 8
 
 _FIRST, _SECOND = Rolling(501), Rolling(502)
@@ -183,7 +183,7 @@ def candidates(k: int, buckets: int, sketch):
                     n += len(own)
                 ids.append(i64[first : first + len(block)])
                 signs.append(s64[first : first + len(block)])
-                if n >= HOLD // 2:
+                if n >= HOLD_CANDIDATES:
                     yield sent(held, np.concatenate(ids), np.concatenate(signs))
                     held, ids, signs, n = [], [], [], 0
         if n:
