@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast up to so many rows (a few dozen bytes each) and shuffled beyond.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that one numpy pass holds at a time; a longer document is a pass of its own.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 
 BATCH_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",

@@ -26,7 +26,7 @@ DEPTH = 2
 CELLS_PER_WINDOW, MAX_CELLS = 3, 1 << 28
 PIECE = 1 << 22
 #: Windows, and candidates, that a task holds before it sends what it has.
-HOLD, HOLD_CANDIDATES = 3_000_000, 600_000
+HOLD, HOLD_CANDIDATES = 2_000_000, 500_000
 ROUTE = 8
 
 _FIRST, _SECOND = Rolling(501), Rolling(502)
@@ -319,6 +319,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     settled = sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(settle, SETTLED)
     found = settled.groupBy("id", "sign").agg(F.collect_list("runs").alias("_runs")).withColumnsRenamed({"id": "_id", "sign": "_sign"})
     found = scratch(found, "repeats")
+    sketch.unpersist()  # and so the workers drop theirs
     small = found.agg(F.sum(F.size("_runs"))).first()[0] or 0
     side = F.broadcast(found) if small <= 50_000 else found
     out = docs.join(side, (F.col(doc_id).cast("long") == F.col("_id")) & (sign == F.col("_sign")), "left")
