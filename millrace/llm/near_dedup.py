@@ -6,8 +6,8 @@ fills, and coordinates agree with the sets' Jaccard similarity in expectation, c
 
 Plan: (1) documents of equal word sequences form a class, and only its smallest id goes on; (2) band keys of BANDS x ROWS
 coordinates make buckets; (3) a bucket's members are first tried against its centre, the member with most company, which
-settles copies in rows that grow with the group, not with its square; (4) then members that aren't yet tied to
-the same centre are compared by sketch inside the bucket's task, in blocks of at most BLOCK members, so that a bucket
+settles copies in rows that grow with the group, not with its square; (4) then members that aren't yet in
+the same component are compared by sketch inside the bucket's task, in blocks of at most BLOCK members, so that a bucket
 of any size is done whole, and only pairs whose sketches come within MARGIN deviations of the threshold leave it; (5) each
 candidate pair is confirmed on full shingle sets; (6) components by alternating stars.
 """
@@ -69,11 +69,12 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def band_keys(coordinates: np.ndarray) -> np.ndarray:
-    rows = coordinates[: BANDS * ROWS].reshape(BANDS, ROWS)
-    key = _SEEDS[:BANDS].copy()
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """A key per band out of the ROWS low bytes that the sketches keep, so that equal bytes mean one bucket."""
+    rows = low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    key = np.arange(BANDS, dtype=np.uint64)
     for j in range(ROWS):
-        key = mix(key ^ rows[:, j])
+        key = key << np.uint64(8) | rows[:, j]
     return key.view(np.int64)
 
 
@@ -88,8 +89,8 @@ def sign(texts: pd.Series) -> pd.DataFrame:
     for _, block in text_blocks([canonical(t).lower() for t in texts]):
         for t, items in zip(block, shingle_sets(block), strict=True):
             if len(items):
-                full = sketch(items)
-                rows.append((len(items), xxh3_128_digest(t), (full & np.uint64(255)).astype(np.uint8).tobytes(), band_keys(full)))
+                low = (sketch(items) & np.uint64(255)).astype(np.uint8)
+                rows.append((len(items), xxh3_128_digest(t), low.tobytes(), band_keys(low)))
             else:
                 rows.append((0, None, None, None))
     return pd.DataFrame(rows, columns=["n_shingles", "class", "sketch", "bands"])
@@ -131,7 +132,7 @@ def full_sets(texts: pd.Series) -> pd.Series:
 
 
 def bucket_pairs(least: int):
-    """Pairs of members of one bucket block whose labels differ and whose sketches agree often enough.
+    """Pairs of members of one bucket block whose labels differ and whose sketches agree often enough, in the first band they share.
 
     The rows come sorted by (bucket, block); side 0 or 1 tells the two halves of a pair of blocks, 2 a block with itself.
     """
@@ -164,8 +165,14 @@ def bucket_pairs(least: int):
             for lo in range(0, len(i), 50_000):
                 a, b = i[lo : lo + 50_000], j[lo : lo + 50_000]
                 near = agree(sketches[a], sketches[b]) >= least
-                if near.any():
-                    yield pd.DataFrame({"a": np.minimum(ids[a], ids[b])[near], "b": np.maximum(ids[a], ids[b])[near]})
+                a, b = a[near], b[near]
+                if len(a):
+                    # of the bands that the pair shares, only the first sends it
+                    same = (sketches[a, : BANDS * ROWS] == sketches[b, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+                    first = same.argmax(axis=1) == key[a, 0] >> (8 * ROWS)
+                    a, b = a[first], b[first]
+                if len(a):
+                    yield pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
 
     return pairs
 
@@ -231,7 +238,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return scratch(both.where(confirm("_a", "_b")).select("a", "b"), label)
 
     stars = proved(tried, "near-stars")
-    label = stars.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "id")
+    label = scratch(components(stars), "near-labels").withColumnRenamed("component", "label")
     tied = members.join(label, "id", "left").select("bucket", "id", "m", F.coalesce("label", "id").alias("label"))
     split = tied.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("_open")).where("_open").select("bucket")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -239,7 +246,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_ = open_.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).join(own, "id")
     open_ = open_.select("bucket", F.least("_own", "_other").cast("long").alias("x"), F.greatest("_own", "_other").cast("long").alias("y"), F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1).alias("side"), "id", "label", "sketch")
     open_ = open_.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    rest = open_.mapInPandas(bucket_pairs(least), "a long, b long").distinct()
+    rest = open_.mapInPandas(bucket_pairs(least), "a long, b long")
     links = stars.unionByName(proved(rest, "near-rest"))
     groups = scratch(components(links), "near-groups")
     joined = base.select("id", "n_shingles", "class").join(classes, "class", "left").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
