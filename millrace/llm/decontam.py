@@ -168,6 +168,8 @@ def leaks(texts: list[str | None], phrases: Phrases) -> pd.DataFrame:
             for k, (patterns, holders) in phrases.by_length.items():
                 lo, hi = index.search(patterns)
                 hit = np.flatnonzero(hi > lo)
+                if not len(hit):
+                    continue
                 n = hi[hit] - lo[hit]
                 rows = np.repeat(lo[hit], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 word = place[index.locate(rows)]
