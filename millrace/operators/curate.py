@@ -1,0 +1,118 @@
+"""Curation: classify, flag, gate, split, sample, deduplicate exactly."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import text as T
+
+
+def classify(text: Column, hard: str, low: str, risky: str) -> Column:
+    """Ordered: hard reject, low quality, quarantine for risky spans, accept; struct(state, reason)."""
+    pick = lambda state, reason: F.struct(F.lit(state).alias("state"), F.lit(reason).alias("reason"))
+    t = F.coalesce(text, F.lit(""))
+    return F.when(t.rlike(hard), pick("reject", "hard_reject")).when(t.rlike(low), pick("reject", "low_quality")).when(t.rlike(risky), pick("quarantine", "risky_spans")).otherwise(pick("accept", "clean"))
+
+
+def flags(text: Column, patterns: dict[str, str]) -> Column:
+    """Names of the patterns that match, in their order."""
+    t = F.coalesce(text, F.lit(""))
+    return F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(name)) for name, p in patterns.items()]))
+
+
+def status(tokens: Column, removed: Column, hard: Column, least: int = 80, most: int = 12) -> Column:
+    return F.when(tokens < least, "quarantine").when(removed > most, "quarantine").when((removed > 0) | hard, "accepted_stripped").otherwise("accepted")
+
+
+def share_of_total(df: DataFrame, key: str, amount: Column) -> DataFrame:
+    """(key, n, amount, share): the total is a sum over the groups, one row per key."""
+    groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("amount"))
+    total = groups.agg(F.sum("amount").alias("_total"))
+    return groups.join(F.broadcast(total), F.lit(True)).select(key, "n", "amount", F.round(F.col("amount") / F.col("_total"), 6).alias("share"))
+
+
+def exact_duplicates(df: DataFrame, text: str) -> DataFrame:
+    """Hashes that occur more than once, with their surplus."""
+    return df.groupBy(F.sha2(text, 256).alias("content_hash")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").withColumn("surplus", F.col("copies") - 1)
+
+
+def first_wins(df: DataFrame, key: Column, order: str) -> DataFrame:
+    """Every row with `duplicate`: true for all but the first of its key; the first is a sum per key, so hot keys don't gather."""
+    keyed = df.withColumn("_key", key)
+    first = keyed.groupBy("_key").agg(F.min(order).alias("_first"))
+    return keyed.join(first, "_key", "left").withColumn("duplicate", F.col(order) != F.col("_first")).drop("_key", "_first")
+
+
+def hash_rank_split(df: DataFrame, key: str, train: float = 0.70, dev: float = 0.15) -> DataFrame:
+    """(key, split) of the distinct keys ranked by hash: the first share trains, the next is dev, the rest test, each at least one."""
+    ids = df.select(key).where(F.col(key).isNotNull()).distinct()
+    n = ids.count()
+    first = max(1, min(round(n * train), n - 2)) if n > 2 else max(n - 1, 1)
+    second = first + max(1, min(round(n * dev), n - first - 1)) if n > 2 else n
+    rank = F.row_number().over(Window.orderBy(F.sha2(F.col(key).cast("string"), 256), key))
+    return ids.withColumn("rank", rank).select(key, F.when(F.col("rank") <= first, "train").when(F.col("rank") <= second, "dev").otherwise("test").alias("split"))
+
+
+def stratified_sample(df: DataFrame, strata: list[str], key: str, share: float = 0.4, seed: int = 76044) -> DataFrame:
+    """Per stratum the first max(1, ceil-like(share * n)) rows by hash of the key."""
+    w = Window.partitionBy(*strata)
+    ranked = df.withColumns({"_n": F.count(F.lit(1)).over(w), "_r": F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key))})
+    return ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share + 0.999))).drop("_n", "_r")
+
+
+def balance_caps(df: DataFrame, groups: dict[str, int], order: str, most: int) -> DataFrame:
+    """Greedy choice in order under a cap per value of each column, `most` rows in all.
+
+    Rows beyond the smallest cap of their combination can't be chosen, so a ranked prefix of each combination remains; those
+    few (combinations x cap) are chosen in one ordered pass.
+    """
+    cap = min([*groups.values(), most])
+    w = Window.partitionBy(*groups).orderBy(order)
+    few = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r").orderBy(order)
+    seen: dict[tuple[str, object], int] = {}
+    chosen = []
+    for row in few.select(order, *groups).toLocalIterator():
+        if len(chosen) == most:
+            break
+        keys = [(c, row[c]) for c in groups]
+        if all(seen.get(k, 0) < groups[k[0]] for k in keys):
+            chosen.append(row[order])
+            for k in keys:
+                seen[k] = seen.get(k, 0) + 1
+    return df.where(F.col(order).isin(chosen)) if chosen else df.limit(0)
+
+
+def repeated_values(df: DataFrame, value: Column, cap: int) -> DataFrame:
+    """Values above the cap: (value, n), a repetition gate."""
+    return df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
+
+
+def leaked_keys(df: DataFrame, key: Column, split: str) -> DataFrame:
+    """Keys that stand in more than one split."""
+    return df.groupBy(key.alias("key")).agg(F.array_join(F.array_sort(F.collect_set(split)), ",").alias("splits"), F.count_distinct(split).alias("n_splits")).where("n_splits > 1")
+
+
+def missing_values(df: DataFrame, column: str, required: list[str]) -> DataFrame:
+    spark = df.sparkSession
+    return spark.createDataFrame([(x,) for x in required], f"{column} string").join(df.select(column).distinct(), column, "left_anti")
+
+
+def required_gate(df: DataFrame, entity: str, columns: list[str]) -> DataFrame:
+    """A row (entity_id, code) per missing field."""
+    codes = F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), F.lit(f"missing:{c}")) for c in columns]))
+    return df.select(F.col(entity).alias("entity_id"), F.explode(codes).alias("code"))
+
+
+def table_checksum(df: DataFrame, text: str) -> DataFrame:
+    """An order-free checksum: row count and sums of 32-bit pieces of the rows' hashes, each a partial sum."""
+    h = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    piece = lambda i: F.sum(F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long"))
+    return df.agg(F.count(F.lit(1)).alias("n"), piece(0).alias("a"), piece(1).alias("b"))
+
+
+def chunked(df: DataFrame, key: str, text: str, size: int = 750, overlap: int = 75, least: int = 80) -> DataFrame:
+    """(key, chunk, start, n_words, content_hash, text): chunks numbered over those that are emitted."""
+    out = df.select(key, F.posexplode(T.chunks(F.col(text), size, overlap, least)).alias("chunk", "c"))
+    body = F.array_join("c.words", " ")
+    return out.select(key, F.col("chunk").cast("long").alias("chunk"), F.col("c.start").cast("long").alias("start"), F.size("c.words").cast("long").alias("n_words"), F.sha2(body, 256).alias("content_hash"), body.alias("text"))

@@ -1,6 +1,333 @@
-"""The registered queries on the engine's own operators, with their SQL equivalents."""
+"""The registered queries on the engine's own operators, with their SQL equivalents.
+
+The driver's corpus is invented prose, so the pattern packs here are neutral stand-ins; they are parameters everywhere.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import text as T
+from millrace.operators import curate as C
+from millrace.operators import evaluate as E
+from millrace.operators import retrieve as R
+
+RISKY, HARD, LOW, NEGATION = "password=|AKIA[0-9A-Z]+", "worthless|pathetic", "%%%|!! ", "the|der|les?|los"
+PACK = {"secret": RISKY, "hostile": HARD, "shouting": "!! ", "symbols": "%%%|###", "mojibake": "[ÃÂ�]", "table": r" \| "}
+BOILERPLATE = "^(?:All rights reserved|Licensed under)"
+REQUIRED = ["src0", "src7", "src19", "src20", "src99"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?।])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')"
+_STRIPPED = f"SELECT doc_id, source, text, {_SENTENCES} AS parts, list_filter({_SENTENCES}, lambda s: NOT regexp_matches(s, '{RISKY}')) AS kept FROM documents"
+_STATE = f"CASE WHEN regexp_matches(text, '{HARD}') THEN 'reject' WHEN regexp_matches(text, '{LOW}') THEN 'reject' WHEN regexp_matches(text, '{RISKY}') THEN 'quarantine' ELSE 'accept' END"
+_TOKENS = r"regexp_extract_all(coalesce(text, ''), '\S+')"
+_ASCII = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+
+
+@query(f"""WITH c AS (SELECT doc_id, source, unnest(range(0, CASE WHEN len(w) <= 750 THEN 1 ELSE 1 + ceil((len(w) - 750) / 675.0)::INT END)) AS i, w FROM (SELECT doc_id, source, {_TOKENS.replace('text', 'clean')} AS w FROM (SELECT doc_id, source, CASE WHEN len(kept) = 0 THEN '' ELSE array_to_string(kept, ' ') END AS clean FROM ({_STRIPPED})))),
+p AS (SELECT source, doc_id, len(w[i * 675 + 1 : i * 675 + 750])::BIGINT AS n, sha256(array_to_string(w[i * 675 + 1 : i * 675 + 750], ' ')) AS h FROM c),
+k AS (SELECT source, doc_id, n, h, count(*) OVER (PARTITION BY h) AS copies FROM p WHERE n >= 20)
+SELECT source, count(DISTINCT doc_id)::BIGINT AS n_docs, count(*)::BIGINT AS n_chunks, sum(n)::BIGINT AS n_tokens, count(*) FILTER (copies > 1)::BIGINT AS dup_chunks,
+round(sum(n)::DOUBLE / (SELECT sum(n) FROM k)::DOUBLE, 6) AS token_share FROM k GROUP BY source""")
+def corpus_slice(t):
+    clean = t("documents").select("doc_id", "source", T.strip_sentences(F.col("text"), RISKY)["clean"].alias("clean"))
+    parts = C.chunked(clean.select(F.struct("doc_id", "source").alias("id"), "clean"), "id", "clean", least=20).select("id.source", "id.doc_id", "n_words", "content_hash")
+    copies = parts.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"))
+    groups = parts.join(copies, "content_hash").groupBy("source").agg(F.count_distinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_chunks"), F.sum("n_words").alias("n_tokens"), F.count_if(F.col("copies") > 1).alias("dup_chunks"))
+    total = groups.agg(F.sum("n_tokens").alias("_t"))
+    return groups.join(F.broadcast(total), F.lit(True)).withColumn("token_share", F.round(F.col("n_tokens") / F.col("_t"), 6)).drop("_t")
+
+
+@query(f"SELECT doc_id, {_STATE} AS state, CASE WHEN regexp_matches(text, '{HARD}') THEN 'hard_reject' WHEN regexp_matches(text, '{LOW}') THEN 'low_quality' WHEN regexp_matches(text, '{RISKY}') THEN 'risky_spans' ELSE 'clean' END AS reason FROM documents")
+def doc_state_classify(t):
+    return t("documents").select("doc_id", C.classify(F.col("text"), HARD, LOW, RISKY).alias("s")).select("doc_id", "s.state", "s.reason")
+
+
+@query(f"SELECT source, {_STATE} AS state, count(*)::BIGINT AS n FROM documents GROUP BY ALL")
+def doc_state_counts(t):
+    return t("documents").groupBy("source", C.classify(F.col("text"), HARD, LOW, RISKY)["state"].alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in PACK.items()) + ") AS flags FROM documents")
+def doc_risk_flags(t):
+    return t("documents").select("doc_id", F.array_join(C.flags(F.col("text"), PACK), ",").alias("flags"))
+
+
+@query(f"SELECT doc_id, n_tokens, removed, CASE WHEN n_tokens < 80 OR removed > 12 THEN 'quarantine' WHEN removed > 0 OR regexp_matches(text, '{HARD}') THEN 'accepted_stripped' ELSE 'accepted' END AS status FROM (SELECT doc_id, text, len({_TOKENS})::BIGINT AS n_tokens, (len(parts) - len(kept))::BIGINT AS removed FROM ({_STRIPPED}))")
+def doc_status(t):
+    d = t("documents").select("doc_id", "text", T.token_estimate(F.col("text")).alias("n_tokens"), T.strip_sentences(F.col("text"), RISKY)["removed"].alias("removed"))
+    return d.select("doc_id", "n_tokens", "removed", C.status(F.col("n_tokens"), F.col("removed"), F.col("text").rlike(HARD)).alias("status"))
+
+
+@query(f"SELECT doc_id, sha256(CASE WHEN len(kept) = 0 THEN '' ELSE array_to_string(kept, ' ') END) AS clean_sha256, (len(parts) - len(kept))::BIGINT AS removed FROM ({_STRIPPED})")
+def doc_strip_sentences(t):
+    return t("documents").select("doc_id", T.strip_sentences(F.col("text"), RISKY).alias("s")).select("doc_id", F.sha2("s.clean", 256).alias("clean_sha256"), "s.removed")
+
+
+@query(f"SELECT doc_id, sha256(CASE WHEN len(k) = 0 THEN '' ELSE array_to_string(k, chr(10)) END) AS text_sha256 FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(x, '{BOILERPLATE}')) AS k FROM documents)")
+def doc_boilerplate_lines(t):
+    return t("documents").select("doc_id", F.sha2(T.drop_lines(F.col("text"), BOILERPLATE), 256).alias("text_sha256"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 750 THEN 1 ELSE 1 + ceil((len(w) - 750) / 675.0)::INT END)) AS i FROM w),
+k AS (SELECT doc_id, (i * 675)::BIGINT AS start, w[i * 675 + 1 : i * 675 + 750] AS p FROM c) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::BIGINT AS chunk, start, len(p)::BIGINT AS n_words, sha256(array_to_string(p, ' ')) AS content_hash FROM k WHERE len(p) >= 80""")
+def doc_chunks_750_75(t):
+    return C.chunked(t("documents"), "doc_id", "text").drop("text")
+
+
+@query(f"SELECT doc_id, len({_TOKENS})::BIGINT AS n_tokens FROM documents")
+def doc_token_estimate(t):
+    return t("documents").select("doc_id", T.token_estimate(F.col("text")).alias("n_tokens"))
+
+
+@query("SELECT sha256(text) AS content_hash, count(*)::BIGINT AS copies, (count(*) - 1)::BIGINT AS surplus FROM documents GROUP BY 1 HAVING count(*) > 1")
+def doc_exact_duplicates(t):
+    return C.exact_duplicates(t("documents"), "text")
+
+
+@query(f"WITH w AS (SELECT doc_id, {_ASCII} AS w FROM documents) SELECT doc_id, (greatest(len(w) - 3, 0) - len(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i : i + 3], ' ')))))::BIGINT AS repeated FROM w")
+def doc_repeated_4grams(t):
+    return t("documents").select("doc_id", T.repeated_grams(T.ascii_tokens(F.col("text")), 4).alias("repeated"))
+
+
+@query(f"WITH g AS (SELECT source, count(*)::BIGINT AS n, sum(len({_TOKENS}))::BIGINT AS amount FROM documents GROUP BY source) SELECT source, n, amount, round(amount::DOUBLE / (SELECT sum(amount) FROM g)::DOUBLE, 6) AS share FROM g")
+def doc_source_token_share(t):
+    return C.share_of_total(t("documents"), "source", T.token_estimate(F.col("text")))
+
+
+@query("WITH s AS (SELECT source, row_number() OVER (ORDER BY sha256(source), source) AS r FROM (SELECT DISTINCT source FROM documents)) SELECT d.doc_id, d.source, CASE WHEN r <= 14 THEN 'train' WHEN r <= 17 THEN 'dev' ELSE 'test' END AS split FROM documents d JOIN s USING (source)")
+def doc_hash_split(t):
+    d = t("documents").select("doc_id", "source")
+    return d.join(F.broadcast(C.hash_rank_split(d, "source")), "source").select("doc_id", "source", "split")
+
+
+@query("""WITH j AS (SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, count(*) OVER (PARTITION BY lang, quality) AS n, row_number() OVER (PARTITION BY lang, quality ORDER BY sha256('76044:' || doc_id), doc_id) AS r FROM j) SELECT doc_id, lang, quality FROM r WHERE r <= greatest(1, floor(n * 0.4::DOUBLE + 0.999::DOUBLE))""")
+def doc_stratified_sample(t):
+    return C.stratified_sample(t("documents").join(t("labels"), "doc_id").select("doc_id", "lang", "quality"), ["lang", "quality"], "doc_id")
+
+
+@query("SELECT left(text, 40) AS value, count(*)::BIGINT AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 3")
+def doc_prefix_repetition_caps(t):
+    return C.repeated_values(t("documents").where(F.col("text").isNotNull()), F.substring("text", 1, 40), 3)
+
+
+@query(f"WITH f AS (SELECT source, {_SENTENCES}[1] AS s FROM documents), g AS (SELECT source, s, count(*) AS n FROM f GROUP BY ALL) SELECT source, round(max(n)::DOUBLE / sum(n)::DOUBLE, 6) AS opening_share FROM g GROUP BY source")
+def doc_opening_share(t):
+    g = t("documents").groupBy("source", F.try_element_at(T.sentences(F.col("text")), F.lit(1)).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return g.groupBy("source").agg(F.round(F.max("n") / F.sum("n"), 6).alias("opening_share"))
+
+
+@query(f"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{HARD}') AS m, string_split_regex(text, '{HARD}') AS p FROM documents),
+o AS (SELECT doc_id, text, m, p, i, length(array_to_string(p[1 : i], '')) + length(array_to_string(m[1 : i - 1], '')) AS o FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+h AS (SELECT doc_id, count(*) AS n FROM o WHERE NOT regexp_matches(substring(text, greatest(o - 45, 0) + 1, o + length(m[i]) + 45 - greatest(o - 45, 0)), '{NEGATION}') GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS hits FROM documents LEFT JOIN h USING (doc_id)""")
+def doc_unnegated_hits(t):
+    return t("documents").select("doc_id", T.unnegated_hits(F.col("text"), HARD, NEGATION).alias("hits"))
+
+
+@query(f"SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(len(list_filter(w, lambda x: x IN ('the', 'of', 'and')))::DOUBLE / len(w)::DOUBLE, 4) END AS density FROM (SELECT doc_id, {_ASCII} AS w FROM documents)")
+def doc_warning_density(t):
+    w = T.ascii_tokens(F.col("text"))
+    return t("documents").select("doc_id", E.rate(F.size(F.filter(w, lambda x: x.isin("the", "of", "and"))), F.size(w)).alias("density"))
+
+
+@query(f"SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(least(1.0, len(list_filter(w, lambda x: x IN ('der', 'die', 'und')))::DOUBLE / len(w)::DOUBLE * 4.5), 6) END AS score FROM (SELECT doc_id, {_ASCII} AS w FROM documents)")
+def doc_lexicon_score(t):
+    w = T.ascii_tokens(F.col("text"))
+    return t("documents").select("doc_id", F.round(T.language_mix(F.size(F.filter(w, lambda x: x.isin("der", "die", "und"))), F.size(w)), 6).alias("score"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[ÃÂ�]') AS damaged FROM documents")
+def doc_mojibake(t):
+    return t("documents").select("doc_id", F.col("text").rlike("[ÃÂ�]").alias("damaged"))
+
+
+_HTML = "html"
+for _a, _b, _o in ((r"<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>", "' '", "gis"), (r"<br\s*/?>|</(?:p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav)\s*>", "chr(10)", "gi"), ("<[^>]*>", "' '", "gs")):
+    _HTML = f"regexp_replace({_HTML}, '{_a}', {_b}, '{_o}')"
+for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _HTML = f"replace({_HTML}, '{_a}', '{_b}')"
+
+
+@query(rf"SELECT page_id, sha256(array_to_string(list_filter(list_transform(string_split({_HTML}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10))) AS text_sha256 FROM pages")
+def page_html_to_text(t):
+    return t("pages").select("page_id", F.sha2(T.html_to_text(F.col("html")), 256).alias("text_sha256"))
+
+
+@query("SELECT page_id, page_id <> min(page_id) OVER (PARTITION BY regexp_replace(lower(url), '[?#].*$', '')) AS duplicate FROM pages")
+def page_url_first_wins(t):
+    return C.first_wins(t("pages"), F.regexp_replace(F.lower("url"), r"[?#].*$", ""), "page_id").select("page_id", "duplicate")
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(f, '\.(?:pdf|txt|html)$') THEN f ELSE f || '.html' END AS filename FROM (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1) AS f FROM pages)")
+def page_raw_filename(t):
+    return t("pages").select("page_id", T.raw_filename(F.col("url")).alias("filename"))
+
+
+@query("SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON sha256(lower(trim(b.text, ' '))) = sha256(lower(trim(d.text, ' '))) UNION SELECT DISTINCT item_id FROM benchmark b JOIN (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) l ON b.text = l.line")
+def benchmark_leakage(t):
+    b, d = t("benchmark").select("item_id", F.col("text").alias("_t")), t("documents").select("text")
+    whole = b.join(d, F.sha2(F.lower(F.trim("_t")), 256) == F.sha2(F.lower(F.trim("text")), 256), "left_semi")
+    lines = b.join(d.select(F.explode(F.split("text", "\n", -1)).alias("line")), F.col("_t") == F.col("line"), "left_semi")
+    return whole.select("item_id").union(lines.select("item_id")).distinct()
+
+
+_BM25 = f"""q AS (SELECT item_id AS query, term, count(*) AS qtf FROM (SELECT item_id, unnest({_ASCII}) AS term FROM benchmark) GROUP BY ALL),
+l AS (SELECT doc_id AS doc, {_ASCII} AS w FROM documents), n AS (SELECT count(*)::DOUBLE AS n, greatest(avg(len(w)), 1.0) AS a FROM l),
+ix AS (SELECT doc, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc, w, unnest(w) AS term FROM l) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM ix GROUP BY term),
+s AS (SELECT query, doc, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM q JOIN ix USING (term) JOIN df USING (term), n GROUP BY ALL)"""
+_TOP = "SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS rank FROM s"
+
+
+def _scores(t):
+    return R.bm25(t("benchmark"), t("documents"), "item_id", "text", "doc_id", "text")
+
+
+@query(f"WITH {_BM25} SELECT query, doc, round(score, 4) AS score, rank::INT AS rank FROM ({_TOP}) WHERE rank <= 3")
+def bm25_topk(t):
+    return R.top_k(_scores(t), "query", "score", "doc", 3).select("query", "doc", F.round("score", 4).alias("score"), "rank")
+
+
+@query(f"WITH {_BM25}, m AS (SELECT query, max(score) AS m FROM s GROUP BY query) SELECT query, count(*) FILTER (round(score / m, 6) >= 0.65)::BIGINT AS accepted, count(*) FILTER (round(score / m, 6) < 0.65)::BIGINT AS below_threshold FROM s JOIN m USING (query) GROUP BY query")
+def bm25_maxnorm_gate(t):
+    ok = F.round("norm", 6) >= 0.65
+    return R.max_normalised(_scores(t), "query", "score").groupBy("query").agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("below_threshold"))
+
+
+_DENSE = "s AS (SELECT q.vec_id AS query, d.vec_id AS doc, list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)"
+
+
+def _dense(t, k):
+    v = t("embeddings").select("vec_id", "embedding")
+    return R.top_k(R.dense(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding"), "query", "score", "doc", k)
+
+
+@query(f"WITH {_DENSE} SELECT query, doc, round(score, 5) AS score, rank::INT AS rank FROM ({_TOP}) WHERE rank <= 3")
+def dense_topk(t):
+    return _dense(t, 3).select("query", "doc", F.round("score", 5).alias("score"), "rank")
+
+
+@query(f"""WITH {_DENSE}, r AS (SELECT query, rank, q.label = d.label AS ok FROM ({_TOP}) s JOIN embeddings q ON q.vec_id = query JOIN embeddings d ON d.vec_id = doc WHERE rank <= 3), f AS (SELECT query, min(rank) AS r FROM r WHERE ok GROUP BY query), n AS (SELECT count(*)::DOUBLE AS n FROM embeddings WHERE vec_id % 20 = 0)
+SELECT round(coalesce(sum((r <= 1)::INT), 0)::DOUBLE / any_value(n), 6) AS hit_at_1, round(coalesce(sum((r <= 3)::INT), 0)::DOUBLE / any_value(n), 6) AS hit_at_3, round(coalesce(sum(1.0::DOUBLE / r), 0) / any_value(n), 6) AS mrr FROM f, n""")
+def retrieval_metrics(t):
+    v = t("embeddings").select("vec_id", "label")
+    ranked = _dense(t, 3).join(v.select(F.col("vec_id").alias("query"), F.col("label").alias("_q")), "query").join(v.select(F.col("vec_id").alias("doc"), F.col("label").alias("_d")), "doc")
+    return R.retrieval_metrics(ranked, F.col("_q") == F.col("_d"), v.where("vec_id % 20 = 0").count())
+
+
+def _hashed(t):
+    q, d = (R.hashed_vector(t(n), k, "text") for n, k in (("benchmark", "item_id"), ("documents", "doc_id")))
+    both = q.select(F.col("id").alias("query"), "idx", F.col("weight").alias("_w")).join(d.select(F.col("id").alias("doc"), "idx", "weight"), "idx")
+    return both.groupBy("query", "doc").agg(F.sum(F.col("_w") * F.col("weight")).alias("score")).where("score > 0")
+
+
+def _hashed_sql(table: str, key: str, name: str) -> str:
+    return f"""{name}w AS (SELECT {key} AS id, {_ASCII} AS w FROM {table}),
+{name}f AS (SELECT id, 'tok:' || unnest(w) AS f, 1.0::DOUBLE AS w FROM {name}w UNION ALL SELECT id, 'bigram:' || w[i] || '_' || w[i + 1], 0.7::DOUBLE FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM {name}w)),
+{name}s AS (SELECT id, ('0x' || substr(sha256(f), 1, 8))::BIGINT % 384 AS idx, sum(CASE WHEN ('0x' || substr(sha256(f), 9, 2))::BIGINT % 2 = 0 THEN w ELSE -w END) AS w FROM {name}f GROUP BY ALL),
+{name}v AS (SELECT id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM {name}s WHERE w <> 0)"""
+
+
+_HASHED = _hashed_sql("benchmark", "item_id", "q") + ",\n" + _hashed_sql("documents", "doc_id", "x") + ",\nh AS (SELECT qv.id AS query, xv.id AS doc, sum(qv.weight * xv.weight) AS score FROM qv JOIN xv USING (idx) GROUP BY ALL HAVING sum(qv.weight * xv.weight) > 0)"
+
+
+@query(f"WITH {_HASHED} SELECT query, doc, round(score, 4) AS score, rank::INT AS rank FROM ({_TOP.replace('FROM s', 'FROM h')}) WHERE rank <= 3")
+def hashed_vector_topk(t):
+    return R.top_k(_hashed(t), "query", "score", "doc", 3).select("query", "doc", F.round("score", 4).alias("score"), "rank")
+
+
+@query(f"WITH {_BM25}, {_HASHED}, u AS (SELECT query, doc, rank FROM ({_TOP}) WHERE rank <= 8 UNION ALL SELECT query, doc, rank FROM ({_TOP.replace('FROM s', 'FROM h')}) WHERE rank <= 8), f AS (SELECT query, doc, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY ALL) SELECT query, doc, round(score, 6) AS score, rank::INT AS rank FROM ({_TOP.replace('FROM s', 'FROM f')}) WHERE rank <= 3")
+def rrf_fusion(t):
+    lists = [R.top_k(x, "query", "score", "doc", 8) for x in (_scores(t), _hashed(t))]
+    return R.top_k(R.fuse(lists), "query", "score", "doc", 3).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT source AS system, count(*)::BIGINT AS total, count(*) FILTER (quality = 1)::BIGINT AS passed, count(*) FILTER (toxic = 1)::BIGINT AS unsafe, round(count(*) FILTER (quality = 1)::DOUBLE / count(*), 4) AS pass_rate, round(count(*) FILTER (toxic = 1)::DOUBLE / count(*), 4) AS unsafe_rate FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def system_summary(t):
+    return E.system_summary(t("documents").join(t("labels"), "doc_id"), "source", F.col("quality") == 1, F.col("toxic") == 1)
+
+
+@query("WITH s AS (SELECT source, round(count(*) FILTER (quality = 1)::DOUBLE / count(*), 4) AS pass_rate, round(count(*) FILTER (toxic = 1)::DOUBLE / count(*), 4) AS unsafe_rate FROM documents JOIN labels USING (doc_id) GROUP BY source) SELECT a.source AS system, a.pass_rate, a.unsafe_rate, a.unsafe_rate <= b.unsafe_rate AND a.pass_rate >= b.pass_rate + 0.03::DOUBLE AS promoted FROM s a, s b WHERE b.source = 'src0' AND a.source <> 'src0'")
+def promotion_gate(t):
+    return E.promotion(system_summary(t), "src0")
+
+
+@query("SELECT count(*)::BIGINT AS total, round(count(*) FILTER (toxic = 1)::DOUBLE / count(*), 4) AS unsafe_rate, count(*) FILTER (toxic = 1)::DOUBLE / count(*) <= 0.05::DOUBLE AS safety_floor FROM labels")
+def label_quality_gate(t):
+    n = t("labels").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("toxic") == 1).alias("u"))
+    return n.select("total", E.rate(F.col("u"), F.col("total")).alias("unsafe_rate"), (F.col("u") / F.col("total") <= 0.05).alias("safety_floor"))
+
+
+@query("SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS \"user\", arg_min(text, turn) FILTER (role = 'assistant') AS assistant FROM conversations GROUP BY conv_id")
+def conversation_pairs(t):
+    return E.first_turns(t("conversations"), "conv_id", "turn", "role", "text", ["user", "assistant"])
+
+
+@query("SELECT conv_id AS entity_id, unnest(['missing:' || r]) AS code FROM (SELECT conv_id, unnest(['user', 'assistant', 'system']) AS r, list(role) AS rs FROM conversations GROUP BY conv_id) WHERE NOT list_contains(rs, r)")
+def conversation_contract(t):
+    roles = ["user", "assistant", "system"]
+    return C.required_gate(t("conversations").groupBy("conv_id").agg(*[F.max(F.when(F.col("role") == r, r)).alias(r) for r in roles]), "conv_id", roles)
+
+
+@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
+def event_props_json(t):
+    return t("events").select("event_id", F.get_json_object(E.extract_json(F.col("props")), "$.k").try_cast("bigint").alias("k"))
+
+
+@query("SELECT event_type AS winner, count(*)::BIGINT AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM events), 4) AS share FROM events GROUP BY 1")
+def event_winner_counts(t):
+    return E.winner_counts(t("events"), F.col("event_type"))
+
+
+@query("WITH l AS (SELECT user_id, event_id, event_type AS value, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events) SELECT *, previous IS NOT NULL AND previous <> value AS changed FROM l")
+def event_iteration_diff(t):
+    return E.iteration_diff(t("events"), "user_id", "event_id", F.col("event_type"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in REQUIRED) + ") r(source) WHERE source NOT IN (SELECT source FROM documents WHERE source IS NOT NULL)")
+def coverage_missing(t):
+    return C.missing_values(t("documents"), "source", REQUIRED)
+
+
+@query("SELECT text AS key, string_agg(DISTINCT source, ',' ORDER BY source) AS splits, count(DISTINCT source)::BIGINT AS n_splits FROM documents GROUP BY text HAVING count(DISTINCT source) > 1")
+def split_leakage(t):
+    return C.leaked_keys(t("documents"), F.col("text"), "source")
+
+
+@query()
+def balance_caps(t):
+    return C.balance_caps(t("documents").join(t("labels"), "doc_id").select("doc_id", "lang", "source", "quality"), {"source": 5, "lang": 30}, "doc_id", 80)
+
+
+@query("SELECT count(*)::BIGINT AS n, sum(('0x' || substr(sha256(coalesce(text, '')), 1, 8))::BIGINT)::BIGINT AS a, sum(('0x' || substr(sha256(coalesce(text, '')), 9, 8))::BIGINT)::BIGINT AS b FROM documents")
+def table_checksum(t):
+    return C.table_checksum(t("documents"), "text")
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*)::BIGINT AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+def tpch_pricing_summary(t):
+    return t("lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp")).groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name, r_name, count(*)::BIGINT AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY ALL")
+def tpch_idle_customers(t):
+    idle = t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return idle.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("customers"))
