@@ -12,6 +12,7 @@ import hashlib
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -261,38 +262,50 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return data + b" " * (-len(data) % UNIT or (0 if data else UNIT)), len(data)
 
 
-STORED = "n_bytes long, media binary"
-READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string"
+INFO = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string"
+#: Bytes of payload that are encoded and decoded together.
+TOGETHER = 1_000_000
 
 
-def stored(texts: pd.Series) -> pd.DataFrame:
+def stored(texts: list[str | None]) -> tuple[list[int], list[bytes]]:
+    """Unpadded sizes and JPEGs."""
     both = [payload_of(t) for t in texts]
-    return pd.DataFrame({"n_bytes": [n for _, n in both], "media": encode([p for p, _ in both]) if both else []})
+    return [n for _, n in both], encode([p for p, _ in both]) if both else []
 
 
-def read_back(media: list[bytes]) -> pd.DataFrame:
+def read_back(media: list[bytes]) -> list[tuple]:
+    """The columns of INFO after n_bytes, from the stored bytes alone."""
     rows = []
     for data, images in zip(media, decode(media), strict=True):
         payload = b"".join(t.tobytes() for _, _, t in images)
         marks = [f"{w}x{h}:" + ":".join(f"{x:016x}" for x in thumbnail_hashes(t)) for w, h, t in images]
         rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), images[0][0], sum(h for _, h, _ in images), ",".join(marks)))
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
+    return rows
 
 
-def store_batch(text: pd.Series) -> pd.DataFrame:
-    return stored(text)
+def round_trip(keep: bool):
+    names = [x.split()[0] for x in INFO.split(", ")] + ["media"] * keep
 
+    def store(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, texts, size = [], [], 0
+            for t in [*batch, ""]:
+                if texts and (size > TOGETHER or len(rows) + len(texts) == len(batch)):
+                    n, media = stored(texts)
+                    rows += [(k, *info, m) if keep else (k, *info) for k, info, m in zip(n, read_back(media), media, strict=True)]
+                    texts, size = [], 0
+                texts.append(t)
+                size += len(t or "")
+            yield pd.DataFrame(rows, columns=names)
 
-def read_batch(media: pd.Series) -> pd.DataFrame:
-    return read_back([bytes(x) for x in media])
+    return store
 
 
-def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add `stored`: struct<n_bytes, media>, the text's JPEG, and `media_info`: what reading it back gives.
+def with_media(docs: DataFrame, text: str = "text", keep: bool = True) -> DataFrame:
+    """Add `media_info`: what reading the text's stored JPEG back gives, and with `keep` the JPEG itself as `media`.
 
     Null and empty texts are 192 spaces. Texts of over 192 * 8191 bytes are several JPEGs in a row. Equal texts give equal
     values. Nothing is shuffled.
     """
     bounded_batches(docs.sparkSession)
-    store, read = F.pandas_udf(store_batch, STORED), F.pandas_udf(read_batch, READ)
-    return docs.withColumn("stored", store(F.col(text))).withColumn("media_info", read(F.col("stored.media")))
+    return docs.withColumn("media_info", F.pandas_udf(round_trip(keep), INFO + ", media binary" * keep)(F.col(text)))

@@ -57,9 +57,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    info = [f"media_info.{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")]
-    return out.select("doc_id", "stored.n_bytes", *info)
+    out = media.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
+    info = ["media_info.n_bytes", *(f"media_info.{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"))]
+    return out.select("doc_id", *info)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
