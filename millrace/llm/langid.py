@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import bounded_batches, scratch
 
 BINS = 1 << 16
+#: Trigrams of a text that are looked up together.
+TOGETHER = 1 << 16
 #: Documents per language that the text models are learned from, at most: the first by hash of the id.
 SAMPLE_ROWS = 400
 #: Trigrams overlap and repeat, so each counts for this much evidence, and no more than MAX_EVIDENCE of them.
@@ -53,8 +55,10 @@ class TextModels:
         self.usual = [float(np.mean([self.table[g, k].mean() for t in samples[lang] if len(g := trigrams(t))] or [0])) for k, lang in enumerate(self.languages)]
 
     def mean(self, text: str | None) -> tuple[int, np.ndarray]:
-        g = trigrams(letters(text))
-        return len(g), self.table[g].mean(axis=0, dtype=np.float64) if len(g) else np.zeros(len(self.languages))
+        g, total = trigrams(letters(text)), np.zeros(len(self.languages))
+        for lo in range(0, len(g), TOGETHER):
+            total += self.table[g[lo : lo + TOGETHER]].sum(axis=0, dtype=np.float64)
+        return len(g), total / max(1, len(g))
 
 
 def learn(labelled: DataFrame, text: str, lang: str, key: str, rows: int = SAMPLE_ROWS) -> TextModels:
@@ -107,7 +111,8 @@ def identify(rows: DataFrame, models: TextModels, text: str = "text", host: str
             both = [held.value.mean(t) for t in batch]
             yield pd.DataFrame({"n": [n for n, _ in both], "mean": [m for _, m in both]})
 
-    told = F.pandas_udf(likelihoods, "n long, mean array<double>")
+    # a filter on what it tells must not run it a second time
+    told = F.pandas_udf(likelihoods, "n long, mean array<double>").asNondeterministic()
 
     def said(value: Column | None, trust: float, k: int) -> Column:
         if value is None or len(langs) < 2:
