@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tried = named.join(centre, "bucket").where("id <> centre").select("id", "centre").distinct()
     own = heads.select("id", "sketch")
     tried = tried.join(own, "id").join(own.select(F.col("id").alias("centre"), F.col("sketch").alias("_s")), "centre")
-    tried = tried.select("id", "centre", F.pandas_udf(estimates, "int")("sketch", "_s").alias("n")).where(F.col("n") >= least)
+    tried = tried.select("id", "centre", F.pandas_udf(estimates, "int").asNondeterministic()("sketch", "_s").alias("n")).where(F.col("n") >= least)
     best = Window.partitionBy("id").orderBy(F.desc("n"), "centre")  # of the bands of one document: at most BANDS rows
     tried = tried.withColumn("_r", F.row_number().over(best)).where("_r <= 2").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     ids = scratch(company.select("id"), "near-ids")
