@@ -20,6 +20,8 @@ from millrace.llm.common import bounded_batches, scratch
 
 WINDOW = 10
 SAMPLE = 8
+#: Documents of a shard, at most.
+SHARD_ROWS = 1000
 #: Bytes of benchmark text that go to the executors at once; a larger benchmark is searched in blocks.
 ITEM_BYTES = 8_000_000
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -226,7 +228,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     shuffled. A benchmark of more than ITEM_BYTES is searched in blocks, each a written pass over the documents.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, SHARD_ROWS)
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-total // ITEM_BYTES) or 1
