@@ -21,10 +21,12 @@ BATCH_CONF = {
 }
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, rows: int | None = None) -> None:
     """Keep Arrow batches small, so that a worker's memory doesn't depend on the table."""
     for k, v in BATCH_CONF.items():
         spark.conf.set(k, v)
+    if rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:

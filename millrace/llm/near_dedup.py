@@ -27,6 +27,8 @@ from millrace.llm.common import Rolling, bounded_batches, canonical, mix, scratc
 SHINGLE = 5
 T, BANDS, ROWS = 256, 32, 5
 BLOCK = 512
+#: Bytes of text that are hashed together, and rows of an Arrow batch: a worker keeps what its largest block took.
+TEXT_BYTES, BATCH_ROWS = 200_000, 500
 MARGIN = 4.5
 #: Ids that are broadcast (8 bytes each) to pick the texts of candidates; beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
@@ -86,7 +88,7 @@ def sign(texts: pd.Series) -> pd.DataFrame:
     from xxhash import xxh3_128_digest
 
     rows = []
-    for _, block in text_blocks([canonical(t).lower() for t in texts]):
+    for _, block in text_blocks([canonical(t).lower() for t in texts], TEXT_BYTES):
         for t, items in zip(block, shingle_sets(block), strict=True):
             if len(items):
                 low = (sketch(items) & np.uint64(255)).astype(np.uint8)
@@ -128,7 +130,7 @@ def verified(percent: int):
 
 
 def full_sets(texts: pd.Series) -> pd.Series:
-    return pd.Series([s.tobytes() for _, block in text_blocks([canonical(t).lower() for t in texts]) for s in shingle_sets(block)])
+    return pd.Series([s.tobytes() for _, block in text_blocks([canonical(t).lower() for t in texts], TEXT_BYTES) for s in shingle_sets(block)])
 
 
 def bucket_pairs(least: int):
@@ -206,7 +208,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fewer words are one shingle. Null, empty and blank texts have empty sets and are linked with nothing. Rows with a
     null id are left out. Repeated rows of one id with one text give equal rows. An empty table gives an empty result.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH_ROWS)
     # sets are compared by 64-bit hashes of their shingles: two shingles of one pair collide with a chance below 1e-12
     signed = F.pandas_udf(sign, SIGNED)(F.col(text))
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
