@@ -8,6 +8,7 @@ grouped counts of first guesses, smoothed hierarchically: host towards its domai
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,17 +82,24 @@ def learn(labelled: DataFrame, text: str, lang: str, key: str, rows: int = SAMPL
 
 def markup_language(html: Column) -> Column:
     """The primary subtag that `<html lang>` declares, lower-cased; null if none."""
-    found = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    found = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?[\s\"'](?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,3})(?![a-z])", 1))
     return F.when(found != "", found)
 
 
 def address_language(url: Column, languages: list[str]) -> Column:
     """A language code as a path segment, a first host label or a host suffix; null if none or unknown."""
-    one = "|".join(sorted(languages)) or "-"
-    found = F.coalesce(*[F.when(F.regexp_extract(F.lower(url), p, 1) != "", F.regexp_extract(F.lower(url), p, 1)) for p in (rf"^[^?#]*?://[^/?#]*/(?:[^?#]*/)?({one})(?:[/?#]|$)", rf"://({one})\.", rf"^[^/?#]*://[^/?#:]*\.({one})(?:[:/?#]|$)")])
+    one = "|".join(map(re.escape, sorted(languages))) or "-"
+    found = F.coalesce(*[F.when(F.regexp_extract(F.lower(url), p, 1) != "", F.regexp_extract(F.lower(url), p, 1)) for p in (rf"^[^?#]*?://[^/?#]*/(?:[^?#]*/)?({one})(?:[/?#]|$)", rf"^[^/?#]*://({one})\.", rf"^[^/?#]*://[^/?#:]*\.({one})(?:[:/?#]|$)")])
     return found
 
 
+def domain_of(host: Column) -> Column:
+    """The last two labels of a host, without its port; the host itself if it has fewer or is an address of numbers."""
+    name = F.regexp_replace(host, r":\d*$", "")
+    found = F.regexp_extract(name, r"([^.]+\.[^.]+)$", 1)
+    return F.when((found != "") & ~name.rlike(r"^[\d.]+$"), found).otherwise(name)
+
+
 def identify(rows: DataFrame, models: TextModels, text: str = "text", host: str | None = None, domain: Column | None = None, declared: Column | None = None, address: Column | None = None) -> DataFrame:
     """Every row with `language` (null if rejected), `confidence`, `accepted` added.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import html_to_text
 from millrace.llm import decontam, html_extract, langid, line_dedup, media, mixing, near_dedup, quality, substring_dedup, url_filter
 
 
@@ -56,6 +57,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", "language", F.round("confidence", 6).alias("confidence"), F.col("accepted").alias("kept"))
 
 
+def op8_page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = langid.learn(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", "lang", "doc_id")
+    host, html = url_filter.host_of(F.col("url")), F.col("html")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", host.alias("host"), langid.domain_of(host).alias("domain"), langid.markup_language(html).alias("declared"), langid.address_language(F.col("url"), models.languages).alias("address"), html_to_text(html).alias("text"))
+    out = langid.identify(pages, models, host="host", domain=F.col("domain"), declared=F.col("declared"), address=F.col("address"))
+    return out.select("page_id", "host", "domain", "declared", "address", "language", F.round("confidence", 6).alias("confidence"), F.col("accepted").alias("kept"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.with_media(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
     info = ["media_info.n_bytes", *(f"media_info.{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"))]
@@ -66,7 +75,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_html_extraction, op3_line_dedup, op4_source_mixing, op5_decontamination, op6_quality, op7_substring_dedup, op8_language_id, op9_media, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_html_extraction, op3_line_dedup, op4_source_mixing, op5_decontamination, op6_quality, op7_substring_dedup, op8_language_id, op8_page_language_id, op9_media, op10_near_dedup)}
 
 # ------------------------------------------------------------------------------------------------- SQL
 
