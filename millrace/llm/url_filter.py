@@ -1,8 +1,8 @@
 """URL filters by link-graph propagation, in DataFrame operations only.
 
 Hosts that allow rules name are trusted seeds, hosts that block rules name are distrusted seeds. Trust flows along the
-links (personalised PageRank), distrust flows against them: who links to blocked hosts is suspect. A url
-takes the verdict of its longest fitting rule, else block if its host's distrust is over a threshold and over its trust.
+links (personalised PageRank), distrust flows against them: who links to blocked hosts is suspect, by the share of its links
+that lead there, however many others link to the same hosts. A url takes the verdict of its longest fitting rule, else block if its host's distrust is over a threshold and over its trust.
 """
 
 from __future__ import annotations
@@ -40,25 +40,30 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,action:string>")
 
 
-def host_links(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """Distinct links between different hosts: src, dst. A hub's links are made distinct before they are counted."""
+def action_share(action: str) -> Column:
+    """The share of a group's rows that a rule with this action decides."""
+    return F.avg(F.coalesce((F.col("_rule.action") == action).cast("double"), F.lit(0.0)))
+
+
+def host_links(pages: DataFrame, url: str, html: str, rules=RULES) -> DataFrame:
+    """Distinct links between different hosts: src, dst, and the shares t, d of these links that rules allow and block."""
     found = pages.select(host_of(F.col(url)).alias("src"), F.array_distinct(F.transform(F.regexp_extract_all(F.col(html), F.lit(_HREF), F.lit(1)), lambda x: F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x))).alias("_to"))
     found = found.where((F.size("_to") > 0) & (F.col("src") != ""))
-    edges = found.select("src", F.explode("_to").alias("_to")).select("src", host_of(F.col("_to")).alias("dst"))
-    return edges.where((F.col("dst") != "") & (F.col("src") != F.col("dst"))).distinct()
+    edges = found.select("src", F.explode("_to").alias("_to")).select("src", host_of(F.col("_to")).alias("dst"), path_of(F.col("_to")).alias("_path"))
+    edges = edges.where((F.col("dst") != "") & (F.col("src") != F.col("dst"))).withColumn("_rule", matching_rule(F.col("dst"), F.col("_path"), rules))
+    return edges.groupBy("src", "dst").agg(action_share("allow").alias("t"), action_share("block").alias("d"))
 
 
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust) from seeds (host, t, d) in [0, 1] and links (src, dst).
 
-    score = (1 - damping) * seed + damping * inflow; a host shares its trust evenly among the hosts it links to, and its
-    distrust evenly among those that link to it. Both flows go over one edge table, so a round is one join and one sum.
+    score = (1 - damping) * seed + damping * inflow; a host shares its trust evenly among the hosts it links to, and takes
+    the mean distrust of those hosts. Both flows go over one edge table, so a round is one join and one sum.
     """
     out_n = links.groupBy("src").agg(F.count(F.lit(1)).alias("_o"))
-    in_n = links.groupBy("dst").agg(F.count(F.lit(1)).alias("_i"))
-    full = links.join(out_n, "src").join(in_n, "dst")
+    full = links.select("src", "dst").join(out_n, "src")
     flows = full.select(F.col("src").alias("a"), F.col("dst").alias("b"), (1 / F.col("_o")).alias("wt"), F.lit(0.0).alias("wd"))
-    flows = flows.unionByName(full.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("wt"), (1 / F.col("_i")).alias("wd")))
+    flows = flows.unionByName(full.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("wt"), (1 / F.col("_o")).alias("wd")))
     flows = scratch(flows, "url-flows")
     base = seeds.select("host", (F.col("t") * (1 - damping)).alias("t0"), (F.col("d") * (1 - damping)).alias("d0"))
     base = scratch(base, "url-seeds")
@@ -82,13 +87,16 @@ def filter_urls(pages: DataFrame, url: str = "url", html: str = "html", rules=RU
 
     Null urls and urls without `://` have empty host and path, fit no rule, have scores 0 and are allowed. Null html has
     no links. Repeated rows are judged alike. Columns of these names in the input are replaced. The scores come from hosts'
-    shares of ruled pages, so a hot host is one row of the graph.
+    shares of ruled pages, of a host without rows from the ruled links to it, so a hot host is one row of the graph.
     """
     judged = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     judged = judged.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    share = lambda action: F.avg(F.coalesce((F.col("_rule.action") == action).cast("double"), F.lit(0.0)))
-    seeds = judged.where(F.col("host") != "").groupBy("host").agg(share("allow").alias("t"), share("block").alias("d"))
-    scores = scratch(propagate(scratch(host_links(pages, url, html), "url-links"), seeds, damping, rounds), "url-scores")
+    seeds = scratch(judged.where(F.col("host") != "").groupBy("host").agg(action_share("allow").alias("t"), action_share("block").alias("d")), "url-own")
+    links = scratch(host_links(pages, url, html, rules), "url-links")
+    # each linking host counts once for a host without rows
+    targets = links.groupBy(F.col("dst").alias("host")).agg(F.avg("t").alias("t"), F.avg("d").alias("d")).where("t > 0 or d > 0")
+    seeds = seeds.unionByName(targets.join(seeds.select("host"), "host", "left_anti"))
+    scores = scratch(propagate(links, seeds, damping, rounds), "url-scores")
     scores = scores.select(F.col("host").alias("_host"), F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust"))
     small = scores.limit(50_001).count() <= 50_000
     out = judged.drop("trust", "distrust", "rule", "verdict").join(F.broadcast(scores) if small else scores, F.col("host") == F.col("_host"), "left")
