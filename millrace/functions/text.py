@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html as html5
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,13 +110,21 @@ def chunks(text: Column, size: int = 750, overlap: int = 75, least: int = 80) ->
     return F.filter(let(tokens(text), cut), lambda c: F.size(c["words"]) >= least)
 
 
+def unescape(text: Column) -> Column:
+    """Character references decoded as HTML5 has them, named and numeric; no-break spaces become spaces."""
+
+    def decoded(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: html5.unescape(t).replace("\xa0", " "), na_action="ignore")
+
+    return F.pandas_udf(decoded, "string")(text)
+
+
 def html_to_text(html: Column) -> Column:
-    """Scripts and styles out, block ends and <br> to line feeds, tags to spaces, common references decoded, lines trimmed, blank ones out."""
+    """Scripts and styles out, block ends and <br> to line feeds, tags to spaces, references decoded, lines trimmed, blank ones out."""
     t = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>", " ")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav)\s*>", "\n")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = unescape(t)
     lines = F.transform(F.split(t, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f]+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
