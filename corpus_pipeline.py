@@ -57,7 +57,8 @@ STAGES = [
     ("source_mixing", mix),
 ]
 
-#: Likelihoods, sketches and spans of words aren't SQL; the tests hold the stages against brute force.
+#: Likelihoods, sketches and spans of words aren't SQL; the tests hold only the fusion of language ID against brute force, of the
+#: stages they check that they run on edge cases and keep the columns.
 ORACLE_SQL = None
 
 
