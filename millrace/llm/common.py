@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many rows (a few dozen bytes each) and shuffled beyond.
@@ -16,23 +16,23 @@ BROADCAST_ROWS = 200_000
 BLOCK_BYTES = 1_000_000
 
 BATCH_CONF = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
 }
 
 
-def bounded_batches(spark: SparkSession, rows: int | None = None) -> None:
-    """Keep Arrow batches small, so that a worker's memory doesn't depend on the table."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that a worker's memory doesn't depend on the table; workers that need less cut a batch themselves."""
     for k, v in BATCH_CONF.items():
         spark.conf.set(k, v)
-    if rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all is one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -43,12 +43,39 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of scratch that nothing reads any more; what is still read stays for the cluster's own clean-up of the folder."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._millrace_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A side of a join that has been written, marked for broadcast if it has at most `rows` rows."""
+    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
 
 
 def small_join(df: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a side that has been written: broadcast it if it has at most `rows` rows, else let Spark shuffle both."""
-    return df.join(F.broadcast(side) if side.limit(rows + 1).count() <= rows else side, on, how)
+    return df.join(small(side, rows), on, how)
+
+
+class Names:
+    """Working column names that no input column has, whatever its case."""
+
+    def __init__(self, *tables: DataFrame) -> None:
+        taken, self.prefix = {c.lower() for t in tables for c in t.columns}, "_mr"
+        while any(c.startswith(self.prefix) for c in taken):
+            self.prefix += "_"
+
+    def __call__(self, name: str) -> str:
+        return f"{self.prefix}_{name}"
 
 
 # ---------------------------------------------------------------- bytes and hashes

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per shard of the training text.
 
-A shard is one Arrow batch of documents. Words that no benchmark item holds can't be part of an occurrence, so the
+A shard is a run of up to SHARD_ROWS documents. Words that no benchmark item holds can't be part of an occurrence, so the
 shard's text is the runs of benchmark words that are long enough for a window, one separator between runs; that
 loses nothing and keeps the index small. Test phrases are found by backward search over wavelet ranks of the
 Burrows-Wheeler transform, all phrases at once; occurrences are located by walking back to sampled suffix positions; the
@@ -215,7 +215,8 @@ def merged_spans(starts: pd.Series, ends: pd.Series) -> pd.Series:
 def searcher(held):
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield leaks(list(batch), held.value)
+            for lo in range(0, len(batch), SHARD_ROWS):
+                yield leaks(list(batch[lo : lo + SHARD_ROWS]), held.value)
 
     return F.pandas_udf(search, LEAK)
 
@@ -228,7 +229,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     shuffled. A benchmark of more than ITEM_BYTES is searched in blocks, each a written pass over the documents.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, SHARD_ROWS)
+    bounded_batches(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-total // ITEM_BYTES) or 1
