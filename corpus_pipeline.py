@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, langid, line_dedup, mixing, near_dedup
-from millrace.llm.common import scratch, small_join
+from millrace.llm.common import scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +27,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group at a similarity of 0.8 or more the document of the smallest id stays, once; so do rows without an id."""
-    judged = scratch(near_dedup.near_duplicates(docs).select("doc_id", "kept"), "pipeline-near")
-    ids = scratch(judged.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "pipeline-kept")
-    once = small_join(docs, ids.where("_rows = 1").select("doc_id"), "doc_id", "left_semi", near_dedup.BROADCAST_IDS)
-    again = docs.join(ids.where("_rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.where(F.col("doc_id").isNull())
-    repeated = not ids.where("_rows > 1").isEmpty()
-    return (once.unionByName(again) if repeated else once).unionByName(unnamed).select(docs.columns)
+    """Of each group at a similarity of 0.8 or more one document stays, that of the smallest id; texts that share an id are documents of their own."""
+    return near_dedup.drop_near_duplicates(docs).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
