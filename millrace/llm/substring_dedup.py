@@ -1,10 +1,13 @@
 """Substring dedup with a count-min prefilter.
 
-Pass 1: every partition counts its windows in a count-min sketch, in pieces; the pieces are merged by saturating sums into one bit
-per cell, "two or more". The sketch never underestimates. Pass 2: only windows whose cells all say two or more go on;
-each partition keeps, per window, its smallest document and settles the others itself, so that a window of any number of
-copies sends one row per partition; what goes on is grouped exactly by 128 bits. Windows of a passage travel together,
-routed by the smallest shingle hash within them. Pass 3 removes the covered words.
+A window is sketched by its run: the smallest hash of ROUTE words in a row within it, which equal windows share and neighbours
+mostly share too, so there are a tenth as many runs as windows. Pass 1: every task counts the documents of each run in a
+count-min sketch, piece by piece of its cells; the pieces are merged where they are, whatever their number, and answer each
+document with its runs whose cells hold two documents or more. Merged counts never underestimate, so no repeated window is lost, and
+cells grow with the windows, so the share that is passed on by chance stays the same at any size. Pass 2: only windows of
+such runs go on; each task keeps, per window, its smallest document and settles the others itself, so that a window of any number of
+copies sends one row per task; what goes on is grouped exactly by 128 bits. Windows of a run travel together.
+Pass 3 removes the covered words.
 """
 
 from __future__ import annotations
@@ -18,16 +21,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Rolling, bounded_batches, canonical, mix, scratch, text_blocks, word_bounds
+from millrace.llm.common import Names, Rolling, bounded_batches, canonical, mix, scratch, text_blocks, word_bounds
 
 WINDOW = 50
 DEPTH = 2
-#: Cells in a row of the sketch: a power of two, about CELLS_PER_WINDOW a window, at most MAX_CELLS (32 MB of bits a row).
-CELLS_PER_WINDOW, MAX_CELLS = 3, 1 << 28
+#: Cells in a row of the sketch per run that is expected, so that a run passes by chance at (1 - exp(-1/4))**2, about one in 20.
+CELLS_PER_RUN = 4
+#: Cells of a piece; one task holds a piece at a time.
 PIECE = 1 << 22
 #: Windows, and candidates, that a task holds before it sends what it has.
 HOLD, HOLD_CANDIDATES = 2_000_000, 500_000
-ROUTE = 8
+ROUTE = 25
+#: Bytes of runs that are broadcast to the rows; beyond, both sides are shuffled.
+BROADCAST_BYTES = 8_000_000
 
 _FIRST, _SECOND = Rolling(501), Rolling(502)
 _ROWS = mix(np.arange(71, 71 + DEPTH, dtype=np.uint64))
@@ -51,107 +57,154 @@ class Windows:
         at = self.at[pick]
         return _SECOND.ranges(_SECOND.sums(self.data), self.start[at], self.end[at + self.k - 1])
 
-    def route(self, pick: np.ndarray) -> np.ndarray:
+    def route(self) -> np.ndarray:
         """The smallest hash of ROUTE words in a row within each window: the same for equal windows, and for most neighbours."""
+        if not len(self.at):
+            return np.zeros(0, np.uint64)
         w = min(ROUTE, self.k)
         low = _SECOND.ranges(_SECOND.sums(self.data), self.start[: len(self.start) - w + 1], self.end[w - 1 :])
         span, have = self.k - w + 1, 1
         while 2 * have <= span:
             low = np.minimum(low[:-have], low[have:])
             have *= 2
-        at = self.at[pick]
-        return np.minimum(low[at], low[at + span - have])
+        return np.minimum(low[self.at], low[self.at + span - have])
 
 
-def cells(key: np.ndarray, row: int, width: int) -> np.ndarray:
-    return (mix(key ^ _ROWS[row]) & np.uint64(width - 1)).astype(np.int64)
+def cells(run: np.ndarray, row: int, width: int) -> np.ndarray:
+    """The cell of each run in a row of the sketch; width is a power of two."""
+    return (mix(run ^ _ROWS[row]) & np.uint64(width - 1)).astype(np.int64)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """Ascending numbers below 2**32 as differences, byte planes apart, deflated."""
-    d = np.diff(numbers, prepend=0).astype("<u4")
+    """Numbers below 2**32 as differences, byte planes apart, deflated."""
+    d = np.diff(numbers, prepend=0).astype("<i4")
     return zlib.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def _unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int64)
+
+
+PIECES = "piece long, cells binary, owners binary, ids array<long>, signs array<long>, more binary"
 
 
 def sketch_pieces(k: int, width: int):
-    """Of each task's windows: (piece, once, more): the cells hit once and those hit more often."""
+    """Of each task's documents, by piece of the sketch: cells of one own document, with that document, and cells of several.
+
+    A task's several documents of one cell know that it is repeated; they are told by `more`, which comes back to each of them
+    as a row of its own (piece null, cells as `row * width + cell`).
+    """
+    step = min(PIECE, width)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
+        runs, owner, ids, signs, n = [], [], [], [], 0
         for batch in batches:
-            for _, block in text_blocks([canonical(t) for t in batch["text"]]):
-                held.append(Windows(block, k).key)
-                n += len(held[-1])
+            i64, s64 = batch["id"].to_numpy(np.int64), batch["sign"].to_numpy(np.int64)
+            for first, block in text_blocks([canonical(t) for t in batch["text"]]):
+                w = Windows(block, k)
+                route, doc = w.route(), w.doc[w.at]
+                new = np.flatnonzero(np.concatenate(([True], (route[1:] != route[:-1]) | (doc[1:] != doc[:-1])))[: len(route)])
+                runs.append(route[new])
+                owner.append(doc[new] + sum(map(len, ids)))
+                ids.append(i64[first : first + len(block)])
+                signs.append(s64[first : first + len(block)])
+                n += len(route)
                 if n >= HOLD:
-                    yield from sent(np.concatenate(held))
-                    held, n = [], 0
+                    yield from sent(np.concatenate(runs), np.concatenate(owner), np.concatenate(ids), np.concatenate(signs))
+                    runs, owner, ids, signs, n = [], [], [], [], 0
         if n:
-            yield from sent(np.concatenate(held))
+            yield from sent(np.concatenate(runs), np.concatenate(owner), np.concatenate(ids), np.concatenate(signs))
 
-    def sent(key: np.ndarray) -> Iterator[pd.DataFrame]:
-        per = max(1, width // PIECE)
+    def sent(run: np.ndarray, owner: np.ndarray, ids: np.ndarray, signs: np.ndarray) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in PIECES.split(", ")]
         for row in range(DEPTH):
-            cell = cells(key, row, width)
-            cell.sort()
-            new = np.concatenate(([True], cell[1:] != cell[:-1]))
-            own, first = cell[new], np.flatnonzero(new)
-            more = np.diff(np.append(first, len(cell))) > 1
-            bounds = np.searchsorted(own, np.arange(per + 1) * PIECE)
+            cell = cells(run, row, width)
+            order = np.lexsort((owner, cell))
+            cell, own = cell[order], owner[order]
+            new = np.concatenate(([True], (cell[1:] != cell[:-1]) | (own[1:] != own[:-1])))
+            cell, own = cell[new], own[new]
+            # rows of one id don't precede one another, but counting them apart only overestimates
+            first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            several = np.repeat(np.diff(np.append(first, len(cell))) > 1, np.diff(np.append(first, len(cell))))
             out = []
-            for p in range(per):
-                x, m = own[bounds[p] : bounds[p + 1]] - p * PIECE, more[bounds[p] : bounds[p + 1]]
-                if len(x):
-                    out.append((row * per + p, _pack(x[~m]), _pack(x[m])))
-            yield pd.DataFrame(out, columns=["piece", "once", "more"])
+            if several.any():
+                at = np.lexsort((cell[several], own[several]))
+                docs, start = np.unique(own[several][at], return_index=True)
+                parts = np.split(cell[several][at] + row * width, start[1:])
+                out += [(None, x.astype("<i8").tobytes(), None, [ids[d]], [signs[d]], None) for d, x in zip(docs, parts, strict=True)]
+            lead = first[several[first]]
+            more, once, who = cell[lead], cell[~several], own[~several]
+            pieces = np.unique(np.concatenate((more // step, once // step)))
+            lo, hi = np.searchsorted(once, pieces * step), np.searchsorted(once, (pieces + 1) * step)
+            mlo, mhi = np.searchsorted(more, pieces * step), np.searchsorted(more, (pieces + 1) * step)
+            for p, a, b, c, d in zip(pieces, lo, hi, mlo, mhi, strict=True):
+                docs, local = np.unique(who[a:b], return_inverse=True)
+                out.append((int(row * (width // step) + p), _pack(once[a:b] - p * step), _pack(local), ids[docs], signs[docs], _pack(more[c:d] - p * step)))
+            yield pd.DataFrame(out, columns=names)
 
     return pieces
 
 
+REPLIES = "id long, sign long, cells binary"
+
+
 def merged_pieces(width: int):
-    """Rows sorted by piece to (piece, bits): a bit per cell, set where the sum is two or more."""
-    size = min(PIECE, width)
+    """Rows of PIECES sorted by piece to REPLIES: to each document its cells whose merged count is two or more."""
+    step = min(PIECE, width)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piece, count = None, None
-        done = lambda: pd.DataFrame({"piece": [piece], "bits": [zlib.compress(np.packbits(count > 1).tobytes(), 1)]})
+        piece, held, count = None, [], None
         for batch in batches:
-            for p, once, more in zip(batch["piece"], batch["once"], batch["more"], strict=True):
-                if p != piece:
-                    if piece is not None:
-                        yield done()
-                    piece, count = p, np.zeros(size, np.uint8)
-                x = _unpack(once)
+            told = batch[batch["piece"].isna()]
+            if len(told):
+                yield pd.DataFrame({"id": [x[0] for x in told["ids"]], "sign": [x[0] for x in told["signs"]], "cells": list(told["cells"])})
+            for row in batch[batch["piece"].notna()].itertuples(index=False):
+                if row.piece != piece:
+                    if held:
+                        yield from answered(int(piece), held, count)
+                    piece, held, count = row.piece, [], np.zeros(step, np.uint8)
+                x = _unpack(row.cells)
                 count[x] = np.minimum(count[x] + 1, 2)
-                count[_unpack(more)] = 2
-        if piece is not None:
-            yield done()
-
-    return merge
+                count[_unpack(row.more)] = 2
+                held.append((row.cells, row.owners, row.ids, row.signs))
+        if held:
+            yield from answered(int(piece), held, count)
 
+    def answered(piece: int, held: list, count: np.ndarray) -> Iterator[pd.DataFrame]:
+        row, p = divmod(piece, width // step)
+        out = []
+        for packed, owners, ids, signs in held:
+            x, own = _unpack(packed), _unpack(owners)
+            hit = np.flatnonzero(count[x] > 1)
+            if len(hit):
+                hit = hit[np.argsort(own[hit], kind="stable")]
+                docs, start = np.unique(own[hit], return_index=True)
+                for d, c in zip(docs, np.split(x[hit] + (row * width + p * step), start[1:]), strict=True):
+                    out.append((ids[d], signs[d], c.astype("<i8").tobytes()))
+        if out:
+            yield pd.DataFrame(out, columns=["id", "sign", "cells"])
 
-class Sketch:
-    """The merged sketch: DEPTH rows of bits."""
+    return merge
 
-    def __init__(self, pieces: list[tuple[int, bytes]], width: int) -> None:
-        self.width, per = width, max(1, width // PIECE)
-        self.bits = [np.zeros(max(1, width // 8), np.uint8) for _ in range(DEPTH)]
-        step = min(PIECE, width) // 8
-        for piece, bits in pieces:
-            row, p = divmod(piece, per)
-            self.bits[row][p * step : (p + 1) * step] = np.frombuffer(zlib.decompress(bits), np.uint8)
 
-    def repeated(self, key: np.ndarray) -> np.ndarray:
-        """Numbers of the windows that are estimated to occur twice or more."""
-        pick = np.arange(len(key))
-        for row, bits in enumerate(self.bits):
-            cell = cells(key[pick], row, self.width)
-            pick = pick[(bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)]
-        return pick
+def estimated(w: Windows, replies: list, width: int) -> np.ndarray:
+    """Numbers of the windows whose run's cells are all among the replies to their document."""
+    route, doc = w.route(), w.doc[w.at]
+    if not len(route):
+        return np.zeros(0, np.int64)
+    new = np.concatenate(([True], (route[1:] != route[:-1]) | (doc[1:] != doc[:-1])))
+    lead, of = np.flatnonzero(new), np.cumsum(new) - 1
+    run, owner, passed = route[lead], doc[lead], np.ones(len(lead), bool)
+    mine = [cells(run, row, width) + row * width for row in range(DEPTH)]
+    bounds = np.searchsorted(owner, np.arange(len(replies) + 1))
+    for d, parts in enumerate(replies):
+        a, b = bounds[d], bounds[d + 1]
+        if a < b:
+            known = np.frombuffer(b"".join(parts), "<i8")
+            for cell in mine:
+                passed[a:b] &= np.isin(cell[a:b], known)
+    return np.flatnonzero(passed[of])
 
 
 def runs(starts: np.ndarray) -> bytes:
@@ -164,22 +217,22 @@ FIELDS = [("key", "<u8"), ("second", "<u8"), ("doc", "<u4"), ("start", "<u4")]
 CANDIDATES = "bucket int, n int, entries binary, ids array<long>, signs array<long>, done_ids array<long>, done_signs array<long>, done_runs array<binary>"
 
 
-def candidates(k: int, buckets: int, sketch):
-    """Rows as CANDIDATES: the windows to group in a bucket, and the runs that this task has settled."""
+def candidates(k: int, buckets: int, width: int):
+    """Rows as CANDIDATES: the windows to group in a bucket, and the runs of windows that this task has settled."""
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, ids, signs, n = [], [], [], 0
         for batch in batches:
-            i64, s64 = batch["id"].to_numpy(np.int64), batch["sign"].to_numpy(np.int64)
+            i64, s64, told = batch["id"].to_numpy(np.int64), batch["sign"].to_numpy(np.int64), list(batch["cells"])
             for first, block in text_blocks([canonical(t) for t in batch["text"]]):
                 w = Windows(block, k)
-                own = sketch.value.repeated(w.key)
+                own = estimated(w, told[first : first + len(block)], width)
                 if len(own):
                     rows = np.zeros(len(own), FIELDS)
                     rows["key"], rows["second"] = w.key[own], w.second(own)
                     rows["doc"] = w.doc[w.at[own]] + sum(map(len, ids))
                     rows["start"] = w.word[w.at[own]]
-                    held.append((rows, (w.route(own) % np.uint64(buckets)).astype(np.int32)))
+                    held.append((rows, (w.route()[own] % np.uint64(buckets)).astype(np.int32)))
                     n += len(own)
                 ids.append(i64[first : first + len(block)])
                 signs.append(s64[first : first + len(block)])
@@ -301,26 +354,25 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     A word goes if a window of `window` consecutive words covers it whose words also start somewhere in a document with a
     smaller id; windows are judged on the input. Null and empty texts have no words. Rows with a null id are
     kept whole and count as nobody's predecessor. Rows that share an id don't precede one another; each is
-    judged by its own text. An empty table gives an empty result.
+    judged by its own text. An empty table gives an empty result. A column `repeats` of the input is replaced.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    sign = F.xxhash64(F.col(text))
+    bounded_batches(docs.sparkSession)
+    name, sign = Names(docs), F.xxhash64(F.col(text))
     texts = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), sign.alias("sign"), F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     guess = max(1, size // 6)  # windows, from the bytes of text
-    width = min(MAX_CELLS, max(1 << 16, 1 << (CELLS_PER_WINDOW * guess - 1).bit_length()))
-    pieces = texts.select("text").mapInPandas(sketch_pieces(window, width), "piece int, once binary, more binary")
-    merged = pieces.repartition("piece").sortWithinPartitions("piece").mapInPandas(merged_pieces(width), "piece int, bits binary")
-    # at most DEPTH * MAX_CELLS / 8 bytes, whatever the size of the table
-    sketch = spark.sparkContext.broadcast(Sketch([tuple(r) for r in merged.collect()], width))
+    per_run = max(1, (window - min(ROUTE, window) + 2) // 2)  # windows that share their smallest hash, on average
+    width = max(1 << 10, 1 << (CELLS_PER_RUN * guess // per_run).bit_length())
+    pieces = texts.mapInPandas(sketch_pieces(window, width), PIECES)
+    # rows without a piece are answers already; they are dealt by document
+    dealt = pieces.repartition(F.coalesce("piece", -1 - F.abs(F.xxhash64("ids", "signs") % (1 << 20)))).sortWithinPartitions("piece")
+    replies = dealt.mapInPandas(merged_pieces(width), REPLIES).groupBy("id", "sign").agg(F.collect_list("cells").alias("cells"))
     buckets = max(16, guess // 1_000_000)
-    sent = texts.mapInPandas(candidates(window, buckets, sketch), CANDIDATES)
+    sent = texts.join(replies, ["id", "sign"]).mapInPandas(candidates(window, buckets, width), CANDIDATES)
     settled = sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(settle, SETTLED)
-    found = settled.groupBy("id", "sign").agg(F.collect_list("runs").alias("_runs")).withColumnsRenamed({"id": "_id", "sign": "_sign"})
-    found = scratch(found, "repeats")
-    sketch.unpersist()  # and so the workers drop theirs
-    small = found.agg(F.sum(F.size("_runs"))).first()[0] or 0
-    side = F.broadcast(found) if small <= 50_000 else found
-    out = docs.join(side, (F.col(doc_id).cast("long") == F.col("_id")) & (sign == F.col("_sign")), "left")
-    return out.withColumn("repeats", F.pandas_udf(strip(window), KEPT)(F.col(text), F.col("_runs"))).drop("_id", "_sign", "_runs")
+    found = settled.groupBy("id", "sign").agg(F.collect_list("runs").alias("runs"))
+    found = scratch(found.select(F.col("id").alias(name("id")), F.col("sign").alias(name("sign")), F.col("runs").alias(name("runs"))), "repeats")
+    held = found.agg(F.sum(F.aggregate(name("runs"), F.lit(0).cast("long"), lambda s, x: s + 16 + F.octet_length(x)))).first()[0] or 0
+    side = F.broadcast(found) if held <= BROADCAST_BYTES else found
+    out = docs.drop("repeats").join(side, (F.col(doc_id).cast("long") == F.col(name("id"))) & (sign == F.col(name("sign"))), "left")
+    return out.withColumn("repeats", F.pandas_udf(strip(window), KEPT)(F.col(text), F.col(name("runs")))).drop(name("id"), name("sign"), name("runs"))
