@@ -120,7 +120,7 @@ kept AS (SELECT doc_id, d.source, lines, CASE WHEN bad IS NULL THEN lines ELSE l
 SELECT doc_id, source, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lines) - len(kept), 0)::BIGINT AS n_dropped,
        sha256(CASE WHEN len(kept) = 0 THEN '' ELSE array_to_string(kept, chr(10)) END) AS kept_sha256 FROM kept"""
 
-_OP4_SQL = rf"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_SPACED})), 0)::BIGINT AS size FROM documents),
+_OP4_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_SPACED})), 0)::BIGINT AS size FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 named AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, (source_size * 3)::DOUBLE AS cap FROM sums),
 room AS (SELECT *, (SELECT sum(source_size) FROM sums)::DOUBLE AS total,
@@ -128,14 +128,25 @@ room AS (SELECT *, (SELECT sum(source_size) FROM sums)::DOUBLE AS total,
          sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM named),
 level AS (SELECT max((total - done) / rest) AS level FROM room),
 goal AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM level), 0.0::DOUBLE) * w) AS target FROM room),
-placed AS (SELECT *, md5(coalesce(doc_id::VARCHAR, 'null') || ':7') AS h, CASE WHEN size < 8 THEN size ELSE length(bin(size)) * 4 + floor(size / pow(2.0, length(bin(size)) - 3))::BIGINT % 4 END AS class FROM d),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, h, size) AS k FROM placed),
-paid AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate
-         FROM ranked r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source),
-draws AS (SELECT source, j, ('0x' || substr(md5(coalesce(source, 'null') || ':offset:' || j || ':7'), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM sums, range({mixing.TRIES}) t(j)),
-tried AS (SELECT p.source, j, u, abs(sum(least(floor(k * rate + u) - floor((k - 1) * rate + u), 3)::BIGINT * size)::BIGINT - any_value(target)) AS d FROM paid p JOIN draws ON p.source IS NOT DISTINCT FROM draws.source GROUP BY ALL),
-chosen AS (SELECT source, u FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY d, j) = 1)
-SELECT doc_id, size, source_size, target, (least(floor(k * rate + u) - floor((k - 1) * rate + u), 3)::BIGINT * size)::BIGINT AS taken FROM paid JOIN chosen ON paid.source IS NOT DISTINCT FROM chosen.source"""
+placed AS (SELECT *, md5(coalesce(doc_id::VARCHAR, 'null') || ':7') AS h, CASE WHEN size < {mixing.CLASSES} THEN size ELSE length(bin(size)) * {mixing.CLASSES} + floor(size / pow(2.0, length(bin(size)) - {mixing.CLASSES.bit_length()}))::BIGINT % {mixing.CLASSES} END AS class FROM d),
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM goal),
+long AS (SELECT p.source, p.size, p.h, rate, row_number() OVER w AS r, sum(p.size) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS words FROM placed p JOIN rates g ON p.source IS NOT DISTINCT FROM g.source
+         WHERE p.size > target * {mixing.LONG_SHARE}::DOUBLE WINDOW w AS (PARTITION BY p.source ORDER BY p.size DESC, p.h) QUALIFY r <= {mixing.LONG}),
+steps AS (SELECT DISTINCT source, 0::BIGINT AS r, 0::BIGINT AS taken, 0::BIGINT AS c FROM long
+          UNION ALL SELECT l.source, l.r, (s.taken + l.size * greatest(0, least({mixing.MAX_COPIES}, floor((rate * words - s.taken) / l.size + 0.5::DOUBLE))))::BIGINT,
+          greatest(0, least({mixing.MAX_COPIES}, floor((rate * words - s.taken) / l.size + 0.5::DOUBLE)))::BIGINT FROM steps s JOIN long l ON l.source IS NOT DISTINCT FROM s.source AND l.r = s.r + 1),
+whole AS (SELECT l.source, l.size, l.h, s.c FROM long l JOIN steps s ON l.source IS NOT DISTINCT FROM s.source AND l.r = s.r),
+spent AS (SELECT source, sum(size)::BIGINT AS words, sum(size * c)::BIGINT AS taken FROM whole GROUP BY source),
+left_over AS (SELECT g.source, source_size, target, CASE WHEN source_size > coalesce(words, 0) THEN greatest(0.0::DOUBLE, least({mixing.MAX_COPIES}.0::DOUBLE, (target - coalesce(taken, 0)) / (source_size - coalesce(words, 0)))) ELSE 0.0::DOUBLE END AS rate,
+              ('0x' || substr(md5(coalesce(g.source, 'null') || ':offset:7'), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+              FROM goal g LEFT JOIN spent s ON g.source IS NOT DISTINCT FROM s.source),
+marked AS (SELECT p.*, w.c FROM placed p LEFT JOIN whole w ON p.source IS NOT DISTINCT FROM w.source AND p.size = w.size AND p.h = w.h),
+counted AS (SELECT *, greatest(1, ceil(count(*) OVER (PARTITION BY source, class) / {mixing.CHUNK}.0::DOUBLE)) AS pieces FROM marked WHERE c IS NULL),
+dealt AS (SELECT *, floor(('0x' || substr(h, 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE * pieces)::BIGINT AS piece FROM counted),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, piece, h, size) AS k FROM dealt),
+taken AS (SELECT doc_id, r.source, size, least(floor(k * rate + u) - floor((k - 1) * rate + u), {mixing.MAX_COPIES})::BIGINT AS c FROM ranked r JOIN left_over g ON r.source IS NOT DISTINCT FROM g.source
+          UNION ALL SELECT doc_id, source, size, c FROM marked WHERE c IS NOT NULL)
+SELECT doc_id, size, source_size, target, (c * size)::BIGINT AS taken FROM taken t JOIN goal g ON t.source IS NOT DISTINCT FROM g.source"""
 
 _OP5_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, {_PLAIN}) AS w FROM documents),
 b AS (SELECT item_id, w, least({decontam.WINDOW}, len(w)) AS k FROM (SELECT item_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, {_PLAIN}) AS w FROM benchmark)),
