@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,13 +22,18 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import bounded_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
-NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: An attribute: its name and its value in double quotes, in single quotes, or bare, where a quote is a character like others.
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+TAG_END = re.compile(r"[\s/]*(>?)")
 WORD = re.compile(r"[a-z]+")
 # What HTML calls block-level, what it closes by itself, what holds nothing.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+# Elements whose content is no text of the page; of the last ones the markup is not even parsed.
+SKIPPED = frozenset("noscript template iframe textarea svg math object".split())
+RAW = frozenset("script style".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("article aside body div footer header main nav section table td th ul ol dl form blockquote figure".split())
 TAGS = ("article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "h1", "h2", "h3", "h4", "p", "figure", "figcaption", "blockquote", "section", "div", "title", "head", "button", "label", "option", "select", "menu", "dialog", "pre", "dl", "address", "a")
@@ -44,108 +50,164 @@ HINTS = {
     "main": "content article post entry main story body text page prose",
 }
 HINT_OF = {w: k for k, ws in HINTS.items() for w in ws.split()}
-NAMES = ["bias", "first", "second", "last", *(f"in:{t}" for t in TAGS), *(f"own:{t}" for t in TAGS), *(f"hint:{h}" for h in HINTS), "hidden", *(f"len:{k}" for k in range(9)), *(f"links:{k}" for k in range(5)), "stop", "comma", "sign", "upper", "digits", "depth0", "depth1", "depth2"]
+#: Elements nest so deep at most, as in browsers; deeper ones are siblings.
+MAX_DEPTH = 512
+NAMES = ["bias", "first", "second", "last", *(f"in:{t}" for t in TAGS), *(f"own:{t}" for t in TAGS), *(f"hint:{h}" for h in HINTS), "hidden", *(f"len:{k}" for k in range(9)), *(f"links:{k}" for k in range(5)), "stop", "comma", "sign", "upper", "digits", "depth0", "depth1", "depth2", "loose"]
 NUMBER = {n: i for i, n in enumerate(NAMES)}
 
 
-class Block:
-    __slots__ = ("path", "text", "linked")
+class Element:
+    """An open element: what it says of the text in it, its ancestors' share included."""
+
+    __slots__ = ("tag", "features", "own", "blocks", "links", "skipped")
+
+    def __init__(self, tag: str, words: str, parent: Element | None) -> None:
+        new = {NUMBER[x] for x in (f"in:{tag}", *(("hidden" if w == "hidden" else f"hint:{HINT_OF.get(w)}") for w in WORD.findall(words.lower()))) if x in NUMBER}
+        old = parent.features if parent else frozenset()
+        self.tag, self.features = tag, old if new <= old else old | new
+        self.own = tag if tag in BLOCK else parent.own if parent else "div"
+        self.blocks = (parent.blocks if parent else 0) + (tag in BLOCK)
+        self.links = (parent.links if parent else 0) + (tag == "a")
+        self.skipped = tag in SKIPPED or bool(parent and parent.skipped)
 
-    def __init__(self, path: tuple, text: str, linked: int) -> None:
-        self.path, self.text, self.linked = path, text, linked
+
+class Block:
+    __slots__ = ("element", "text", "linked")
+
+    def __init__(self, element: Element | None, text: str, linked: int) -> None:
+        self.element, self.text, self.linked = element, text, linked
+
+
+def start_tag(markup: str, at: int) -> tuple[int, str, bool]:
+    """Of the attributes from `at` on: where the tag ends (-1 if it doesn't), class, id and role words, and whether it closes itself."""
+    words, slash = [], False
+    while True:
+        end = TAG_END.match(markup, at)
+        if end[1]:
+            return end.end(), " ".join(words), markup[end.end() - 2] == "/"
+        m = ATTRIBUTE.match(markup, at)
+        if m is None or m.end() == at:
+            return -1, "", slash
+        name = m[1].lower()
+        if name in ("class", "id", "role"):
+            words.append(m[2] or m[3] or m[4] or "")
+        elif name == "hidden" or (name == "aria-hidden" and (m[2] or m[3] or m[4] or "").lower() == "true"):
+            words.append("hidden")
+        at = m.end()
 
 
 def leaf_blocks(markup: str) -> list[Block]:
-    """The text blocks of a page in order; a path is ((tag, class and id words), ...) from the root down.
+    """The text blocks of a page in order, each with its innermost element.
 
-    Character references are decoded, white space (no-break space included) becomes one space, empty blocks go. Scripts, styles and comments are
-    no text; open elements end as HTML ends them: a paragraph at the next one, list items and cells at their kind.
+    Character references are decoded, white space (no-break space included) becomes one space, empty blocks go. Scripts, styles and
+    comments are no text; open elements end as HTML ends them: a paragraph at the next one, list items and cells at their kind, a
+    drawing at the next block. A tag or comment that never ends takes the rest, as in browsers, and what is no tag is text. One pass:
+    the time grows with the length of the page, whatever its markup.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Element] = []
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
     parts: list[str] = []
     linked = at = 0
+    last = markup.rfind(">")
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(stack), text, linked))
+                out.append(Block(stack[-1] if stack else None, text, linked))
             parts.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        if any(t in BLOCK for t, _ in stack[upto:]):
+        if any(x.tag in BLOCK for x in stack[upto:]):
             flush()
+        for x in stack[upto:]:
+            opened[x.tag] -= 1
         del stack[upto:]
 
-    for m in TOKEN.finditer(markup):
-        if m.start() > at:
-            piece = markup[at : m.start()]
+    def text(piece: str) -> None:
+        nonlocal linked
+        if piece and not (stack and stack[-1].skipped):
             parts.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if stack and stack[-1].links:
                 linked += len(piece.strip())
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+
+    while at < len(markup):
+        lt = markup.find("<", at)
+        if lt < 0:
+            text(markup[at:])
+            break
+        text(markup[at:lt])
+        at = lt + 1
+        if markup.startswith("!--", at):
+            end = markup.find("-->", at + 1)
+            at = len(markup) if end < 0 else end + 3
             continue
-        tag = tag.lower()
-        if m[2]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if found is not None:
-                close(found)
+        if markup[at : at + 1] in ("!", "?"):
+            at = markup.find(">", at) + 1 or len(markup)
+            continue
+        closing = markup[at : at + 1] == "/"
+        m = NAME.match(markup, at + closing)
+        if m is None:
+            text("<")
+            continue
+        if lt > last:
+            break
+        tag = m[0].lower()
+        if closing:
+            at = markup.find(">", m.end()) + 1
+            if opened[tag]:
+                close(max(i for i in range(len(stack)) if stack[i].tag == tag))
             elif tag in BLOCK:
                 flush()
             continue
+        at, words, itself = start_tag(markup, m.end())
+        if at < 0:
+            break
         if tag in VOID:
             if tag == "hr":
                 flush()
             elif tag == "br":
-                parts.append("\n")
+                text("\n")
+            continue
+        if tag in RAW or (tag in SKIPPED and tag not in ("svg", "math")):
+            end = None if tag in unclosed else re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(markup, at)
+            if end or tag in RAW:
+                at = end.end() if end else len(markup)
+            else:
+                unclosed.add(tag)
             continue
         if tag in BLOCK:
+            if stack and stack[-1].skipped:
+                close(next(i for i, x in enumerate(stack) if x.skipped))
             flush()
-        ends = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        if ends:
+        ends = CLOSES.get(tag, frozenset()) | ({"p"} if tag in ENDS_P else frozenset())
+        if any(opened[x] for x in ends):
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
+                if stack[i].tag in ends:
                     close(i)
                     break
-                if stack[i][0] in SCOPE:
+                if stack[i].tag in SCOPE:
                     break
-        words = ""
-        if m[4]:
-            words = " ".join(x for n, a, b, c in NAMED.findall(m[4]) for x in ((n.lower() if "hidden" in n.lower() else ""), a or b or c) if x)
-        if not m[4].rstrip().endswith("/") or tag in BLOCK:
-            stack.append((tag, words))
-    if at < len(markup):
-        parts.append(markup[at:])
+        if (not itself or tag in BLOCK) and len(stack) < MAX_DEPTH:
+            stack.append(Element(tag, words, stack[-1] if stack else None))
+            opened[tag] += 1
     flush()
     return out
 
 
-@lru_cache(20_000)
-def path_features(path: tuple) -> tuple[int, ...]:
-    out = set()
-    for tag, words in path:
-        out.add(f"in:{tag}")
-        for w in WORD.findall(words.lower()):
-            if w in HINT_OF:
-                out.add(f"hint:{HINT_OF[w]}")
-            elif w == "hidden":
-                out.add("hidden")
-    own = next((t for t, _ in reversed(path) if t in BLOCK), "div")
-    out.add(f"own:{own}")
-    out.add(f"depth{min(2, max(0, sum(t in BLOCK for t, _ in path) - 3))}")
-    return tuple(NUMBER[f] for f in out if f in NUMBER)
-
-
 def features(blocks: list[Block]) -> list[list[int]]:
     rows = []
     for i, b in enumerate(blocks):
         n = len(b.text)
-        row = [0, *path_features(b.path), NUMBER["len:0"] + min(8, n.bit_length() // 1 - 2 if n >= 4 else 0)]
+        e = b.element
+        row = [0, *(e.features if e else ()), NUMBER["len:0"] + min(8, n.bit_length() - 2 if n >= 4 else 0)]
+        if e is None:
+            row.append(NUMBER["loose"])
+        row += [NUMBER[x] for x in (f"own:{e.own if e else 'div'}", f"depth{min(2, max(0, (e.blocks if e else 0) - 3))}") if x in NUMBER]
         row.append(NUMBER["links:0"] + min(4, 4 * b.linked // n))
         if i < 2:
             row.append(1 + i)
@@ -159,7 +221,7 @@ def features(blocks: list[Block]) -> list[list[int]]:
             row.append(NUMBER["sign"])
         if b.text.isupper():
             row.append(NUMBER["upper"])
-        if sum(c.isdigit() for c in b.text[:80]) * 4 > min(n, 80):
+        if sum(map(str.isdigit, b.text)) * 4 > n:
             row.append(NUMBER["digits"])
         rows.append(row)
     return rows
@@ -279,12 +341,39 @@ def labelled_pages(n: int, seed: int = 3) -> Iterator[tuple[str, list[tuple[str,
         def comments() -> str:
             return f'<{"section" if tags else "div"} class="{r.choice(("comments", "comment-list", "reader-comments", "replies"))}">' + leaf(words(1, 2, False), 0, "h3") + "".join(f'<div class="{r.choice(("comment", "reply"))}">' + leaf(words(5, 50), 0, "p") + "</div>" for _ in range(r.randint(1, 5))) + "</section>"[: 10 if tags else 0] + ("" if tags else "</div>")
 
+        def bare(out=out, wrap=wrap, leaf=leaf, menu=menu, advert=advert, side=side, comments=comments) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+            """Fragments and poor pages: some paragraphs, perhaps in containers, perhaps with one thing around them."""
+            if r.random() < 0.15:
+                out.append((t := words(4, 60), 1))
+                yield t, out
+                return
+            title = leaf(words(3, 12, False), 0, "title") if r.random() < 0.2 else ""
+            before = r.choice((menu, advert, str, str, str, str, str))()
+            parts = [leaf(words(2, 10, False), 1, r.choice(("h1", "h2")))] if r.random() < 0.3 else []
+            for _ in range(r.choice((1, 1, 2, 3, 5))):
+                t = words(*r.choice(((2, 8), (8, 40), (30, 100))))
+                parts.append(leaf(t.replace(" ", " | ") if r.random() < 0.12 else t, 1, r.choice(("p", "p", "p", "div"))))
+            inside = "".join(parts)
+            for _ in range(r.choice((0, 0, 1, 2, 3, 8))):
+                inside = r.choice((lambda x: f"<div>{x}</div>", lambda x: wrap("article", r.choice(("page", "story", "content", "post", "wrap")), x), lambda x: wrap("main", "main", x), lambda x: f"<section>{x}</section>"))(inside)
+            after = r.choice((side, comments, comments, str, str, str, str))()
+            if r.random() < 0.2:
+                after += wrap("footer", "footer", leaf(words(2, 6, False) + r.choice((" · ", " | ", " ")) + words(2, 8), 0, "p"))
+            markup = before + inside + after
+            if r.random() < 0.6:
+                markup = f"<body>{markup}</body>"
+            if title or r.random() < 0.3:
+                markup = f"<html><head>{title}</head>{markup}</html>"
+            yield markup, out
+
         def body() -> str:
             parts = [leaf(words(3, 12, False) + r.choice(("", ".")), 1, "h1")]
             for _ in range(r.randint(1, 14)):
                 kind = r.random()
                 if kind < 0.72:
                     t = words(*r.choice(((1, 6), (8, 40), (30, 140))))
+                    if r.random() < 0.12:
+                        t = t.replace(" ", r.choice((" | ", " · ")))
                     parts.append(leaf(t, 1, "p", f"<b>{t}" if r.random() < 0.08 else None))
                 elif kind < 0.8:
                     parts.append(leaf(words(2, 7, False), 1, r.choice(("h2", "h3"))))
@@ -300,6 +389,9 @@ def labelled_pages(n: int, seed: int = 3) -> Iterator[tuple[str, list[tuple[str,
                 parts.append(comments())
             return "".join(parts)
 
+        if r.random() < 0.3:
+            yield from bare()
+            continue
         head = "<head><meta charset=utf-8>" + leaf(words(3, 12, False), 0, "title") + "<style>p{margin:0}</style><script>var t='</p>';</script></head>"
         top = [x() for x in (menu, notice, form, advert) if r.random() < 0.5]
         if r.random() < 0.4:
@@ -325,7 +417,7 @@ def labelled_blocks(n: int, seed: int = 3) -> list[tuple[list[Block], list[int]]
 
 
 @lru_cache(1)
-def default_field(pages: int = 500) -> Field:
+def default_field(pages: int = 900) -> Field:
     return train([(features(b), y) for b, y in labelled_blocks(pages)])
 
 
@@ -340,7 +432,7 @@ def extract(pages: DataFrame, html_column: str = "html", field: Field | None = N
     """Every row with `main_text` added: the blocks labelled main, in page order, joined by one space.
 
     Null, empty and text-free pages give an empty string; repeated rows give equal texts; nothing is cut or
-    shuffled.
+    shuffled. A column `main_text` of the input is replaced.
     """
     bounded_batches(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(field or default_field())

@@ -3,6 +3,9 @@
 Evidence of a row: the text's likelihood under byte-trigram models of each language, the language its markup declares,
 the language its address names (a path segment, a subdomain or a country suffix), and the prior of its host. Host priors come from
 grouped counts of first guesses, smoothed hierarchically: host towards its domain, domain towards all rows.
+
+The text models are learned from labelled rows. Where the rows to judge are the labelled rows themselves, they are dealt into FOLDS by
+their text, and each is judged by models that saw none of its fold.
 """
 
 from __future__ import annotations
@@ -13,21 +16,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, scratch
+from millrace.llm.common import Names, bounded_batches, scratch, small
 
 BINS = 1 << 16
 #: Trigrams of a text that are looked up together.
 TOGETHER = 1 << 16
-#: Documents per language that the text models are learned from, at most: the first by hash of the id.
+#: Labelled rows per language and fold that the text models are learned from, at most: the first by hash of the text.
 SAMPLE_ROWS = 400
+FOLDS = 2
+#: Languages whose trigram tables are looked up together (256 KB each); any number of languages is so many tables.
+TABLES = 64
 #: Trigrams overlap and repeat, so each counts for this much evidence, and no more than MAX_EVIDENCE of them.
 TEMPER, MAX_EVIDENCE = 0.2, 400
 DECLARED, ADDRESS, SMOOTHING = 0.9, 0.8, 20.0
 #: A row is rejected if no language reaches this posterior, or its text is this far below what its language's texts score.
-LEAST_POSTERIOR, FLOOR = 0.5, 2.5
+LEAST_POSTERIOR, FLOOR = 0.5, 3.0
 LEAST_TRIGRAMS = 200
 BROADCAST_HOSTS = 50_000
 # ASCII letters and all bytes of other letters stay, everything else is a gap.
@@ -44,40 +50,62 @@ def trigrams(data: bytes) -> np.ndarray:
 
 
 class TextModels:
-    """Log-probabilities of trigram bins by language, and what texts of a language usually score per trigram."""
-
-    def __init__(self, samples: dict[str, list[bytes]]) -> None:
-        self.languages = sorted(samples)
-        rows = []
-        for lang in self.languages:
-            n = np.bincount(np.concatenate([trigrams(t) for t in samples[lang]] or [np.zeros(0, np.int64)]), minlength=BINS).astype(float)
-            rows.append(np.log((n + 0.05) / (n.sum() + 0.05 * BINS)))
-        self.table = np.array(rows, np.float32).T.copy() if rows else np.zeros((BINS, 0), np.float32)
-        self.usual = [float(np.mean([self.table[g, k].mean() for t in samples[lang] if len(g := trigrams(t))] or [0])) for k, lang in enumerate(self.languages)]
-
-    def mean(self, text: str | None) -> tuple[int, np.ndarray]:
-        g, total = trigrams(letters(text)), np.zeros(len(self.languages))
-        for lo in range(0, len(g), TOGETHER):
-            total += self.table[g[lo : lo + TOGETHER]].sum(axis=0, dtype=np.float64)
-        return len(g), total / max(1, len(g))
-
-
-def learn(labelled: DataFrame, text: str, lang: str, key: str, rows: int = SAMPLE_ROWS) -> TextModels:
-    """From at most `rows` texts of each language (of at most 64 languages, else an error)."""
-    own = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(F.trim(text)) > 0))
-    langs = sorted(r[0] for r in own.select(lang).distinct().limit(65).collect())
-    if len(langs) > 64:
-        raise ValueError("more than 64 languages")
-    samples: dict[str, list[bytes]] = {}
-    picked = None
-    for x in langs:
-        ids = own.where(F.col(lang) == x).select(F.lit(x).alias("_l"), F.col(key).alias("_k")).orderBy(F.xxhash64("_k"), "_k").limit(rows)
-        picked = ids if picked is None else picked.union(ids)
-    if picked is not None:
-        found = own.join(F.broadcast(picked), (F.col(key) == F.col("_k")) & (F.col(lang) == F.col("_l"))).select("_l", "_k", F.col(text)).collect()
-        for x, _, t in sorted(found, key=lambda r: (r[0], str(r[1]), r[2])):
-            samples.setdefault(x, []).append(letters(t))
-    return TextModels(samples)
+    """Log-probabilities of trigram bins by language, and what texts of a language score per trigram.
+
+    One set of tables for each fold, learned from the rows of the other folds; a single set without folds. `counts` holds
+    (fold, language, bin, n).
+    """
+
+    def __init__(self, counts: list[tuple[int, str, int, int]], languages: list[str], folds: int = 1) -> None:
+        self.languages, self.folds = sorted(languages), folds
+        place = {x: k for k, x in enumerate(self.languages)}
+        n = np.zeros((folds, len(place), BINS), np.float32)
+        for fold, lang, low, high in counts:
+            n[fold, place[lang], low] += high
+        self.tables, self.usual = [], []
+        for own in n.sum(axis=0) - n if folds > 1 else n:
+            total = own.sum(axis=1, keepdims=True, dtype=np.float64)
+            logs = np.log((own + 0.05) / (total + 0.05 * BINS))
+            self.usual.append([float(x) for x in (own * logs).sum(axis=1) / np.maximum(total[:, 0], 1)])
+            self.tables.append([np.ascontiguousarray(logs[k : k + TABLES].T, np.float32) for k in range(0, len(place), TABLES)])
+
+    def mean(self, text: str | None, fold: int = 0) -> tuple[int, np.ndarray]:
+        """The number of trigrams and the mean log-probability of each language."""
+        g = trigrams(letters(text))
+        total = [sum((t[g[lo : lo + TOGETHER]].sum(axis=0, dtype=np.float64) for lo in range(0, len(g), TOGETHER)), np.zeros(t.shape[1])) for t in self.tables[fold]]
+        return len(g), np.concatenate(total or [np.zeros(0)]) / max(1, len(g))
+
+
+def fold_of(text: Column) -> Column:
+    """Equal texts are in one fold, so no model has seen a copy of what it judges."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for (fold, lang), texts in batch.groupby(["fold", "lang"])["text"]:
+            n = np.zeros(BINS, np.int64)
+            for t in texts:
+                n += np.bincount(trigrams(letters(t)), minlength=BINS)
+            seen = np.flatnonzero(n)
+            yield pd.DataFrame({"fold": fold, "lang": lang, "bin": seen, "n": n[seen]})
+
+
+def learn(labelled: DataFrame, text: str, lang: str, folds: int = 1, rows: int = SAMPLE_ROWS) -> TextModels:
+    """From at most `rows` texts of each language and fold; only counts of trigram bins reach the driver, 65 536 a language and fold at most.
+
+    Null languages and null or blank texts are not learned from. Repeated texts count once.
+    """
+    bounded_batches(labelled.sparkSession)
+    own = labelled.where(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0))
+    own = own.select(F.col(lang).alias("lang"), (fold_of(F.col(text)) if folds > 1 else F.lit(0)).alias("fold"), F.xxhash64(F.col(text), F.lit(8)).alias("h"), F.col(text).alias("text"))
+    first = Window.partitionBy("lang", "fold").orderBy("h")
+    picked = own.select("lang", "fold", "h").withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= rows).select("lang", "fold", "h").distinct()
+    picked = scratch(picked, "lang-picked")
+    found = own.join(small(picked), ["lang", "fold", "h"], "left_semi").dropDuplicates(["lang", "fold", "h"])
+    counts = found.select("fold", "lang", "text").mapInPandas(_counted, "fold int, lang string, bin int, n long").groupBy("fold", "lang", "bin").agg(F.sum("n").alias("n"))
+    seen = counts.collect()
+    return TextModels([tuple(r) for r in seen], [r[0] for r in picked.select("lang").distinct().collect()], folds)
 
 
 def markup_language(html: Column) -> Column:
@@ -100,23 +128,26 @@ def domain_of(host: Column) -> Column:
     return F.when((found != "") & ~name.rlike(r"^[\d.]+$"), found).otherwise(name)
 
 
-def identify(rows: DataFrame, models: TextModels, text: str = "text", host: str | None = None, domain: Column | None = None, declared: Column | None = None, address: Column | None = None) -> DataFrame:
-    """Every row with `language` (null if rejected), `confidence`, `accepted` added.
+def identify(rows: DataFrame, models: TextModels, text: str = "text", host: Column | None = None, domain: Column | None = None, declared: Column | None = None, address: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The rows' columns (those of `keep`, or all) with `language` (null if rejected), `confidence`, `accepted` added, replacing such columns.
 
     Rows without letters are rejected, as are rows that no language explains. Null and unknown declarations, addresses and
     hosts are no evidence. Ties go to the first language by name. Repeated rows get equal results. Without a model
-    every row is rejected. Host priors are one row per host, broadcast if few, else joined.
+    every row is rejected. Host priors are one row per host, broadcast if few, else joined. Models with folds judge a row by its fold's.
     """
     spark = rows.sparkSession
     bounded_batches(spark)
+    made = ("language", "confidence", "accepted")
+    kept = [c for c in (rows.columns if keep is None else keep) if c not in made]
     langs = models.languages
     if not langs:
-        return rows.withColumns({"language": F.lit(None).cast("string"), "confidence": F.lit(0.0), "accepted": F.lit(False)})
+        return rows.withColumns({"language": F.lit(None).cast("string"), "confidence": F.lit(0.0), "accepted": F.lit(False)}).select(*kept, *made)
     held = spark.sparkContext.broadcast(models)
+    name = Names(rows)
 
-    def likelihoods(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            both = [held.value.mean(t) for t in batch]
+    def likelihoods(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, folds in batches:
+            both = [held.value.mean(t, f) for t, f in zip(texts, folds, strict=True)]
             yield pd.DataFrame({"n": [n for n, _ in both], "mean": [m for _, m in both]})
 
     # a filter on what it tells must not run it a second time
@@ -128,32 +159,41 @@ def identify(rows: DataFrame, models: TextModels, text: str = "text", host: str
         known = value.isin(langs)
         return F.when(known, F.when(value == langs[k], math.log(trust)).otherwise(math.log((1 - trust) / (len(langs) - 1)))).otherwise(0.0)
 
-    weight = F.least(F.col("_ll.n"), F.lit(MAX_EVIDENCE)) * TEMPER
-    own = rows.withColumn("_ll", told(F.col(text)))
-    own = own.withColumn("_own", F.array(*[weight * F.col("_ll.mean")[k] + said(declared, DECLARED, k) + said(address, ADDRESS, k) for k in range(len(langs))]))
+    fold = fold_of(F.col(text)) if models.folds > 1 else F.lit(0)
+    ll, score, at, under, prior, all_ = map(name, ("ll", "score", "host", "domain", "prior", "all"))
+    n, mean = F.col(ll)["n"], F.col(ll)["mean"]
+    spoken = F.array(*[said(declared, DECLARED, k) + said(address, ADDRESS, k) for k in range(len(langs))])
+    extra = {ll: told(F.col(text), fold), name("fold"): fold, name("spoken"): spoken}
+    if host is not None:
+        extra |= {at: host, under: domain if domain is not None else F.lit("")}
+    own = rows.withColumns(extra).select(*kept, *extra)
+    weight = F.least(n, F.lit(MAX_EVIDENCE)) * TEMPER
+    own = own.withColumn(score, F.zip_with(F.transform(mean, lambda m: m * weight), name("spoken"), lambda a, b: a + b))
     best = lambda c: F.array_position(c, F.array_max(c))
     if host is not None:
-        guess = own.where(F.col("_ll.n") > 0).select(F.col(host).alias("_host"), (domain if domain is not None else F.lit("")).alias("_domain"), best("_own").alias("_g"))
-        counts = scratch(guess.groupBy("_host", "_domain").agg(*[F.count_if(F.col("_g") == k + 1).cast("double").alias(f"_n{k}") for k in range(len(langs))]), "lang-hosts")
-        sums = lambda by: [F.sum(f"_n{k}").alias(f"_{by}{k}") for k in range(len(langs))]
-        total = counts.agg(*sums("t")).first()
-        whole = [(x or 0.0) for x in total]
-        prior = [(x + 1) / (sum(whole) + len(langs)) for x in whole]
-        domains = counts.groupBy("_domain").agg(*sums("d"))
-        smooth = lambda n, p: [(F.col(f"{n}{k}") + SMOOTHING * p[k]) / (sum(F.col(f"{n}{j}") for j in range(len(langs))) + SMOOTHING) for k in range(len(langs))]
-        domains = domains.select(F.col("_domain").alias("_dd"), *[c.alias(f"_p{k}") for k, c in enumerate(smooth("_d", [F.lit(p) for p in prior]))])
-        hosts = counts.groupBy("_host").agg(F.min("_domain").alias("_domain"), *sums("h")).join(domains, F.col("_domain").eqNullSafe(F.col("_dd")))
-        hosts = hosts.select(F.col("_host").alias("_prior_host"), F.array(*[F.ln(c) for c in smooth("_h", [F.col(f"_p{k}") for k in range(len(langs))])]).alias("_prior"))
-        hosts = scratch(hosts, "lang-priors")
-        side = F.broadcast(hosts) if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else hosts
-        own = own.join(side, F.col(host).eqNullSafe(F.col("_prior_host")), "left")
-        own = own.withColumn("_all", F.when(F.col("_prior").isNull(), F.col("_own")).otherwise(F.zip_with("_own", "_prior", lambda a, b: a + b))).drop("_prior_host", "_prior")
+        own = scratch(own, "lang-told")  # the texts are read once, for the priors and for the rows
+        guess = own.where(n > 0).groupBy(F.col(at).alias("h"), F.col(under).alias("d"), best(F.col(score)).cast("int").alias("g")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+        guess = scratch(guess, "lang-guesses")
+        # counts as arrays by language, of each host within its domain, of domains, of all
+        counts = lambda df, *by: df.groupBy(*by).agg(F.array(*[F.sum(F.when(F.col("g") == k + 1, F.col("c")).otherwise(0.0)) for k in range(len(langs))]).alias("n"))
+        smooth = lambda c, p: F.zip_with(c, p, lambda x, y: (x + SMOOTHING * y) / (F.aggregate(c, F.lit(0.0), lambda s, z: s + z) + SMOOTHING))
+        seen = {r["g"]: r["c"] for r in guess.groupBy("g").agg(F.sum("c").alias("c")).collect()}
+        whole = [seen.get(k + 1, 0.0) for k in range(len(langs))]
+        base = F.array(*[F.lit((x + 1) / (sum(whole) + len(langs))) for x in whole])
+        domains = counts(guess, "d").select(F.col("d").alias("dd"), smooth(F.col("n"), base).alias("p"))
+        hosts = counts(guess, "h", "d").join(domains, F.col("d").eqNullSafe(F.col("dd")))
+        hosts = hosts.select(F.col("h").alias(name("h")), F.col("d").alias(name("d")), F.transform(smooth(F.col("n"), F.col("p")), F.ln).alias(prior))
+        hosts = small(scratch(hosts, "lang-priors"), BROADCAST_HOSTS)
+        own = own.join(hosts, F.col(at).eqNullSafe(F.col(name("h"))) & F.col(under).eqNullSafe(F.col(name("d"))), "left")
+        own = own.withColumn(all_, F.when(F.col(prior).isNull(), F.col(score)).otherwise(F.zip_with(score, prior, lambda a, b: a + b)))
     else:
-        own = own.withColumn("_all", F.col("_own"))
-    top = F.array_max("_all")
-    confidence = 1 / F.aggregate("_all", F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    pick = best("_all").cast("int")
-    usual = F.element_at(F.array(*[F.lit(u) for u in models.usual]), pick)
-    fits = (F.col("_ll.n") < LEAST_TRIGRAMS) | (F.element_at("_ll.mean", pick) > usual - FLOOR)
-    own = own.withColumns({"_pick": pick, "confidence": confidence, "accepted": (F.col("_ll.n") > 0) & (confidence >= LEAST_POSTERIOR) & fits})
-    return own.withColumn("language", F.when(F.col("accepted"), F.element_at(F.array(*[F.lit(x) for x in langs]), F.col("_pick")))).drop("_ll", "_own", "_all", "_pick")
+        own = own.withColumn(all_, F.col(score))
+    top = F.array_max(all_)
+    confidence = 1 / F.aggregate(all_, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    own = own.withColumns({name("pick"): best(F.col(all_)).cast("int"), name("sure"): confidence})
+    pick = F.col(name("pick"))
+    usual = F.element_at(F.element_at(F.array(*[F.array(*map(F.lit, u)) for u in models.usual]), F.col(name("fold")) + 1), pick)
+    fits = (n < LEAST_TRIGRAMS) | (F.element_at(mean, pick) > usual - FLOOR)
+    accepted = (n > 0) & (F.col(name("sure")) >= LEAST_POSTERIOR) & fits
+    language = F.when(accepted, F.element_at(F.array(*map(F.lit, langs)), pick))
+    return own.select(*kept, language.alias("language"), F.col(name("sure")).alias("confidence"), accepted.alias("accepted"))

@@ -51,17 +51,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    models = langid.learn(docs, "text", "lang", "doc_id")
-    out = langid.identify(docs, models, host="source", declared=F.col("lang"))
-    return out.select("doc_id", "lang", "source", "language", F.round("confidence", 6).alias("confidence"), F.col("accepted").alias("kept"))
-
-
-def op8_page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = langid.learn(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", "lang", "doc_id")
+    models = langid.learn(table(spark, sf_dir, "documents").select("text", "lang"), "text", "lang")
     host, html = url_filter.host_of(F.col("url")), F.col("html")
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", host.alias("host"), langid.domain_of(host).alias("domain"), langid.markup_language(html).alias("declared"), langid.address_language(F.col("url"), models.languages).alias("address"), html_to_text(html).alias("text"))
-    out = langid.identify(pages, models, host="host", domain=F.col("domain"), declared=F.col("declared"), address=F.col("address"))
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), langid.domain_of(host).alias("domain"), langid.markup_language(html).alias("declared"), langid.address_language(F.col("url"), models.languages).alias("address"), html_to_text(html).alias("text"))
+    out = langid.identify(pages, models, host=F.col("host"), domain=F.col("domain"), declared=F.col("declared"), address=F.col("address"), keep=["page_id", "host", "domain", "declared", "address"])
     return out.select("page_id", "host", "domain", "declared", "address", "language", F.round("confidence", 6).alias("confidence"), F.col("accepted").alias("kept"))
 
 
@@ -75,7 +68,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_html_extraction, op3_line_dedup, op4_source_mixing, op5_decontamination, op6_quality, op7_substring_dedup, op8_language_id, op8_page_language_id, op9_media, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_html_extraction, op3_line_dedup, op4_source_mixing, op5_decontamination, op6_quality, op7_substring_dedup, op8_language_id, op9_media, op10_near_dedup)}
 
 # ------------------------------------------------------------------------------------------------- SQL
 
