@@ -14,9 +14,13 @@ from millrace.llm.common import scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others carry the language that was found."""
-    models = langid.learn(docs, "text", "lang", "doc_id")
-    found = langid.identify(docs, models, host="source", declared=F.col("lang"))
+    """Rejected documents go; the others carry the language that was found.
+
+    Evidence is the text and the priors of its source: documents have no markup or address, and a row's own `lang` is not shown to
+    its judgement, as the text models are learned from that column; rows are judged by models that saw none of their fold.
+    """
+    models = langid.learn(docs, "text", "lang", folds=langid.FOLDS)
+    found = langid.identify(docs, models, host=F.col("source"))
     return found.where("accepted").withColumn("lang", F.col("language")).select(docs.columns)
 
 
