@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, scratch
+from millrace.llm.common import Names, bounded_batches, scratch
 
 WINDOW = 10
 SAMPLE = 8
@@ -226,26 +226,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
     Null and empty texts have no words and no leaks; items without words, or with null text, match nothing. Items that share
     an id are one item; an item with a null id removes words but is not listed. An empty benchmark leaks nothing. Nothing is
-    shuffled. A benchmark of more than ITEM_BYTES is searched in blocks, each a written pass over the documents.
+    shuffled. A benchmark of more than ITEM_BYTES is searched in blocks, each a pass over the documents that writes the spans it finds,
+    and the documents are joined with those once. A column `leak` of the input is replaced.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    name = Names(docs)
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-total // ITEM_BYTES) or 1
-    out = docs
+    out = docs.drop("leak")
+    if blocks == 1:
+        search = searcher(spark.sparkContext.broadcast(Phrases([tuple(r) for r in items.collect()], window)))
+        return out.withColumn("leak", search(F.col(text)))
+    # a pass per block leaves spans by text, not the texts, and these are merged by text in the end
+    key = F.struct(F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.col(text), F.lit(1)).alias("b"))
+    parts = None
     for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        search = searcher(spark.sparkContext.broadcast(Phrases([tuple(r) for r in own.collect()], window)))
-        found = out.withColumn("_found", search(F.col(text)))
-        if k == 0:
-            out = found.withColumn("leak", F.col("_found")).drop("_found")
-        else:
-            both = F.pandas_udf(merged_spans, "array<struct<start:int,end:int>>")(F.concat("leak.starts", "_found.starts"), F.concat("leak.ends", "_found.ends"))
-            out = found.withColumn("_spans", both).withColumn("leak", F.struct(F.col("leak.n_words").alias("n_words"), F.col("_spans.start").alias("starts"), F.col("_spans.end").alias("ends"), F.array_distinct(F.concat("leak.items", "_found.items")).alias("items"))).drop("_found", "_spans")
-        if blocks > 1:
-            out = scratch(out, f"leaks{k}")
-    return out
+        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+        search = searcher(spark.sparkContext.broadcast(Phrases([tuple(r) for r in own.collect()], window))).asNondeterministic()
+        found = docs.where(F.col(text).isNotNull()).select(key.alias("key"), search(F.col(text)).alias("leak"))
+        found = scratch(found.where(F.size("leak.starts") > 0).dropDuplicates(["key"]), f"leaks{k}")
+        parts = found if parts is None else parts.unionByName(found)
+    merge = F.pandas_udf(merged_spans, "array<struct<start:int,end:int>>")
+    both = parts.groupBy("key").agg(*(F.flatten(F.collect_list(f"leak.{c}")).alias(c) for c in ("starts", "ends", "items")))
+    both = both.withColumn("spans", merge("starts", "ends")).select(F.col("key").alias(name("key")), F.col("spans.start").alias(name("starts")), F.col("spans.end").alias(name("ends")), F.array_distinct("items").alias(name("items")))
+    out = out.join(scratch(both, "leaks"), key == F.col(name("key")), "left")
+    counted = F.pandas_udf(_word_counts, "long")
+    none = F.array()
+    leak = F.struct(counted(F.col(text)).alias("n_words"), F.coalesce(name("starts"), none.cast("array<int>")).alias("starts"), F.coalesce(name("ends"), none.cast("array<int>")).alias("ends"), F.coalesce(name("items"), none.cast("array<string>")).alias("items"))
+    return out.withColumn("leak", leak).drop(*(name(c) for c in ("key", "starts", "ends", "items")))
+
+
+def _word_counts(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(words(t)) for t in texts], dtype="int64")
 
 
 def leak_digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

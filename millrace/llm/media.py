@@ -156,8 +156,8 @@ class Image:
             raise ValueError("one scan with all components only")
         alone = len(components) == 1
         self.h, self.v = (1, 1) if alone else (components[0][1] >> 4, components[0][1] & 15)
-        h_max, v_max = (1, 1) if alone else (max(c[1] >> 4 for c in components), max(c[1] & 15 for c in components))
-        self.columns, self.rows = -(-self.width // (8 * h_max)), -(-self.height // (8 * v_max))
+        self.h_max, self.v_max = (1, 1) if alone else (max(c[1] >> 4 for c in components), max(c[1] & 15 for c in components))
+        self.columns, self.rows = -(-self.width // (8 * self.h_max)), -(-self.height // (8 * self.v_max))
         self.quant = quant[components[0][2]]
         #: the blocks of an MCU: component, DC table, AC table
         self.layout = tuple((k, huff[scan[c[0]] >> 4], huff[16 + (scan[c[0]] & 15)]) for k, c in enumerate(components) for _ in range(1 if alone else (c[1] >> 4) * (c[1] & 15)))
@@ -238,7 +238,9 @@ def decode(images: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
     for i, (k, x) in enumerate(parsed):
         pixel = np.clip((np.concatenate(values[i]) * x.quant + 4) // 8 + 128, 0, 255).astype(np.uint8)
         pixel = pixel.reshape(x.rows, x.columns, x.v, x.h).swapaxes(1, 2).reshape(x.rows * x.v, x.columns * x.h)
-        out[k].append((x.width, x.height, pixel[: -(-x.height * x.v // (8 * x.v)), :] if x.v == 1 else pixel))
+        # blocks beyond the edge only fill the last MCU; a block of a subsampled luminance covers more pixels
+        down, right = 8 * x.v_max // x.v, 8 * x.h_max // x.h
+        out[k].append((x.width, x.height, pixel[: -(-x.height // down), : -(-x.width // right)]))
     return out
 
 
@@ -305,7 +307,7 @@ def with_media(docs: DataFrame, text: str = "text", keep: bool = True) -> DataFr
     """Add `media_info`: what reading the text's stored JPEG back gives, and with `keep` the JPEG itself as `media`.
 
     Null and empty texts are 192 spaces. Texts of over 192 * 8191 bytes are several JPEGs in a row. Equal texts give equal
-    values. Nothing is shuffled.
+    values. Nothing is shuffled. Columns `media_info` and `media` of the input are replaced.
     """
     bounded_batches(docs.sparkSession)
-    return docs.withColumn("media_info", F.pandas_udf(round_trip(keep), INFO + ", media binary" * keep)(F.col(text)))
+    return docs.drop("media").withColumn("media_info", F.pandas_udf(round_trip(keep), INFO + ", media binary" * keep)(F.col(text)))

@@ -19,8 +19,8 @@ from millrace.llm.common import Rolling, bounded_batches, canonical, text_blocks
 
 BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 18, 8, 6, 4.0
 REPEAT = BUCKETS - 1
-#: Labelled rows per class that are learned from, at most: the first by hash of the id.
-SAMPLE_ROWS = 2_000
+#: Labelled rows per class that are learned from, at most: the first by hash of the id, of texts of up to SAMPLE_BYTES.
+SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 50_000
 FOLDS = 5
 _WORD = Rolling(606)
 
@@ -110,20 +110,25 @@ def train(texts: list[str | None], labels: list[int], seed: int = 11, epochs: in
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> tuple[list, list]:
-    """At most `rows` labelled documents of each class outside fold 0; of the documents only the sampled ones are collected."""
-    own = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (fold(F.col(doc_id)) != 0)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).dropDuplicates(["_id"])
+    """At most `rows` labelled documents of each class outside fold 0; of the documents only the sampled ones are collected.
+
+    An id of both labels is not learned from; of the texts of one id the first by hash is.
+    """
+    own = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (fold(F.col(doc_id)) != 0)).groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).cast("int").alias("_y"), F.max(label).cast("int").alias("_z")).where("_y = _z").drop("_z")
     order = [F.xxhash64("_id"), "_id"]
     picked = own.where("_y = 1").orderBy(*order).limit(rows).unionByName(own.where("_y = 0").orderBy(*order).limit(rows))
-    found = docs.join(F.broadcast(picked), F.col(doc_id) == F.col("_id")).select("_id", F.col(text).alias("_t"), "_y").dropDuplicates(["_id"]).collect()
-    found.sort(key=lambda r: r[0])
-    return [r[1] for r in found], [r[2] for r in found]
+    short = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).where(F.coalesce(F.octet_length("_t"), F.lit(0)) <= SAMPLE_BYTES)
+    found = short.join(F.broadcast(picked), F.col("_d") == F.col("_id")).groupBy("_id", "_y").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t")).collect()
+    found.sort(key=lambda r: r["_id"])
+    return [r["_t"] for r in found], [r["_y"] for r in found]
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> DataFrame:
     """Every row with `quality_score` added, in [0, 1], higher where label 1 is likelier.
 
     Only the text enters a score. Null, empty and blank texts get the model's score of no evidence. Labels that are null or not 0 or
-    1 are not learned from; with fewer than two classes, or no labels, the score is a constant. Repeated rows score alike.
+    1 are not learned from; with fewer than two classes, or no labels, the score is a constant. Repeated rows score alike. A column
+    `quality_score` of the input is replaced.
     """
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, doc_id, text, label, rows)))

@@ -92,11 +92,14 @@ def _op1_sql() -> str:
     return rf"""WITH p AS (SELECT page_id, html, coalesce({host.format('url')}, '') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
 judged AS (SELECT *, CASE {cases} END AS rule FROM p),
 acted AS (SELECT *, CASE {actions} END AS action FROM judged),
-found AS (SELECT host AS src, unnest(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]+)', 1, 'i')) AS link FROM p WHERE host <> ''),
-links AS (SELECT DISTINCT src, dst FROM (SELECT src, {host.format("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM found) WHERE dst <> '' AND src <> dst),
-wide AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS wo, 1.0::DOUBLE / count(*) OVER (PARTITION BY dst) AS wi FROM links),
-flows AS (SELECT src AS a, dst AS b, wo AS wt, 0.0::DOUBLE AS wd FROM wide UNION ALL SELECT dst, src, 0.0::DOUBLE, wi FROM wide),
-s0 AS (SELECT host, {keep} * avg(CASE WHEN action = 'allow' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS t0, {keep} * avg(CASE WHEN action = 'block' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS d0 FROM acted WHERE host <> '' GROUP BY host),
+seen AS (SELECT DISTINCT src, page, CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END AS url FROM (SELECT page_id AS page, * FROM (SELECT page_id, host AS src, unnest(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]+)', 1, 'i')) AS link FROM p WHERE host <> ''))),
+aimed AS (SELECT src, {host.format('url')} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM seen),
+tested AS (SELECT src, host AS dst, CASE {cases} END AS rule FROM aimed WHERE host <> '' AND src <> host),
+links AS (SELECT src, dst, avg(CASE WHEN action = 'allow' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS t, avg(CASE WHEN action = 'block' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS d FROM (SELECT *, CASE {actions} END AS action FROM tested) GROUP BY src, dst),
+wide AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM links),
+flows AS (SELECT src AS a, dst AS b, w AS wt, 0.0::DOUBLE AS wd FROM wide UNION ALL SELECT dst, src, 0.0::DOUBLE, w FROM wide),
+own AS (SELECT host, avg(CASE WHEN action = 'allow' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS t, avg(CASE WHEN action = 'block' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS d FROM acted WHERE host <> '' GROUP BY host),
+s0 AS (SELECT host, {keep} * t AS t0, {keep} * d AS d0 FROM (SELECT * FROM own UNION ALL SELECT dst, avg(t), avg(d) FROM links WHERE dst NOT IN (SELECT host FROM own) GROUP BY dst HAVING avg(t) > 0 OR avg(d) > 0)),
 r0 AS (SELECT host, t0 AS trust, d0 AS distrust FROM s0),
 {", ".join(rounds)}
 SELECT page_id, acted.host, path, rule, coalesce(action, CASE WHEN coalesce(distrust, 0) > {url_filter.THRESHOLD} AND coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
@@ -104,9 +107,9 @@ FROM acted LEFT JOIN {last} ON acted.host = {last}.host"""
 
 
 _OP3_SQL = f"""WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-own AS (SELECT source, unnest(list_distinct(list_transform(list_filter(lines, lambda x: trim(x, ' ') <> ''), lambda x: trim(x, ' ')))) AS line FROM d),
-bad AS (SELECT k.source, list(k.line) AS bad FROM (SELECT source, line, count(*) AS n FROM own GROUP BY ALL) k
-        JOIN (SELECT source, count(*) AS total FROM documents GROUP BY source) t ON k.source IS NOT DISTINCT FROM t.source
+own AS (SELECT source, trim(text, ' ') AS page, unnest(list_distinct(list_transform(list_filter(lines, lambda x: trim(x, ' ') <> ''), lambda x: trim(x, ' ')))) AS line FROM d),
+bad AS (SELECT k.source, list(k.line) AS bad FROM (SELECT source, line, count(DISTINCT page) AS n FROM own GROUP BY ALL) k
+        JOIN (SELECT source, count(DISTINCT trim(text, ' ')) + max((text IS NULL)::INT) AS total FROM documents GROUP BY source) t ON k.source IS NOT DISTINCT FROM t.source
         WHERE n >= {line_dedup.MIN_PAGES} AND n > {line_dedup.RATIO}::DOUBLE * total GROUP BY k.source),
 kept AS (SELECT doc_id, d.source, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: trim(x, ' ') = '' OR NOT list_contains(bad, trim(x, ' '))) END AS kept
          FROM d LEFT JOIN bad ON d.source IS NOT DISTINCT FROM bad.source)

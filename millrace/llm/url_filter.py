@@ -10,11 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import scratch
+from millrace.llm.common import Names, discard, scratch, small
 
 #: (action, host, path): the rules of the registered query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, THRESHOLD, MAX_RULES = 0.85, 8, 0.05, 500
+DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.05
+#: Hosts whose scores are broadcast; beyond, both sides are shuffled.
+BROADCAST_HOSTS = 50_000
+#: Rules that are one expression; a longer list is joined by host.
+MAX_RULES = 500
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HREF = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*((?:https?:)?//[^\"'\s>]+)"
@@ -29,9 +33,7 @@ def path_of(url: Column) -> Column:
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
-    """The longest fitting rule as struct(rule, action), or null. Rules are a driver-side list of at most MAX_RULES."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules; join longer lists as a table")
+    """The longest fitting rule as struct(rule, action), or null."""
     out = None
     for action, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r)):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -40,9 +42,26 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,action:string>")
 
 
-def action_share(action: str) -> Column:
+def ruled(df: DataFrame, host: str, path: str, into: str, rules=RULES) -> DataFrame:
+    """The rows with the longest fitting rule in column `into`; a long list is joined once per host, and its few rules that fit the host are tried on the path."""
+    if len(rules) <= MAX_RULES:
+        return df.withColumn(into, matching_rule(F.col(host), F.col(path), rules))
+    table = df.sparkSession.createDataFrame(list(rules), "action string, host string, path string")
+    parts = F.split("_h", r"\.", -1)
+    hosts = df.select(F.col(host).alias("_h")).where(F.col("_h") != "").distinct()
+    suffixes = hosts.select("_h", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("host"))
+    whole = F.concat("host", "path")
+    fits = suffixes.join(table, "host").groupBy("_h").agg(F.array_sort(F.collect_set(F.struct((-F.length(whole)).alias("n"), "action", "host", "path"))).alias("_fits"))
+    name = Names(df)
+    fits = small(scratch(fits.select(F.col("_h").alias(name("_h")), F.col("_fits").alias(name("_fits"))), "url-rules"))
+    best = F.try_element_at(F.filter(name("_fits"), lambda r: F.col(path).startswith(r["path"])), F.lit(1))
+    out = df.join(fits, F.col(host) == F.col(name("_h")), "left")
+    return out.withColumn(into, F.when(best.isNotNull(), F.struct(F.concat(best["host"], best["path"]).alias("rule"), best["action"].alias("action")))).drop(name("_h"), name("_fits"))
+
+
+def action_share(rule: str, action: str) -> Column:
     """The share of a group's rows that a rule with this action decides."""
-    return F.avg(F.coalesce((F.col("_rule.action") == action).cast("double"), F.lit(0.0)))
+    return F.avg(F.coalesce((F.col(rule)["action"] == action).cast("double"), F.lit(0.0)))
 
 
 def host_links(pages: DataFrame, url: str, html: str, rules=RULES) -> DataFrame:
@@ -50,8 +69,8 @@ def host_links(pages: DataFrame, url: str, html: str, rules=RULES) -> DataFrame:
     found = pages.select(host_of(F.col(url)).alias("src"), F.array_distinct(F.transform(F.regexp_extract_all(F.col(html), F.lit(_HREF), F.lit(1)), lambda x: F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x))).alias("_to"))
     found = found.where((F.size("_to") > 0) & (F.col("src") != ""))
     edges = found.select("src", F.explode("_to").alias("_to")).select("src", host_of(F.col("_to")).alias("dst"), path_of(F.col("_to")).alias("_path"))
-    edges = edges.where((F.col("dst") != "") & (F.col("src") != F.col("dst"))).withColumn("_rule", matching_rule(F.col("dst"), F.col("_path"), rules))
-    return edges.groupBy("src", "dst").agg(action_share("allow").alias("t"), action_share("block").alias("d"))
+    edges = ruled(edges.where((F.col("dst") != "") & (F.col("src") != F.col("dst"))), "dst", "_path", "_rule", rules)
+    return edges.groupBy("src", "dst").agg(action_share("_rule", "allow").alias("t"), action_share("_rule", "block").alias("d"))
 
 
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
@@ -89,17 +108,18 @@ def filter_urls(pages: DataFrame, url: str = "url", html: str = "html", rules=RU
     no links. Repeated rows are judged alike. Columns of these names in the input are replaced. The scores come from hosts'
     shares of ruled pages, of a host without rows from the ruled links to it, so a hot host is one row of the graph.
     """
-    judged = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    judged = judged.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    seeds = scratch(judged.where(F.col("host") != "").groupBy("host").agg(action_share("allow").alias("t"), action_share("block").alias("d")), "url-own")
+    name = Names(pages)
+    rule, at, trusted, blocked = map(name, ("rule", "host", "trust", "distrust"))
+    judged = pages.drop("trust", "distrust", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    judged = ruled(judged, "host", "path", rule, rules)
+    seeds = scratch(judged.where(F.col("host") != "").groupBy("host").agg(action_share(rule, "allow").alias("t"), action_share(rule, "block").alias("d")), "url-own")
     links = scratch(host_links(pages, url, html, rules), "url-links")
     # each linking host counts once for a host without rows
     targets = links.groupBy(F.col("dst").alias("host")).agg(F.avg("t").alias("t"), F.avg("d").alias("d")).where("t > 0 or d > 0")
-    seeds = seeds.unionByName(targets.join(seeds.select("host"), "host", "left_anti"))
-    scores = scratch(propagate(links, seeds, damping, rounds), "url-scores")
-    scores = scores.select(F.col("host").alias("_host"), F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust"))
-    small = scores.limit(50_001).count() <= 50_000
-    out = judged.drop("trust", "distrust", "rule", "verdict").join(F.broadcast(scores) if small else scores, F.col("host") == F.col("_host"), "left")
-    trust, distrust = F.coalesce("_trust", F.lit(0.0)), F.coalesce("_distrust", F.lit(0.0))
+    scores = scratch(propagate(links, seeds.unionByName(targets.join(seeds.select("host"), "host", "left_anti")), damping, rounds), "url-scores")
+    discard(seeds, links)
+    side = small(scores.select(F.col("host").alias(at), F.col("trust").alias(trusted), F.col("distrust").alias(blocked)), BROADCAST_HOSTS)
+    out = judged.join(side, F.col("host") == F.col(at), "left")
+    trust, distrust = F.coalesce(trusted, F.lit(0.0)), F.coalesce(blocked, F.lit(0.0))
     method = F.when((distrust > threshold) & (distrust > trust), F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce(F.col("_rule.action"), method), "trust": trust, "distrust": distrust}).drop("_rule", "_host", "_trust", "_distrust")
+    return out.withColumns({"rule": F.col(rule)["rule"], "verdict": F.coalesce(F.col(rule)["action"], method), "trust": trust, "distrust": distrust}).drop(rule, at, trusted, blocked)

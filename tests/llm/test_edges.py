@@ -80,9 +80,9 @@ def test_leaks_in_blocks(spark, docs, bench, monkeypatch):
 
 
 def test_lines(spark, none):
-    rows = [(i, "Menu\n\nown %d" % i if i < 6 else None, "h") for i in range(8)] + [(9, "", None)]
+    rows = [(i, "Menu\n\nown %d" % i if i < 6 else None, "h") for i in range(8)] + [(9, "", None)] + [(k, "copied\nlines", "h") for k in range(20, 30)]
     out = {r.doc_id: r for r in line_dedup.drop_boilerplate_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert out[0].kept_text == "\nown 0" and out[0].n_dropped == 1 and out[7].kept_text is None and out[9].kept_text == ""
+    assert out[0].kept_text == "\nown 0" and out[0].n_dropped == 1 and out[7].kept_text is None and out[9].kept_text == "" and out[20].kept_text == "copied\nlines"
     assert line_dedup.drop_boilerplate_lines(none).count() == 0
 
 
@@ -97,10 +97,10 @@ def test_others(spark, docs, none, bench):
     labels = spark.createDataFrame([(1, 1), (8, 0), (None, 1), (2, None)], "doc_id long, quality int")
     assert quality.score_quality(docs, labels).where("quality_score between 0 and 1").count() == len(ROWS)
     assert quality.score_quality(none, labels.limit(0)).count() == 0
-    models = langid.learn(docs, "text", "lang", "doc_id")
-    found = {r.doc_id: r for r in langid.identify(docs, models, host="source", declared=F.col("lang")).collect()}
+    models = langid.learn(docs, "text", "lang")
+    found = {r.doc_id: r for r in langid.identify(docs, models, host=F.col("source"), declared=F.col("lang")).collect()}
     assert found[8].language == "de" and found[1].language == "en" and not found[4].accepted and not found[6].accepted
-    assert langid.identify(none, langid.learn(none, "text", "lang", "doc_id")).count() == 0
+    assert langid.identify(none, langid.learn(none, "text", "lang", folds=2)).count() == 0
 
 
 def test_pages(spark):

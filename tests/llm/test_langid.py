@@ -78,7 +78,7 @@ def brute(rows, models):
             score = [s + math.log(x) for s, x in zip(score, p, strict=True)]
         top = max(score)
         pick, sure = score.index(top), 1 / sum(math.exp(s - top) for s in score)
-        kept = n > 0 and sure >= langid.LEAST_POSTERIOR and (n < langid.LEAST_TRIGRAMS or float(mean[pick]) > models.usual[pick] - langid.FLOOR)
+        kept = n > 0 and sure >= langid.LEAST_POSTERIOR and (n < langid.LEAST_TRIGRAMS or float(mean[pick]) > models.usual[0][pick] - langid.FLOOR)
         out.append((models.languages[pick] if kept else None, round(sure, 6), kept))
     return out
 
@@ -101,8 +101,8 @@ def corpus(spark, tmp_path_factory):
 
 def test_page_query_fuses_all_evidence(spark, corpus):
     at, rows = corpus
-    out = {r.page_id: r for r in entry.queries()["op8_page_language_id"](spark, at).collect()}
-    models = langid.learn(spark.read.parquet(f"{at}/documents.parquet"), "text", "lang", "doc_id")
+    out = {r.page_id: r for r in entry.queries()["op8_language_id"](spark, at).collect()}
+    models = langid.learn(spark.read.parquet(f"{at}/documents.parquet"), "text", "lang")
     known = []
     for _, url, html, text in rows:
         host = urlsplit(url).netloc if url else ""
@@ -116,11 +116,37 @@ def test_page_query_fuses_all_evidence(spark, corpus):
 
 
 def test_each_source_decides_where_the_text_is_silent(spark, corpus):
-    models = langid.learn(spark.read.parquet(f"{corpus[0]}/documents.parquet"), "text", "lang", "doc_id")
+    models = langid.learn(spark.read.parquet(f"{corpus[0]}/documents.parquet"), "text", "lang")
     shape = "text string, host string, domain string, declared string, address string"
     rows = [("x", "a", "d", "fr", None), ("x", "b", "d", None, "de"), *[(WORDS["de"], "c", "e", None, None)] * 40, ("x", "c", "e", None, None), ("x", "f", "e", None, None), ("x", "f", "e", "en", "en")]
-    out = langid.identify(spark.createDataFrame(rows, shape).coalesce(1), models, host="host", domain=F.col("domain"), declared=F.col("declared"), address=F.col("address")).collect()
+    out = langid.identify(spark.createDataFrame(rows, shape).coalesce(1), models, host=F.col("host"), domain=F.col("domain"), declared=F.col("declared"), address=F.col("address")).collect()
     got = [(r.language, round(r.confidence, 6), r.accepted) for r in out]
     assert [g[:1] + g[2:] for g in got] == [w[:1] + w[2:] for w in brute(rows, models)]
     assert all(abs(g[1] - w[1]) < 2e-6 for g, w in zip(got, brute(rows, models), strict=True))
     assert got[0][0] == "fr" and got[1][0] == "de" and got[-3][0] == got[-2][0] == "de" and got[-1][0] == "en"
+
+
+def test_many_languages_and_folds(spark):
+    rows = [(f"l{k:03}", " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in ("ba", "do", "fi", "gu", "lek", "mor")) + f" x{c}") for k in range(100) for c in "abcd"]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    models = langid.learn(df, "text", "lang", folds=2)
+    assert len(models.languages) == 100 and len(models.tables[0]) == 2
+    out = langid.identify(df, models).collect()
+    seen = {(f, x) for (x, _), f in zip(rows, [r[0] for r in df.select(langid.fold_of(F.col("text"))).collect()], strict=True)}
+    both = [r for r in out if {(0, r.lang), (1, r.lang)} <= seen]
+    assert len(both) > 200 and sum(r.language == r.lang for r in both) > 0.9 * len(both)
+
+
+def test_rows_are_judged_by_models_of_other_rows(spark):
+    df = spark.createDataFrame([("aa bb cc dd ee " * 9, "x")] * 30 + [("ff gg hh ii jj " * 9 + str(k), "y") for k in range(8)], "text string, lang string")
+    models = langid.learn(df, "text", "lang", folds=2)
+    # all copies of the one text are in one fold, so no model that judges them has seen language x
+    fold = df.where("lang = 'x'").select(langid.fold_of(F.col("text"))).first()[0]
+    assert models.mean("aa bb cc dd ee", fold)[1][0] < models.mean("aa bb cc dd ee", 1 - fold)[1][0]
+    assert not any(r.accepted and r.language == "x" for r in langid.identify(df, models).where("lang = 'x'").collect())
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = langid.identify(docs, langid.learn(docs, "text", "lang", folds=langid.FOLDS), host=F.col("source"))
+    assert out.where("accepted").count() >= 995 and out.where("accepted and language = lang").count() >= 990
