@@ -65,7 +65,8 @@ class TextModels:
         self.tables, self.usual = [], []
         for own in n.sum(axis=0) - n if folds > 1 else n:
             total = own.sum(axis=1, keepdims=True, dtype=np.float64)
-            logs = np.log((own + 0.05) / (total + 0.05 * BINS))
+            # a language that this fold's models have no text of explains nothing
+            logs = np.where(total > 0, np.log((own + 0.05) / (total + 0.05 * BINS)), -30.0)
             self.usual.append([float(x) for x in (own * logs).sum(axis=1) / np.maximum(total[:, 0], 1)])
             self.tables.append([np.ascontiguousarray(logs[k : k + TABLES].T, np.float32) for k in range(0, len(place), TABLES)])
 

@@ -259,7 +259,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     wanted = company.join(heads.select("node", "class", "rep"), "node").select("node", F.col("class").alias("_class"), "rep")
     wanted = small(scratch(wanted, "near-wanted"), BROADCAST_CLASSES)
     picked = texts.join(wanted.select("rep"), F.col("id") == F.col("rep"), "left_semi")
-    picked = picked.select(F.pandas_udf(full_sets, "class binary, items binary")("text").alias("s")).select("s.*")
+    # a filter on what it tells must not be pushed below the pick
+    told = F.pandas_udf(full_sets, "class binary, items binary").asNondeterministic()
+    picked = picked.select(told("text").alias("s")).select("s.*")
     sets = scratch(picked.join(wanted, F.col("class") == F.col("_class")).select("node", "items").dropDuplicates(["node"]), "near-sets")
     confirm = F.pandas_udf(verified(percent), "boolean")
 
