@@ -2,9 +2,10 @@
 
 A window is sketched by its run: the smallest hash of ROUTE words in a row within it, which equal windows share and neighbours
 mostly share too, so there are a tenth as many runs as windows. Pass 1: every task counts the documents of each run in a
-count-min sketch, piece by piece of its cells; the pieces are merged where they are, whatever their number, and answer each
-document with its runs whose cells hold two documents or more. Merged counts never underestimate, so no repeated window is lost, and
-cells grow with the windows, so the share that is passed on by chance stays the same at any size. Pass 2: only windows of
+count-min sketch, cut into pieces by a hash of the run, each with DEPTH rows of cells; the pieces are merged where they are, whatever
+their number, and answer each document with its runs whose cells hold two documents or more in every row. Merged counts never
+underestimate, so no repeated window is lost, and cells grow with the windows, so the share that is passed on by chance stays the same
+at any size. Pass 2: only windows of
 such runs go on; each task keeps, per window, its smallest document and settles the others itself, so that a window of any number of
 copies sends one row per task; what goes on is grouped exactly by 128 bits. Windows of a run travel together.
 Pass 3 removes the covered words.
@@ -25,9 +26,9 @@ from millrace.llm.common import Names, Rolling, bounded_batches, canonical, mix,
 
 WINDOW = 50
 DEPTH = 2
-#: Cells in a row of the sketch per run that is expected, so that a run passes by chance at (1 - exp(-1/4))**2, about one in 20.
-CELLS_PER_RUN = 4
-#: Cells of a piece; one task holds a piece at a time.
+#: Cells in a row of the sketch per run that is expected, at least, so that a run passes by chance at (1 - exp(-1/8))**2, 1.4 %, at most.
+CELLS_PER_RUN = 8
+#: Cells in a row of a piece; one task holds a piece at a time.
 PIECE = 1 << 22
 #: Windows, and candidates, that a task holds before it sends what it has.
 HOLD, HOLD_CANDIDATES = 2_000_000, 500_000
@@ -36,7 +37,7 @@ ROUTE = 25
 BROADCAST_BYTES = 8_000_000
 
 _FIRST, _SECOND = Rolling(501), Rolling(502)
-_ROWS = mix(np.arange(71, 71 + DEPTH, dtype=np.uint64))
+_ROWS = mix(np.arange(71, 72 + DEPTH, dtype=np.uint64))
 
 
 class Windows:
@@ -70,9 +71,13 @@ class Windows:
         return np.minimum(low[self.at], low[self.at + span - have])
 
 
-def cells(run: np.ndarray, row: int, width: int) -> np.ndarray:
-    """The cell of each run in a row of the sketch; width is a power of two."""
-    return (mix(run ^ _ROWS[row]) & np.uint64(width - 1)).astype(np.int64)
+def cells(run: np.ndarray, row: int, step: int) -> np.ndarray:
+    """The cell of each run in a row of its piece; step is a power of two."""
+    return (mix(run ^ _ROWS[row]) & np.uint64(step - 1)).astype(np.int64)
+
+
+def piece_of(run: np.ndarray, pieces: int) -> np.ndarray:
+    return (mix(run ^ _ROWS[DEPTH]) % np.uint64(pieces)).astype(np.int64)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -86,16 +91,17 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int64)
 
 
-PIECES = "piece long, cells binary, owners binary, ids array<long>, signs array<long>, more binary"
+PIECES = "piece long, first binary, second binary, owners binary, ids array<long>, signs array<long>, more binary"
 
 
 def sketch_pieces(k: int, width: int):
-    """Of each task's documents, by piece of the sketch: cells of one own document, with that document, and cells of several.
+    """Of each task's documents, by piece of the sketch: the cells of runs of one own document, with that document, and of runs of several.
 
-    A task's several documents of one cell know that it is repeated; they are told by `more`, which comes back to each of them
-    as a row of its own (piece null, cells as `row * width + cell`).
+    A task's several documents of one run know that it is repeated: the run counts twice by `more`, and an answer goes to each of
+    them as a row of its own (piece null, the run's place in `first`).
     """
     step = min(PIECE, width)
+    total = width // step
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs, owner, ids, signs, n = [], [], [], [], 0
@@ -117,31 +123,30 @@ def sketch_pieces(k: int, width: int):
             yield from sent(np.concatenate(runs), np.concatenate(owner), np.concatenate(ids), np.concatenate(signs))
 
     def sent(run: np.ndarray, owner: np.ndarray, ids: np.ndarray, signs: np.ndarray) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        for row in range(DEPTH):
-            cell = cells(run, row, width)
-            order = np.lexsort((owner, cell))
-            cell, own = cell[order], owner[order]
-            new = np.concatenate(([True], (cell[1:] != cell[:-1]) | (own[1:] != own[:-1])))
-            cell, own = cell[new], own[new]
-            # rows of one id don't precede one another, but counting them apart only overestimates
-            first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-            several = np.repeat(np.diff(np.append(first, len(cell))) > 1, np.diff(np.append(first, len(cell))))
-            out = []
-            if several.any():
-                at = np.lexsort((cell[several], own[several]))
-                docs, start = np.unique(own[several][at], return_index=True)
-                parts = np.split(cell[several][at] + row * width, start[1:])
-                out += [(None, x.astype("<i8").tobytes(), None, [ids[d]], [signs[d]], None) for d, x in zip(docs, parts, strict=True)]
-            lead = first[several[first]]
-            more, once, who = cell[lead], cell[~several], own[~several]
-            pieces = np.unique(np.concatenate((more // step, once // step)))
-            lo, hi = np.searchsorted(once, pieces * step), np.searchsorted(once, (pieces + 1) * step)
-            mlo, mhi = np.searchsorted(more, pieces * step), np.searchsorted(more, (pieces + 1) * step)
-            for p, a, b, c, d in zip(pieces, lo, hi, mlo, mhi, strict=True):
-                docs, local = np.unique(who[a:b], return_inverse=True)
-                out.append((int(row * (width // step) + p), _pack(once[a:b] - p * step), _pack(local), ids[docs], signs[docs], _pack(more[c:d] - p * step)))
-            yield pd.DataFrame(out, columns=names)
+        order = np.lexsort((owner, run))
+        run, owner = run[order], owner[order]
+        new = np.concatenate(([True], (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])))
+        run, owner = run[new], owner[new]
+        # rows of one id don't precede one another, but counting them apart only overestimates
+        first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        size = np.diff(np.append(first, len(run)))
+        several = np.repeat(size > 1, size)
+        piece, cell = piece_of(run, total), cells(run, 0, step)
+        out = []
+        if several.any():
+            place, own = (piece * step + cell)[several], owner[several]
+            at = np.lexsort((place, own))
+            docs, start = np.unique(own[at], return_index=True)
+            out += [(None, x.astype("<i8").tobytes(), None, None, [ids[d]], [signs[d]], None) for d, x in zip(docs, np.split(place[at], start[1:]), strict=True)]
+        once, lead = np.flatnonzero(~several), first[several[first]]
+        once, lead = once[np.lexsort((cell[once], piece[once]))], lead[np.lexsort((cell[lead], piece[lead]))]
+        pieces = np.unique(piece)
+        bounds = lambda at: zip(np.searchsorted(piece[at], pieces), np.searchsorted(piece[at], pieces, "right"), strict=True)
+        for p, (a, b), (c, d) in zip(pieces, bounds(once), bounds(lead), strict=True):
+            docs, local = np.unique(owner[once[a:b]], return_inverse=True)
+            more = np.concatenate((cell[lead[c:d]], cells(run[lead[c:d]], 1, step)))
+            out.append((int(p), _pack(cell[once[a:b]]), _pack(cells(run[once[a:b]], 1, step)), _pack(local), ids[docs], signs[docs], _pack(more)))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in PIECES.split(", ")])
 
     return pieces
 
@@ -150,7 +155,7 @@ REPLIES = "id long, sign long, cells binary"
 
 
 def merged_pieces(width: int):
-    """Rows of PIECES sorted by piece to REPLIES: to each document its cells whose merged count is two or more."""
+    """Rows of PIECES sorted by piece to REPLIES: to each document the places of its runs whose merged count is two or more."""
     step = min(PIECE, width)
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,29 +163,30 @@ def merged_pieces(width: int):
         for batch in batches:
             told = batch[batch["piece"].isna()]
             if len(told):
-                yield pd.DataFrame({"id": [x[0] for x in told["ids"]], "sign": [x[0] for x in told["signs"]], "cells": list(told["cells"])})
+                yield pd.DataFrame({"id": [x[0] for x in told["ids"]], "sign": [x[0] for x in told["signs"]], "cells": list(told["first"])})
             for row in batch[batch["piece"].notna()].itertuples(index=False):
                 if row.piece != piece:
                     if held:
                         yield from answered(int(piece), held, count)
-                    piece, held, count = row.piece, [], np.zeros(step, np.uint8)
-                x = _unpack(row.cells)
-                count[x] = np.minimum(count[x] + 1, 2)
-                count[_unpack(row.more)] = 2
-                held.append((row.cells, row.owners, row.ids, row.signs))
+                    piece, held, count = row.piece, [], [np.zeros(step, np.uint8) for _ in range(DEPTH)]
+                more = np.split(_unpack(row.more), DEPTH)
+                for n, x, m in zip(count, (_unpack(row.first), _unpack(row.second)), more, strict=True):
+                    x, seen = np.unique(x, return_counts=True)
+                    n[x] = np.minimum(n[x] + seen, 2)
+                    n[m] = 2
+                held.append((row.first, row.second, row.owners, row.ids, row.signs))
         if held:
             yield from answered(int(piece), held, count)
 
-    def answered(piece: int, held: list, count: np.ndarray) -> Iterator[pd.DataFrame]:
-        row, p = divmod(piece, width // step)
+    def answered(piece: int, held: list, count: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         out = []
-        for packed, owners, ids, signs in held:
-            x, own = _unpack(packed), _unpack(owners)
-            hit = np.flatnonzero(count[x] > 1)
+        for first, second, owners, ids, signs in held:
+            x, own = _unpack(first), _unpack(owners)
+            hit = np.flatnonzero((count[0][x] > 1) & (count[1][_unpack(second)] > 1))
             if len(hit):
                 hit = hit[np.argsort(own[hit], kind="stable")]
                 docs, start = np.unique(own[hit], return_index=True)
-                for d, c in zip(docs, np.split(x[hit] + (row * width + p * step), start[1:]), strict=True):
+                for d, c in zip(docs, np.split(x[hit] + piece * step, start[1:]), strict=True):
                     out.append((ids[d], signs[d], c.astype("<i8").tobytes()))
         if out:
             yield pd.DataFrame(out, columns=["id", "sign", "cells"])
@@ -189,22 +195,21 @@ def merged_pieces(width: int):
 
 
 def estimated(w: Windows, replies: list, width: int) -> np.ndarray:
-    """Numbers of the windows whose run's cells are all among the replies to their document."""
+    """Numbers of the windows whose run's place is among the replies to their document."""
+    step = min(PIECE, width)
     route, doc = w.route(), w.doc[w.at]
     if not len(route):
         return np.zeros(0, np.int64)
     new = np.concatenate(([True], (route[1:] != route[:-1]) | (doc[1:] != doc[:-1])))
-    lead, of = np.flatnonzero(new), np.cumsum(new) - 1
-    run, owner, passed = route[lead], doc[lead], np.ones(len(lead), bool)
-    mine = [cells(run, row, width) + row * width for row in range(DEPTH)]
+    run, owner = route[new], doc[new]
+    place = piece_of(run, width // step) * step + cells(run, 0, step)
+    passed = np.zeros(len(run), bool)
     bounds = np.searchsorted(owner, np.arange(len(replies) + 1))
     for d, parts in enumerate(replies):
         a, b = bounds[d], bounds[d + 1]
-        if a < b:
-            known = np.frombuffer(b"".join(parts), "<i8")
-            for cell in mine:
-                passed[a:b] &= np.isin(cell[a:b], known)
-    return np.flatnonzero(passed[of])
+        if a < b and len(parts):
+            passed[a:b] = np.isin(place[a:b], np.frombuffer(b"".join(parts), "<i8"))
+    return np.flatnonzero(passed[np.cumsum(new) - 1])
 
 
 def runs(starts: np.ndarray) -> bytes:
@@ -362,13 +367,14 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     guess = max(1, size // 6)  # windows, from the bytes of text
     per_run = max(1, (window - min(ROUTE, window) + 2) // 2)  # windows that share their smallest hash, on average
-    width = max(1 << 10, 1 << (CELLS_PER_RUN * guess // per_run).bit_length())
+    width = max(1 << 10, 1 << (CELLS_PER_RUN * guess // per_run - 1).bit_length())
     pieces = texts.mapInPandas(sketch_pieces(window, width), PIECES)
     # rows without a piece are answers already; they are dealt by document
-    dealt = pieces.repartition(F.coalesce("piece", -1 - F.abs(F.xxhash64("ids", "signs") % (1 << 20)))).sortWithinPartitions("piece")
+    dealt = pieces.repartition(F.coalesce("piece", F.xxhash64("ids", "signs"))).sortWithinPartitions("piece")
     replies = dealt.mapInPandas(merged_pieces(width), REPLIES).groupBy("id", "sign").agg(F.collect_list("cells").alias("cells"))
     buckets = max(16, guess // 1_000_000)
-    sent = texts.join(replies, ["id", "sign"]).mapInPandas(candidates(window, buckets, width), CANDIDATES)
+    # by shuffle at every size, as answers grow with the texts
+    sent = texts.join(replies.hint("merge"), ["id", "sign"]).mapInPandas(candidates(window, buckets, width), CANDIDATES)
     settled = sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(settle, SETTLED)
     found = settled.groupBy("id", "sign").agg(F.collect_list("runs").alias("runs"))
     found = scratch(found.select(F.col("id").alias(name("id")), F.col("sign").alias(name("sign")), F.col("runs").alias(name("runs"))), "repeats")

@@ -177,7 +177,7 @@ def test_scores_on_held_out_labels():
 
 
 def test_unique_windows_are_seldom_passed_on(monkeypatch):
-    """Texts without a repeat, in a sketch of many small pieces: the share of runs that is told to be repeated stays near (1 - exp(-1/4))**2."""
+    """Texts without a repeat, in a sketch of many small pieces: the share of runs that is told to be repeated stays under (1 - exp(-1/8))**2 and a margin."""
     import pandas as pd
 
     monkeypatch.setattr(substring_dedup, "PIECE", 1 << 12)
@@ -199,4 +199,4 @@ def test_unique_windows_are_seldom_passed_on(monkeypatch):
             w = substring_dedup.Windows([t.encode()], 50)
             windows += len(w.at)
             passed += len(substring_dedup.estimated(w, [told.get(i, [])], width))
-        assert passed < 0.1 * windows
+        assert passed < 0.025 * windows
