@@ -33,8 +33,6 @@ PIECE = 1 << 22
 #: Windows, and candidates, that a task holds before it sends what it has.
 HOLD, HOLD_CANDIDATES = 2_000_000, 500_000
 ROUTE = 25
-#: Bytes of runs that are broadcast to the rows; beyond, both sides are shuffled.
-BROADCAST_BYTES = 8_000_000
 
 _FIRST, _SECOND = Rolling(501), Rolling(502)
 _ROWS = mix(np.arange(71, 72 + DEPTH, dtype=np.uint64))
@@ -378,7 +376,6 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     settled = sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(settle, SETTLED)
     found = settled.groupBy("id", "sign").agg(F.collect_list("runs").alias("runs"))
     found = scratch(found.select(F.col("id").alias(name("id")), F.col("sign").alias(name("sign")), F.col("runs").alias(name("runs"))), "repeats")
-    held = found.agg(F.sum(F.aggregate(name("runs"), F.lit(0).cast("long"), lambda s, x: s + 16 + F.octet_length(x)))).first()[0] or 0
-    side = F.broadcast(found) if held <= BROADCAST_BYTES else found
-    out = docs.drop("repeats").join(side, (F.col(doc_id).cast("long") == F.col(name("id"))) & (sign == F.col(name("sign"))), "left")
+    # as above: what was found grows with the texts
+    out = docs.drop("repeats").join(found.hint("merge"), (F.col(doc_id).cast("long") == F.col(name("id"))) & (sign == F.col(name("sign"))), "left")
     return out.withColumn("repeats", F.pandas_udf(strip(window), KEPT)(F.col(text), F.col(name("runs")))).drop(name("id"), name("sign"), name("runs"))
