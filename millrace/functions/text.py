@@ -52,7 +52,7 @@ def grams(items: Column, n: int) -> Column:
 
 def char_grams(text: Column, n: int) -> Column:
     """Distinct character n-grams; a shorter text is its own gram."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+    return let(text, lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substr(x, i, F.lit(n)))))
 
 
 def repeated_grams(items: Column, n: int) -> Column:
@@ -120,19 +120,99 @@ def unescape(text: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    """Scripts and styles out, block ends and <br> to line feeds, tags to spaces, references decoded, lines trimmed, blank ones out."""
-    t = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>", " ")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav)\s*>", "\n")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
+    """Scripts and styles out, block ends and <br> to line feeds, tags to spaces, references decoded, white space of lines collapsed, blank lines out."""
+    t = F.regexp_replace(html, r"(?is)<(script|style|noscript).*?</\1>", " ")
+    t = F.regexp_replace(t, r"(?i)<\s*br\s*/?\s*>|</\s*(?:p|div|li|h[1-6]|tr|section|article)\s*>", "\n")
+    t = F.regexp_replace(t, r"<[^>]+>", " ")
     t = unescape(t)
-    lines = F.transform(F.split(t, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f]+", " ")))
+    lines = F.transform(F.split(t, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def raw_filename(url: Column) -> Column:
-    """The last path part of a url without query, with .html where no known suffix stands."""
-    last = F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"([^/]*)/?$", 1)
-    return F.when(last.rlike(r"\.(?:pdf|txt|html)$"), last).otherwise(F.concat(last, F.lit(".html")))
+def joined_lines(text: Column, boilerplate: str) -> Column:
+    """The trimmed lines but boilerplate ones, joined by a space."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(boilerplate)), " ")
+
+
+def clean_text(text: Column, boilerplate: str, unsafe: str, decode: bool = False) -> Column:
+    """struct(clean, removed): boilerplate lines out, then the sentences with unsafe matches, which are listed, and white space collapsed."""
+    source = unescape(F.coalesce(text, F.lit(""))) if decode else text
+
+    def split(parts: Column) -> Column:
+        kept = F.array_join(F.filter(parts, lambda s: ~s.rlike(unsafe)), " ")
+        return F.struct(F.trim(F.regexp_replace(kept, r"\s+", " ")).alias("clean"), F.filter(parts, lambda s: s.rlike(unsafe)).alias("removed"))
+
+    return let(sentences(joined_lines(source, boilerplate)), split)
+
+
+def wide_tokens(text: Column) -> Column:
+    """Runs of ASCII letters and digits and of Devanagari of the lower-cased text."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9\\u0900-\\u097f]+"), F.lit(0))
+
+
+def wide_normal(text: Column) -> Column:
+    return F.array_join(wide_tokens(text), " ")
+
+
+def placeholder_normal(text: Column, words: str, name: str = "{animal}") -> Column:
+    """Lower case, words of one kind by their placeholder, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), words, name.replace("{", "\\{").replace("}", "\\}")), r"\s+", " "))
+
+
+def first_sentence(text: Column) -> Column:
+    return F.coalesce(F.try_element_at(sentences(text), F.lit(1)), F.lit(""))
+
+
+def last_sentence(text: Column) -> Column:
+    return F.coalesce(F.try_element_at(sentences(text), F.lit(-1)), F.lit(""))
+
+
+def ended(text: Column) -> Column:
+    """Trimmed, with a full stop where no end mark stands."""
+    t = F.trim(text)
+    return F.when(t.rlike(r"[.?!]$"), t).otherwise(F.concat(t, F.lit(".")))
+
+
+def replaced_in_order(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Whole words replaced, one rule after the other."""
+    out = text
+    for word, by in rules:
+        out = F.regexp_replace(out, rf"\b{word}\b", by)
+    return out
+
+
+def duplicate_sentences(text: Column) -> Column:
+    """How many sentences repeat an earlier one, in lower case with white space collapsed."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+", -1), lambda s: F.lower(F.trim(F.regexp_replace(s, r"\s+", " "))))
+    return let(F.filter(parts, lambda s: s != ""), lambda p: (F.size(p) - F.size(F.array_distinct(p))).cast("long"))
+
+
+def gram_counts(text: Column, n: int = 3) -> Column:
+    """Character n-grams of the text between two spaces on each side, with repeats."""
+    padded = F.concat(F.lit("  "), text, F.lit("  "))
+    return let(padded, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substr(x, i, F.lit(n))))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays as sets; 1 if both are empty."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def cloze(text: Column) -> Column:
+    """struct(masked, answer): the words from min(8, n/3) to min(14, n) of the text blanked at their first place."""
+    words = tokens(text)
+
+    def cut(w: Column) -> Column:
+        start = F.least(F.lit(8), F.floor(F.size(w) / 3)).cast("int")
+        return F.array_join(F.slice(w, start + 1, F.least(F.lit(14), F.size(w)) - start), " ")
+
+    answer = let(words, cut)
+    plain = F.array_join(words, " ")
+    at = F.when(answer != "", F.instr(plain, answer)).otherwise(F.lit(0))
+    masked = F.when(at > 0, F.concat(F.substr(plain, F.lit(1), at - 1), F.lit("____"), F.substr(plain, at + F.length(answer), F.length(plain)))).otherwise(plain)
+    return F.struct(masked.alias("masked"), answer.alias("answer"))
 
 
 def language_mix(hits: Column, words: Column, scale: float = 4.5) -> Column:

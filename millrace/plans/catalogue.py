@@ -5,35 +5,20 @@ The driver's corpus is invented prose, so the pattern packs here are neutral sta
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import curate as C
 from millrace.operators import evaluate as E
 from millrace.operators import retrieve as R
+from millrace.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from millrace.sources import readers
 
 RISKY, HARD, LOW, NEGATION = "password=|AKIA[0-9A-Z]+", "worthless|pathetic", "%%%|!! ", "the|der|les?|los"
 PACK = {"secret": RISKY, "hostile": HARD, "shouting": "!! ", "symbols": "%%%|###", "mojibake": "[ÃÂ�]", "table": r" \| "}
 BOILERPLATE = "^(?:All rights reserved|Licensed under)"
 REQUIRED = ["src0", "src7", "src19", "src20", "src99"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?।])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')"
 _STRIPPED = f"SELECT doc_id, source, text, {_SENTENCES} AS parts, list_filter({_SENTENCES}, lambda s: NOT regexp_matches(s, '{RISKY}')) AS kept FROM documents"
 _STATE = f"CASE WHEN regexp_matches(text, '{HARD}') THEN 'reject' WHEN regexp_matches(text, '{LOW}') THEN 'reject' WHEN regexp_matches(text, '{RISKY}') THEN 'quarantine' ELSE 'accept' END"
@@ -160,7 +145,7 @@ def doc_mojibake(t):
 
 
 _HTML = "html"
-for _a, _b, _o in ((r"<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>", "' '", "gis"), (r"<br\s*/?>|</(?:p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav)\s*>", "chr(10)", "gi"), ("<[^>]*>", "' '", "gs")):
+for _a, _b, _o in ((r"<script.*?</script>|<style.*?</style>|<noscript.*?</noscript>", "' '", "gis"), (r"<\s*br\s*/?\s*>|</\s*(?:p|div|li|h[1-6]|tr|section|article)\s*>", "chr(10)", "gi"), ("<[^>]+>", "' '", "gs")):
     _HTML = f"regexp_replace({_HTML}, '{_a}', {_b}, '{_o}')"
 for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _HTML = f"replace({_HTML}, '{_a}', '{_b}')"
@@ -176,9 +161,9 @@ def page_url_first_wins(t):
     return C.first_wins(t("pages"), F.regexp_replace(F.lower("url"), r"[?#].*$", ""), "page_id").select("page_id", "duplicate")
 
 
-@query(r"SELECT page_id, CASE WHEN regexp_matches(f, '\.(?:pdf|txt|html)$') THEN f ELSE f || '.html' END AS filename FROM (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1) AS f FROM pages)")
+@query(r"SELECT page_id, 'p' || page_id || CASE WHEN ends_with(lower(split_part(url, '?', 1)), '.pdf') THEN '.pdf' WHEN ends_with(lower(split_part(url, '?', 1)), '.txt') THEN '.txt' ELSE '.html' END AS filename, CASE WHEN ends_with(lower(split_part(url, '?', 1)), '.pdf') THEN 'application/pdf' WHEN regexp_matches(lower(split_part(url, '?', 1)), '\.html?$') THEN 'text/html' ELSE 'text/plain' END AS kind FROM pages")
 def page_raw_filename(t):
-    return t("pages").select("page_id", T.raw_filename(F.col("url")).alias("filename"))
+    return t("pages").select("page_id", readers.raw_filename(F.concat(F.lit("p"), "page_id"), F.col("url")).alias("filename"), readers.content_type(F.col("url")).alias("kind"))
 
 
 @query("SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON sha256(lower(trim(b.text, ' '))) = sha256(lower(trim(d.text, ' '))) UNION SELECT DISTINCT item_id FROM benchmark b JOIN (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) l ON b.text = l.line")
@@ -331,3 +316,6 @@ def tpch_pricing_summary(t):
 def tpch_idle_customers(t):
     idle = t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return idle.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("customers"))
+
+
+from millrace.plans import gating, judging, relations, retrieval, tables, texts  # noqa: E402, F401  (they register their queries)

@@ -1 +1 @@
-"""See the README for the map of the package."""
+"""Readers and sinks; see the README."""
