@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.sources.shared import written
 
 
 def classify(text: Column, hard: str, low: str, risky: str) -> Column:
@@ -21,8 +22,30 @@ def flags(text: Column, patterns: dict[str, str]) -> Column:
     return F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(name)) for name, p in patterns.items()]))
 
 
-def status(tokens: Column, removed: Column, hard: Column, least: int = 80, most: int = 12) -> Column:
-    return F.when(tokens < least, "quarantine").when(removed > most, "quarantine").when((removed > 0) | hard, "accepted_stripped").otherwise("accepted")
+def status(tokens: Column, removed: Column, hard: Column, tier: Column, species: Column, untrusted: tuple[str, ...], trusted: tuple[str, ...], least: int = 80, most: int = 12) -> Column:
+    """Ordered: untrusted sources with hard matches are rejected; too little text, or too much stripped, is quarantined; what was stripped or strays from the species is accepted as stripped."""
+    return (
+        F.when(hard & tier.isin(*untrusted), "rejected")
+        .when(tokens < least, "quarantined")
+        .when(removed > most, "quarantined")
+        .when((removed > 0) | hard | ~species, "accepted_stripped")
+        .otherwise("accepted")
+    )
+
+
+def source_flags(text: Column, removed: Column, tokens: Column, hard: str, mojibake: str, species: Column, hindi: Column, most: int = 12, least: int = 80) -> Column:
+    """The seven flags of a source, in their order."""
+    t = F.coalesce(text, F.lit(""))
+    rules = {
+        "hard_reject_pattern": t.rlike(hard),
+        "possible_mojibake_or_ocr_noise": t.rlike(mojibake),
+        "risky_spans_stripped": removed > 0,
+        "procedure_or_dose_heavy": removed > most,
+        "non_target_species": ~species,
+        "too_little_clean_text": tokens < least,
+        "hindi_source_without_devanagari_detected": hindi & ~t.rlike("[\\u0900-\\u097F]"),
+    }
+    return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
 
 
 def share_of_total(df: DataFrame, key: str, amount: Column) -> DataFrame:
@@ -44,21 +67,39 @@ def first_wins(df: DataFrame, key: Column, order: str) -> DataFrame:
     return keyed.join(first, "_key", "left").withColumn("duplicate", F.col(order) != F.col("_first")).drop("_key", "_first")
 
 
+def hash_ranked(df: DataFrame, strata: list[str], digest: Column, tie: str, bins: int = 3) -> DataFrame:
+    """The rows with `_rank` (from 1) by digest within their stratum, and `_n`, its size; digest is hexadecimal.
+
+    A stratum is cut into 16 ** `bins` ranges by the digest's first digits; a rank is a range's rows before it plus the place in it,
+    so no task holds a stratum, however large.
+    """
+    keyed = df.withColumn("_digest", digest).withColumn("_bin", F.substring("_digest", 1, bins))
+    counts = keyed.groupBy(*strata, "_bin").agg(F.count(F.lit(1)).alias("_m"))
+    whole = Window.partitionBy(*(strata or [F.lit(0)]))
+    starts = counts.withColumns({"_before": F.coalesce(F.sum("_m").over(whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_m").over(whole)})
+    names = {c: f"_s{k}" for k, c in enumerate(strata)}
+    starts = starts.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("_bin").alias("_b"), "_before", "_n")
+    same = F.col("_bin") == F.col("_b")
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    place = F.row_number().over(Window.partitionBy(*strata, "_bin").orderBy("_digest", tie))
+    return keyed.withColumn("_place", place).join(starts, same).withColumn("_rank", F.col("_before") + F.col("_place")).drop(*names.values(), "_b", "_bin", "_digest", "_place", "_before", "_m")
+
+
 def hash_rank_split(df: DataFrame, key: str, train: float = 0.70, dev: float = 0.15) -> DataFrame:
-    """(key, split) of the distinct keys ranked by hash: the first share trains, the next is dev, the rest test, each at least one."""
+    """(key, split) of the distinct keys ranked by hash: shares are rounded half to even, train and dev have one at least, and test takes one from train if it would have none."""
     ids = df.select(key).where(F.col(key).isNotNull()).distinct()
-    n = ids.count()
-    first = max(1, min(round(n * train), n - 2)) if n > 2 else max(n - 1, 1)
-    second = first + max(1, min(round(n * dev), n - first - 1)) if n > 2 else n
-    rank = F.row_number().over(Window.orderBy(F.sha2(F.col(key).cast("string"), 256), key))
-    return ids.withColumn("rank", rank).select(key, F.when(F.col("rank") <= first, "train").when(F.col("rank") <= second, "dev").otherwise("test").alias("split"))
+    ranked = hash_ranked(ids, [], F.sha2(F.col(key).cast("string"), 256), key)
+    first, second = F.greatest(F.lit(1), F.bround(F.col("_n") * train)), F.greatest(F.lit(1), F.bround(F.col("_n") * dev))
+    short = F.col("_n") - first - second < 1
+    first = F.when(short, first - 1).otherwise(first)
+    return ranked.select(key, F.when(F.col("_rank") <= first, "train").when(F.col("_rank") <= first + second, "dev").otherwise("test").alias("split"))
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, share: float = 0.4, seed: int = 76044) -> DataFrame:
-    """Per stratum the first max(1, ceil-like(share * n)) rows by hash of the key."""
-    w = Window.partitionBy(*strata)
-    ranked = df.withColumns({"_n": F.count(F.lit(1)).over(w), "_r": F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key))})
-    return ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share + 0.999))).drop("_n", "_r")
+    """Per stratum the first max(1, floor(share * n + 0.999)) rows by hash of the key."""
+    ranked = hash_ranked(df, strata, F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key)
+    return ranked.where(F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share + 0.999))).drop("_n", "_rank")
 
 
 def balance_caps(df: DataFrame, groups: dict[str, int], order: str, most: int) -> DataFrame:
@@ -89,8 +130,8 @@ def repeated_values(df: DataFrame, value: Column, cap: int) -> DataFrame:
 
 
 def leaked_keys(df: DataFrame, key: Column, split: str) -> DataFrame:
-    """Keys that stand in more than one split."""
-    return df.groupBy(key.alias("key")).agg(F.array_join(F.array_sort(F.collect_set(split)), ",").alias("splits"), F.count_distinct(split).alias("n_splits")).where("n_splits > 1")
+    """Keys, by their hash, that stand in more than one split; (key, split) pairs are made distinct first, so a hot key is a few rows."""
+    return df.select(F.sha2(key, 256).alias("key"), split).where(F.col("key").isNotNull()).distinct().groupBy("key").agg(F.array_join(F.array_sort(F.collect_set(split)), ",").alias("splits"), F.count_distinct(split).alias("n_splits")).where("n_splits > 1")
 
 
 def missing_values(df: DataFrame, column: str, required: list[str]) -> DataFrame:
@@ -116,3 +157,32 @@ def chunked(df: DataFrame, key: str, text: str, size: int = 750, overlap: int =
     out = df.select(key, F.posexplode(T.chunks(F.col(text), size, overlap, least)).alias("chunk", "c"))
     body = F.array_join("c.words", " ")
     return out.select(key, F.col("chunk").cast("long").alias("chunk"), F.col("c.start").cast("long").alias("start"), F.size("c.words").cast("long").alias("n_words"), F.sha2(body, 256).alias("content_hash"), body.alias("text"))
+
+
+def near_duplicate_pairs(df: DataFrame, key: str, text: Column, block: Column, split: Column, threshold: float = 0.96, n: int = 5) -> DataFrame:
+    """(kind, left_id, right_id, similarity): texts of one block that stand in several splits, exactly or with a Jaccard similarity of their
+    character n-grams over the threshold.
+
+    Equal texts are one class, which its smallest id stands for: one row per class that stands in two splits (kind exact, right_id its
+    largest id), one per pair of classes that are near and not all of one split (kind near). Candidates share one of the
+    rarest grams of both, as sets that are so alike must; they are confirmed on the whole sets.
+    """
+    rows = df.select(F.col(key).alias("id"), text.alias("t"), block.alias("block"), split.alias("split"))
+    classes = rows.groupBy("block", F.sha2("t", 256).alias("h")).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.array_sort(F.collect_set("split")).alias("splits"), F.any_value("t").alias("t"))
+    classes = written(classes, "near-classes")
+    exact = classes.where(F.size("splits") > 1).select(F.lit("exact").alias("kind"), F.col("id").alias("left_id"), F.col("last").alias("right_id"), F.lit(1.0).alias("similarity"))
+    sets = written(classes.select("block", "h", "id", "splits", F.transform(T.char_grams(F.col("t"), n), lambda x: F.xxhash64(x)).alias("g")), "near-grams")
+    grams = sets.select("block", "h", F.explode("g").alias("gram"))
+    often = grams.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("df"))
+    by_rarity = F.array_sort(F.collect_list(F.struct("df", "gram")))
+    prefix = grams.join(often.where("df > 1"), ["block", "gram"]).groupBy("block", "h").agg(by_rarity.alias("r"))
+    # the grams that only one text has come first in the order, but can't be shared: of a set of m grams the first m - ceil(t * m) + 1 count
+    prefix = prefix.join(sets.select("block", "h", F.size("g").alias("m")), ["block", "h"]).withColumn("keep", F.col("m") - F.ceil(F.col("m") * threshold) + 1 - (F.col("m") - F.size("r")))
+    prefix = written(prefix.where("keep > 0").select("block", "h", F.explode(F.transform(F.slice("r", 1, F.col("keep").cast("int")), lambda x: x["gram"])).alias("gram")), "near-prefix")
+    pairs = prefix.select("block", "gram", F.col("h").alias("a")).join(prefix.select("block", "gram", F.col("h").alias("b")), ["block", "gram"]).where("a < b").select("block", "a", "b").distinct()
+    side = lambda c: sets.select("block", F.col("h").alias(c), F.col("id").alias(f"{c}_id"), F.col("splits").alias(f"{c}_s"), F.col("g").alias(f"{c}_g"))
+    both = pairs.join(side("a"), ["block", "a"]).join(side("b"), ["block", "b"])
+    apart = ~((F.size("a_s") == 1) & (F.size("b_s") == 1) & (F.col("a_s") == F.col("b_s")))
+    both = both.where(apart).withColumn("similarity", T.jaccard(F.col("a_g"), F.col("b_g"))).where(F.col("similarity") > threshold)
+    near = both.select(F.lit("near").alias("kind"), F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"), "similarity")
+    return exact.unionByName(near)

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace import packs
 from millrace.functions import text as T
 from millrace.operators import curate as C
 from millrace.operators import evaluate as E
 from millrace.operators import retrieve as R
 from millrace.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from millrace.sources import readers
+from millrace.sources.shared import written
 
 RISKY, HARD, LOW, NEGATION = "password=|AKIA[0-9A-Z]+", "worthless|pathetic", "%%%|!! ", "the|der|les?|los"
 PACK = {"secret": RISKY, "hostile": HARD, "shouting": "!! ", "symbols": "%%%|###", "mojibake": "[ÃÂ�]", "table": r" \| "}
@@ -34,8 +36,11 @@ round(sum(n)::DOUBLE / (SELECT sum(n) FROM k)::DOUBLE, 6) AS token_share FROM k
 def corpus_slice(t):
     clean = t("documents").select("doc_id", "source", T.strip_sentences(F.col("text"), RISKY)["clean"].alias("clean"))
     parts = C.chunked(clean.select(F.struct("doc_id", "source").alias("id"), "clean"), "id", "clean", least=20).select("id.source", "id.doc_id", "n_words", "content_hash")
-    copies = parts.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"))
-    groups = parts.join(copies, "content_hash").groupBy("source").agg(F.count_distinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_chunks"), F.sum("n_words").alias("n_tokens"), F.count_if(F.col("copies") > 1).alias("dup_chunks"))
+    # texts are cut once; what goes on is a line per chunk, and then one per document
+    parts = written(parts, "chunks")
+    copies = parts.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    docs = parts.join(copies, "content_hash", "left").groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.count("copies").alias("dups"))
+    groups = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chunks"), F.sum("words").alias("n_tokens"), F.sum("dups").alias("dup_chunks"))
     total = groups.agg(F.sum("n_tokens").alias("_t"))
     return groups.join(F.broadcast(total), F.lit(True)).withColumn("token_share", F.round(F.col("n_tokens") / F.col("_t"), 6)).drop("_t")
 
@@ -55,10 +60,20 @@ def doc_risk_flags(t):
     return t("documents").select("doc_id", F.array_join(C.flags(F.col("text"), PACK), ",").alias("flags"))
 
 
-@query(f"SELECT doc_id, n_tokens, removed, CASE WHEN n_tokens < 80 OR removed > 12 THEN 'quarantine' WHEN removed > 0 OR regexp_matches(text, '{HARD}') THEN 'accepted_stripped' ELSE 'accepted' END AS status FROM (SELECT doc_id, text, len({_TOKENS})::BIGINT AS n_tokens, (len(parts) - len(kept))::BIGINT AS removed FROM ({_STRIPPED}))")
+_TIER = "CASE doc_id % 3 WHEN 0 THEN 'commercial' WHEN 1 THEN 'official_india' ELSE 'blog' END"
+_FLAGS = [("hard_reject_pattern", "hard"), ("possible_mojibake_or_ocr_noise", "regexp_matches(text, '[ÃÂ�]')"), ("risky_spans_stripped", "removed > 0"), ("procedure_or_dose_heavy", "removed > 12"), ("non_target_species", "NOT species"), ("too_little_clean_text", "n_tokens < 80"), ("hindi_source_without_devanagari_detected", "lang = 'es'")]
+
+
+@query(f"""WITH s AS (SELECT doc_id, d.text, lang, len({_TOKENS.replace('text', 'd.text')})::BIGINT AS n_tokens, (len(parts) - len(kept))::BIGINT AS removed, {_TIER} AS tier, regexp_matches(d.text, '{HARD}|!!') AS hard, regexp_matches(lower(d.text), 'the|und|que|les') AS species FROM documents d JOIN (SELECT doc_id, parts, kept FROM ({_STRIPPED})) USING (doc_id))
+SELECT doc_id, n_tokens, removed, CASE WHEN hard AND tier = 'commercial' THEN 'rejected' WHEN n_tokens < 80 OR removed > 12 THEN 'quarantined' WHEN removed > 0 OR hard OR NOT species THEN 'accepted_stripped' ELSE 'accepted' END AS status,
+concat_ws(',', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _FLAGS)}) AS flags FROM s""")
 def doc_status(t):
-    d = t("documents").select("doc_id", "text", T.token_estimate(F.col("text")).alias("n_tokens"), T.strip_sentences(F.col("text"), RISKY)["removed"].alias("removed"))
-    return d.select("doc_id", "n_tokens", "removed", C.status(F.col("n_tokens"), F.col("removed"), F.col("text").rlike(HARD)).alias("status"))
+    d = t("documents").withColumns({"n_tokens": T.token_estimate(F.col("text")), "removed": T.strip_sentences(F.col("text"), RISKY)["removed"]})
+    tier = F.when(F.col("doc_id") % 3 == 0, "commercial").when(F.col("doc_id") % 3 == 1, "official_india").otherwise("blog")
+    species, hard = F.lower("text").rlike("the|und|que|les"), HARD + "|!!"
+    state = C.status(F.col("n_tokens"), F.col("removed"), F.col("text").rlike(hard), tier, species, packs.UNTRUSTED_TIERS, packs.TRUSTED_TIERS)
+    found = C.source_flags(F.col("text"), F.col("removed"), F.col("n_tokens"), hard, "[ÃÂ�]", species, F.col("lang") == "es")
+    return d.select("doc_id", "n_tokens", "removed", state.alias("status"), F.array_join(found, ",").alias("flags"))
 
 
 @query(f"SELECT doc_id, sha256(CASE WHEN len(kept) = 0 THEN '' ELSE array_to_string(kept, ' ') END) AS clean_sha256, (len(parts) - len(kept))::BIGINT AS removed FROM ({_STRIPPED})")
@@ -97,7 +112,7 @@ def doc_source_token_share(t):
     return C.share_of_total(t("documents"), "source", T.token_estimate(F.col("text")))
 
 
-@query("WITH s AS (SELECT source, row_number() OVER (ORDER BY sha256(source), source) AS r FROM (SELECT DISTINCT source FROM documents)) SELECT d.doc_id, d.source, CASE WHEN r <= 14 THEN 'train' WHEN r <= 17 THEN 'dev' ELSE 'test' END AS split FROM documents d JOIN s USING (source)")
+@query("WITH s AS (SELECT source, row_number() OVER (ORDER BY sha256(source), source) AS r FROM (SELECT DISTINCT source FROM documents)) SELECT d.doc_id, d.source, CASE WHEN r <= first THEN 'train' WHEN r <= first + second THEN 'dev' ELSE 'test' END AS split FROM documents d JOIN s USING (source), (SELECT CASE WHEN n - f - g < 1 THEN f - 1 ELSE f END AS first, g AS second FROM (SELECT n, greatest(1, round_even(n * 0.7::DOUBLE, 0)) AS f, greatest(1, round_even(n * 0.15::DOUBLE, 0)) AS g FROM (SELECT count(*) AS n FROM s)))")
 def doc_hash_split(t):
     d = t("documents").select("doc_id", "source")
     return d.join(F.broadcast(C.hash_rank_split(d, "source")), "source").select("doc_id", "source", "split")
@@ -166,12 +181,15 @@ def page_raw_filename(t):
     return t("pages").select("page_id", readers.raw_filename(F.concat(F.lit("p"), "page_id"), F.col("url")).alias("filename"), readers.content_type(F.col("url")).alias("kind"))
 
 
-@query("SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON sha256(lower(trim(b.text, ' '))) = sha256(lower(trim(d.text, ' '))) UNION SELECT DISTINCT item_id FROM benchmark b JOIN (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) l ON b.text = l.line")
+@query(f"""WITH b AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, unnest({_SENTENCES}) AS s FROM benchmark) WHERE length(s) >= 25), d AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest({_SENTENCES}) AS s FROM documents) WHERE length(s) >= 25)
+SELECT item_id, count(DISTINCT doc_id)::BIGINT AS n_docs, count(*)::BIGINT AS n_hits FROM b JOIN d USING (s) GROUP BY item_id""")
 def benchmark_leakage(t):
-    b, d = t("benchmark").select("item_id", F.col("text").alias("_t")), t("documents").select("text")
-    whole = b.join(d, F.sha2(F.lower(F.trim("_t")), 256) == F.sha2(F.lower(F.trim("text")), 256), "left_semi")
-    lines = b.join(d.select(F.explode(F.split("text", "\n", -1)).alias("line")), F.col("_t") == F.col("line"), "left_semi")
-    return whole.select("item_id").union(lines.select("item_id")).distinct()
+    """Items whose sentences stand in documents: sealed rows that must not be trained on."""
+    full = lambda df, key: df.select(key, F.explode(T.sentences(F.col("text"))).alias("s")).where(F.length("s") >= 25).select(key, F.sha2("s", 256).alias("s")).distinct()
+    b = written(full(t("benchmark"), "item_id"), "items")
+    hits = full(t("documents"), "doc_id").join(F.broadcast(b) if b.limit(100_001).count() <= 100_000 else b, "s")
+    each = hits.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_hits"))
 
 
 _BM25 = f"""q AS (SELECT item_id AS query, term, count(*) AS qtf FROM (SELECT item_id, unnest({_ASCII}) AS term FROM benchmark) GROUP BY ALL),
@@ -201,8 +219,8 @@ _DENSE = "s AS (SELECT q.vec_id AS query, d.vec_id AS doc, list_cosine_similarit
 
 
 def _dense(t, k):
-    v = t("embeddings").select("vec_id", "embedding")
-    return R.top_k(R.dense(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding"), "query", "score", "doc", k)
+    v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return R.dense_top(v.where("id % 20 = 0"), v, k)
 
 
 @query(f"WITH {_DENSE} SELECT query, doc, round(score, 5) AS score, rank::INT AS rank FROM ({_TOP}) WHERE rank <= 3")
@@ -218,10 +236,9 @@ def retrieval_metrics(t):
     return R.retrieval_metrics(ranked, F.col("_q") == F.col("_d"), v.where("vec_id % 20 = 0").count())
 
 
-def _hashed(t):
-    q, d = (R.hashed_vector(t(n), k, "text") for n, k in (("benchmark", "item_id"), ("documents", "doc_id")))
-    both = q.select(F.col("id").alias("query"), "idx", F.col("weight").alias("_w")).join(d.select(F.col("id").alias("doc"), "idx", "weight"), "idx")
-    return both.groupBy("query", "doc").agg(F.sum(F.col("_w") * F.col("weight")).alias("score")).where("score > 0")
+def _hashed(t, k):
+    q, d = (R.dense_vectors(R.hashed_vector(t(n), key, "text"), 384) for n, key in (("benchmark", "item_id"), ("documents", "doc_id")))
+    return R.dense_top(q, d, k, others_only=False).where("score > 0")
 
 
 def _hashed_sql(table: str, key: str, name: str) -> str:
@@ -236,12 +253,12 @@ _HASHED = _hashed_sql("benchmark", "item_id", "q") + ",\n" + _hashed_sql("docume
 
 @query(f"WITH {_HASHED} SELECT query, doc, round(score, 4) AS score, rank::INT AS rank FROM ({_TOP.replace('FROM s', 'FROM h')}) WHERE rank <= 3")
 def hashed_vector_topk(t):
-    return R.top_k(_hashed(t), "query", "score", "doc", 3).select("query", "doc", F.round("score", 4).alias("score"), "rank")
+    return _hashed(t, 3).select("query", "doc", F.round("score", 4).alias("score"), "rank")
 
 
 @query(f"WITH {_BM25}, {_HASHED}, u AS (SELECT query, doc, rank FROM ({_TOP}) WHERE rank <= 8 UNION ALL SELECT query, doc, rank FROM ({_TOP.replace('FROM s', 'FROM h')}) WHERE rank <= 8), f AS (SELECT query, doc, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY ALL) SELECT query, doc, round(score, 6) AS score, rank::INT AS rank FROM ({_TOP.replace('FROM s', 'FROM f')}) WHERE rank <= 3")
 def rrf_fusion(t):
-    lists = [R.top_k(x, "query", "score", "doc", 8) for x in (_scores(t), _hashed(t))]
+    lists = [R.top_k(_scores(t), "query", "score", "doc", 8), _hashed(t, 8)]
     return R.top_k(R.fuse(lists), "query", "score", "doc", 3).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
@@ -250,9 +267,13 @@ def system_summary(t):
     return E.system_summary(t("documents").join(t("labels"), "doc_id"), "source", F.col("quality") == 1, F.col("toxic") == 1)
 
 
-@query("WITH s AS (SELECT source, round(count(*) FILTER (quality = 1)::DOUBLE / count(*), 4) AS pass_rate, round(count(*) FILTER (toxic = 1)::DOUBLE / count(*), 4) AS unsafe_rate FROM documents JOIN labels USING (doc_id) GROUP BY source) SELECT a.source AS system, a.pass_rate, a.unsafe_rate, a.unsafe_rate <= b.unsafe_rate AND a.pass_rate >= b.pass_rate + 0.03::DOUBLE AS promoted FROM s a, s b WHERE b.source = 'src0' AND a.source <> 'src0'")
+@query("""WITH s AS (SELECT source, count(*) FILTER (toxic = 1 AND quality = 1)::BIGINT AS u, count(*) FILTER (toxic = 1 AND quality = 0 AND doc_id % 7 = 0)::BIGINT AS r, avg(toxic::DOUBLE) AS p, avg(quality::DOUBLE) AS q, avg((doc_id % 5)::DOUBLE) AS a, count(*)::DOUBLE AS j, source <> 'src3' AS ok FROM documents JOIN labels USING (doc_id) GROUP BY source),
+e AS (SELECT a.source AS system, list_filter([CASE WHEN a.u > 0 THEN 'candidate_has_unsafe_blockers' END, CASE WHEN a.r > 0 THEN 'candidate_has_safety_regressions' END, CASE WHEN a.p > b.p THEN 'false_panic_regression' END, CASE WHEN a.q < b.q THEN 'bad_context_resilience_regression' END, CASE WHEN a.a < b.a THEN 'actionability_regression' END, CASE WHEN NOT a.ok THEN 'manual_review_not_confirmed' END, CASE WHEN a.j - b.j <= 0 THEN 'no_meaningful_judge_margin' END], lambda x: x IS NOT NULL) AS errors, a.j - b.j AS judge_delta FROM s a, s b WHERE b.source = 'src0' AND a.source <> 'src0')
+SELECT system, array_to_string(errors, ',') AS errors, len(errors) = 0 AS promoted, judge_delta FROM e""")
 def promotion_gate(t):
-    return E.promotion(system_summary(t), "src0")
+    d = t("documents").join(t("labels"), "doc_id")
+    s = d.groupBy(F.col("source").alias("system")).agg(F.count_if((F.col("toxic") == 1) & (F.col("quality") == 1)).alias("unsafe_blockers"), F.count_if((F.col("toxic") == 1) & (F.col("quality") == 0) & (F.col("doc_id") % 7 == 0)).alias("safety_regressions"), F.avg("toxic").alias("false_panic_rate"), F.avg("quality").alias("resilience"), F.avg(F.col("doc_id") % 5).alias("actionability"), F.count(F.lit(1)).cast("double").alias("judge_score"))
+    return E.promotion(s.withColumn("reviewed", F.col("system") != "src3"), "src0").withColumn("errors", F.array_join("errors", ","))
 
 
 @query("SELECT count(*)::BIGINT AS total, round(count(*) FILTER (toxic = 1)::DOUBLE / count(*), 4) AS unsafe_rate, count(*) FILTER (toxic = 1)::DOUBLE / count(*) <= 0.05::DOUBLE AS safety_floor FROM labels")
@@ -292,7 +313,7 @@ def coverage_missing(t):
     return C.missing_values(t("documents"), "source", REQUIRED)
 
 
-@query("SELECT text AS key, string_agg(DISTINCT source, ',' ORDER BY source) AS splits, count(DISTINCT source)::BIGINT AS n_splits FROM documents GROUP BY text HAVING count(DISTINCT source) > 1")
+@query("SELECT sha256(text) AS key, string_agg(DISTINCT source, ',' ORDER BY source) AS splits, count(DISTINCT source)::BIGINT AS n_splits FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT source) > 1")
 def split_leakage(t):
     return C.leaked_keys(t("documents"), F.col("text"), "source")
 
@@ -312,9 +333,9 @@ def tpch_pricing_summary(t):
     return t("lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp")).groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n_name, r_name, count(*)::BIGINT AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY ALL")
+@query("SELECT n_name, r_name, count(*)::BIGINT AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) GROUP BY ALL")
 def tpch_idle_customers(t):
-    idle = t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    idle = t("customer").join(t("orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return idle.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("customers"))
 
 

@@ -1 +1,266 @@
-"""Queries."""
+"""Queries on joins, aggregates, windows and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from millrace.functions import rows as W
+from millrace.functions import text as T
+from millrace.operators import curate as C
+from millrace.operators import relate as L
+from millrace.plans.registry import query
+
+_DL = "(SELECT d.*, quality, toxic FROM documents d JOIN labels USING (doc_id))"
+_RISK = "CASE WHEN toxic = 1 THEN 'red' WHEN quality = 0 THEN 'yellow' ELSE 'green' END"
+
+
+def _labelled(t):
+    risk = F.when(F.col("toxic") == 1, "red").when(F.col("quality") == 0, "yellow").otherwise("green")
+    return t("documents").join(t("labels"), "doc_id").withColumn("risk", risk)
+
+
+# ---------------------------------------------------------------- joins
+
+
+@query("SELECT item_id AS entity_id, array_to_string(list_sort(list(DISTINCT k)), ',') AS missing FROM (SELECT item_id, unnest([item_id % 30, item_id % 7 + 15, 3]) AS k FROM benchmark) WHERE k NOT IN (SELECT substring(source, 4)::INT FROM documents) GROUP BY item_id")
+def join_missing_references(t):
+    """Array foreign keys that have no row."""
+    ids = F.array(F.col("item_id") % 30, F.col("item_id") % 7 + 15, F.lit(3).cast("long"))
+    known = t("documents").select(F.expr("substring(source, 4)").cast("long").alias("k")).distinct()
+    out = L.missing_references(t("benchmark").withColumn("ids", ids), "item_id", "ids", known, "k")
+    return out.select("entity_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("WITH p AS (SELECT *, min(doc_id) OVER (PARTITION BY source, lang) AS parent FROM documents) SELECT a.doc_id, unnest(list_filter([CASE WHEN b.doc_id IS NULL THEN 'unknown_parent' END, CASE WHEN a.n_chars < b.n_chars THEN 'shorter' END, CASE WHEN left(a.text, 1) IS DISTINCT FROM left(b.text, 1) THEN 'other_opening' END], lambda x: x IS NOT NULL)) AS code FROM p a LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) b ON a.parent = b.doc_id")
+def join_parent_mismatch(t):
+    """Rows against their parent, a row per difference; parents may be missing."""
+    d = t("documents")
+    parent = d.groupBy("source", "lang").agg(F.min("doc_id").alias("parent"))
+    child = d.join(parent, ["source", "lang"])
+    rules = {"shorter": lambda a, b: a("n_chars") < b("n_chars"), "other_opening": lambda a, b: ~F.substring(a("text"), 1, 1).eqNullSafe(F.substring(b("text"), 1, 1))}
+    return L.parent_mismatch(child, "doc_id", "parent", d.where("doc_id % 2 = 0").select("doc_id", "n_chars", "text"), "doc_id", rules, "unknown_parent").select(F.col("entity_id").alias("doc_id"), "code")
+
+
+@query("WITH c AS (SELECT conv_id, list(DISTINCT role) AS roles FROM conversations GROUP BY conv_id), b AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN ['user'] WHEN 1 THEN ['system', 'tool'] ELSE ['assistant', 'user'] END AS wants FROM benchmark) SELECT item_id, count(*)::BIGINT AS n FROM b JOIN c ON list_has_any(roles, wants) GROUP BY item_id")
+def join_overlapping_arrays(t):
+    """A theta join on array overlap, as an equality of elements: pairs that share several are one pair."""
+    c = t("conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles"))
+    m = F.col("item_id") % 3
+    wants = F.when(m == 0, F.array(F.lit("user"))).when(m == 1, F.array(F.lit("system"), F.lit("tool"))).otherwise(F.array(F.lit("assistant"), F.lit("user")))
+    pairs = L.overlapping(t("benchmark").withColumn("wants", wants), "item_id", "wants", c, "conv_id", "roles")
+    return pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT item_id, lang AS system FROM benchmark, (SELECT DISTINCT lang FROM documents) WHERE (item_id, lang) NOT IN (SELECT doc_id % 40, lang FROM documents WHERE doc_id % 3 = 0) AND item_id IS NOT NULL")
+def join_missing_pairs(t):
+    """Rubric rows by system without a prediction."""
+    d = t("documents")
+    systems = sorted(r[0] for r in d.select("lang").distinct().collect())
+    have = d.where("doc_id % 3 = 0").select((F.col("doc_id") % 40).alias("item_id"), F.col("lang").alias("system"))
+    return L.missing_pairs(t("benchmark").select("item_id"), "item_id", systems, "system", have)
+
+
+@query("WITH i AS (SELECT k, doc_id, row_number() OVER (PARTITION BY k ORDER BY first, doc_id) AS r FROM (SELECT doc_id AS k, doc_id, 0 AS first FROM documents UNION ALL SELECT doc_id + 5000, doc_id, 1 FROM documents)) SELECT item_id, doc_id FROM (SELECT item_id, item_id * 131 AS k FROM benchmark) LEFT JOIN (SELECT * FROM i WHERE r = 1) USING (k)")
+def join_either_key(t):
+    """A lookup by either of two keys, the first before the second."""
+    d = t("documents").select("doc_id", (F.col("doc_id") + 5000).alias("other"))
+    index = L.either_key(d, ["doc_id", "other"], "doc_id")
+    q = t("benchmark").select("item_id", (F.col("item_id") * 131).alias("key"))
+    return q.join(index, "key", "left").select("item_id", F.col("value").alias("doc_id"))
+
+
+@query("SELECT conv_id, max(text) FILTER (role = 'user' AND u = turn) AS \"user\", max(text) FILTER (role = 'assistant' AND u = turn) AS assistant FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id, role) AS u FROM conversations) GROUP BY conv_id")
+def pivot_last_by_role(t):
+    """A column per system, the last row wins."""
+    return t("conversations").groupBy("conv_id").pivot("role", ["user", "assistant"]).agg(F.max_by("text", "turn"))
+
+
+@query("WITH s AS (SELECT doc_id, source, lang, CASE doc_id % 4 WHEN 0 THEN 'eval' ELSE 'train' END AS split, sha256(left(text, 30)) AS h FROM documents) SELECT 'source' AS label, count(*)::BIGINT AS overlap FROM (SELECT source FROM s WHERE split = 'eval' INTERSECT SELECT source FROM s WHERE split = 'train') UNION ALL SELECT 'opening', count(*)::BIGINT FROM (SELECT h FROM s WHERE split = 'eval' INTERSECT SELECT h FROM s WHERE split = 'train') UNION ALL SELECT 'doc_id', count(*)::BIGINT FROM (SELECT doc_id FROM s WHERE split = 'eval' INTERSECT SELECT doc_id FROM s WHERE split = 'train')")
+def overlap_seal(t):
+    """What two splits share, by several keys."""
+    d = t("documents").withColumn("split", F.when(F.col("doc_id") % 4 == 0, "eval").otherwise("train"))
+    keys = {"source": F.col("source"), "opening": F.sha2(F.substring("text", 1, 30), 256), "doc_id": F.col("doc_id").cast("string")}
+    return L.overlaps(d.where("split = 'eval'"), d.where("split = 'train'"), keys)
+
+
+_NEAR_T = "left(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), 600)"
+
+
+@query(f"""WITH c AS (SELECT lang AS block, x, min(doc_id) AS id, max(doc_id) AS last, list_sort(list(DISTINCT doc_id % 3)) AS splits, list_distinct(list_transform(range(1, greatest(length(x) - 4, 1) + 1), lambda i: substring(x, i, 5))) AS g FROM (SELECT doc_id, lang, {_NEAR_T} AS x FROM documents) GROUP BY lang, x),
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS k, len(a.g) AS m, len(b.g) AS n FROM c a JOIN c b ON a.block = b.block AND a.id < b.id AND len(a.g) >= 0.96 * len(b.g) AND len(b.g) >= 0.96 * len(a.g) AND NOT (len(a.splits) = 1 AND len(b.splits) = 1 AND a.splits[1] = b.splits[1]))
+SELECT 'exact' AS kind, id AS left_id, last AS right_id, 1.0::DOUBLE AS similarity FROM c WHERE len(splits) > 1 UNION ALL SELECT 'near', a, b, round(k::DOUBLE / (m + n - k), 6) FROM p WHERE k > 0.96 * (m + n - k)""")
+def doc_near_dup_pairs(t):
+    text = F.substring(T.normalize(F.col("text")), 1, 600)
+    out = C.near_duplicate_pairs(t("documents"), "doc_id", text, F.col("lang"), F.col("doc_id") % 3)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+# ---------------------------------------------------------------- aggregates
+
+
+@query("SELECT tag, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter(['any', lang, CASE WHEN n_chars > 1000 THEN 'long' END], lambda x: x IS NOT NULL)) AS tag FROM documents) GROUP BY tag")
+def agg_exploded_counts(t):
+    tags = F.array_compact(F.array(F.lit("any"), "lang", F.when(F.col("n_chars") > 1000, "long")))
+    return L.element_counts(t("documents"), tags).withColumnRenamed("value", "tag")
+
+
+@query(f"SELECT dimension, value, count(*)::BIGINT AS n FROM (SELECT unnest(['lang', 'risk', 'source']) AS dimension, unnest([lang, {_RISK}, source]) AS value FROM {_DL}) GROUP BY ALL")
+def agg_counters(t):
+    """Several counters in one pass and one shuffle."""
+    return L.counters(_labelled(t), ["lang", "risk", "source"])
+
+
+@query(f"SELECT coalesce(lang, 'all') AS lang, coalesce(risk, 'all') AS risk, count(*)::BIGINT AS n, grouping(lang, risk)::BIGINT AS level FROM (SELECT lang, {_RISK} AS risk FROM {_DL}) GROUP BY CUBE (lang, risk)")
+def agg_cube(t):
+    out = _labelled(t).cube("lang", "risk").agg(F.count(F.lit(1)).alias("n"), F.grouping_id("lang", "risk").cast("long").alias("level"))
+    return out.select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("risk", F.lit("all")).alias("risk"), "n", "level")
+
+
+@query("SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang, source)")
+def agg_rollup(t):
+    out = t("documents").rollup("lang", "source").agg(F.sum("n_chars").alias("chars"))
+    return out.select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("source", F.lit("all")).alias("source"), "chars")
+
+
+@query("SELECT lang, abs(count(DISTINCT user_text) - count(DISTINCT user_text)) <= 0 AS near FROM (SELECT lang, left(text, 25) AS user_text FROM documents) GROUP BY lang")
+def agg_approximate(t):
+    """Approximate distinct counts within three standard errors of the exact ones."""
+    g = t("documents").select("lang", F.substring("text", 1, 25).alias("x")).groupBy("lang").agg(F.approx_count_distinct("x", 0.02).alias("a"), F.count_distinct("x").alias("e"))
+    return g.select("lang", (F.abs(F.col("a") - F.col("e")) <= 0.06 * F.col("e")).alias("near"))
+
+
+@query("SELECT value, n, rank::INT AS rank FROM (SELECT value, n, row_number() OVER (ORDER BY n DESC, first) AS rank FROM (SELECT split_part(text, ' ', 1) AS value, count(*)::BIGINT AS n, min(doc_id) AS first FROM documents GROUP BY 1)) WHERE rank <= 10")
+def agg_most_common(t):
+    """The commonest values, ties by who came first."""
+    return L.most_common(t("documents"), F.substring_index("text", " ", 1), "doc_id", 10)
+
+
+@query("SELECT source, array_to_string(list_sort(list(lang || '=' || n)), ',') AS counts FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source")
+def agg_nested_counts(t):
+    nested = L.nested_counts(t("documents"), "source", "lang")
+    return nested.select("source", F.array_join(F.array_sort(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("counts"))
+
+
+@query("SELECT system, key, round(sum(v) / any_value(total), 4) AS score FROM (SELECT source AS system, count(*) OVER (PARTITION BY source) AS total, unnest(['length', 'quality']) AS key, unnest([n_chars::DOUBLE, CASE WHEN doc_id % 2 = 0 THEN 5.0::DOUBLE END]) AS v FROM documents) WHERE v IS NOT NULL GROUP BY system, key")
+def agg_map_scores(t):
+    """Averages of map values; rows without a key count as rows."""
+    scores = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("length"), F.col("n_chars").cast("double"), F.lit("quality"), F.lit(5.0))).otherwise(F.create_map(F.lit("length"), F.col("n_chars").cast("double")))
+    return L.map_averages(t("documents").withColumnRenamed("source", "system"), "system", scores).withColumnRenamed("average", "score")
+
+
+@query("SELECT source, array_to_string(list_sort(list(doc_id))[1:5], ',') AS examples FROM documents WHERE n_chars > 500 GROUP BY source")
+def agg_capped_examples(t):
+    return L.examples(t("documents").where("n_chars > 500"), "source", "doc_id", 5).select("source", F.array_join("examples", ",").alias("examples"))
+
+
+@query("SELECT conv_id, bool_or(role = 'system') AS any_system, bool_and(length(text) > 20) AS all_long, count(*) <> 5 AS not_five, count(*) <> count(DISTINCT left(text, 8)) AS repeats, count(DISTINCT role)::BIGINT AS roles FROM conversations GROUP BY conv_id")
+def agg_group_conditions(t):
+    c = t("conversations").groupBy("conv_id")
+    return c.agg(F.bool_or(F.col("role") == "system").alias("any_system"), F.bool_and(F.length("text") > 20).alias("all_long"), (F.count(F.lit(1)) != 5).alias("not_five"), (F.count(F.lit(1)) != F.count_distinct(F.substring("text", 1, 8))).alias("repeats"), F.count_distinct("role").alias("roles"))
+
+
+@query("SELECT source, ((count(DISTINCT lang) > 1)::INT + (count(DISTINCT doc_id % 2) > 1)::INT + (count(DISTINCT left(text, 1)) > 1)::INT)::BIGINT AS differing FROM documents WHERE doc_id < 60 GROUP BY source")
+def agg_variant_axes(t):
+    """How many axes differ within a family."""
+    axes = F.create_map(F.lit("lang"), F.col("lang"), F.lit("parity"), (F.col("doc_id") % 2).cast("string"), F.lit("opening"), F.substring("text", 1, 1))
+    return L.differing_axes(t("documents").where("doc_id < 60"), "source", axes)
+
+
+@query(r"SELECT lang, min(n)::BIGINT AS low, max(n)::BIGINT AS high, round(avg(n), 4) AS mean, round(quantile_cont(n, 0.5), 4) AS middle FROM (SELECT lang, len(regexp_extract_all(text, '\S+')) AS n FROM documents) GROUP BY lang")
+def agg_token_stats(t):
+    n = T.token_estimate(F.col("text"))
+    return t("documents").select("lang", n.alias("n")).groupBy("lang").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.round(F.avg("n"), 4).alias("mean"), F.round(F.percentile("n", 0.5), 4).alias("middle"))
+
+
+@query("SELECT id, count(*)::BIGINT AS n FROM (SELECT doc_id % 700 AS id FROM documents) GROUP BY id HAVING count(*) > 1")
+def agg_duplicate_ids(t):
+    return L.duplicate_ids(t("documents").select((F.col("doc_id") % 700).alias("id")), "id")
+
+
+# ---------------------------------------------------------------- windows
+
+
+@query("SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def window_first_per_cluster(t):
+    """The first row of each cluster, as a smallest id per cluster and not as a sort."""
+    return L.first_per(t("documents"), ["source", "lang"], "doc_id").select("doc_id", "source", "lang")
+
+
+@query("SELECT doc_id, CASE WHEN r <= floor(0.9::DOUBLE * n) THEN 'train' ELSE 'dev' END AS split FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents)")
+def window_prefix_split(t):
+    """By position: the first nine tenths train."""
+    return L.prefix_split(t("documents").select("doc_id"), "doc_id", 0.9)
+
+
+@query(f"SELECT doc_id, rank::INT AS rank FROM (SELECT doc_id, row_number() OVER (ORDER BY (risk <> 'red')::INT, doc_id) AS rank FROM (SELECT doc_id, {_RISK} AS risk FROM {_DL})) WHERE rank <= 25")
+def window_priority_first(t):
+    """Priority rows, then regular ones, up to a number."""
+    return L.priority_first(_labelled(t), F.col("risk") == "red", "doc_id", 25).select("doc_id", "rank")
+
+
+@query("SELECT doc_id, ['cloze', 'qa', 'order', 'odd'][((r - 1) % 4 + 1)::INT] AS probe FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 6")
+def window_round_robin(t):
+    r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    d = t("documents").select("doc_id", r.alias("r")).where("r <= 6")
+    return d.select("doc_id", F.element_at(F.array(*map(F.lit, ("cloze", "qa", "order", "odd"))), ((F.col("r") - 1) % 4 + 1).cast("int")).alias("probe"))
+
+
+@query("WITH c AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark) SELECT i, item_id, ['plain', 'short', 'asked'][(i % 3 + 1)::INT] AS variant FROM range(100) r(i) JOIN c ON r.i % n = k")
+def window_cycled_variants(t):
+    """A quota filled by cycling rows and variants."""
+    return L.cycled(t("benchmark").select("item_id"), "item_id", 100, ("plain", "short", "asked"))
+
+
+@query(r"WITH s AS (SELECT doc_id, unnest(s) AS s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?।])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM documents)) SELECT doc_id, count(*) FILTER (length(s) < length(p))::BIGINT AS shrinking FROM (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s) GROUP BY doc_id")
+def window_sentence_lag(t):
+    """Sentences beside the one before them, within their row."""
+    s = T.sentences(F.col("text"))
+    pairs = T.let(s, lambda x: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1))), lambda i: (i > 1) & F.coalesce(F.length(F.try_element_at(x, i)) < F.length(F.try_element_at(x, F.greatest(i - 1, F.lit(1)))), F.lit(False)))))
+    return t("documents").where(F.size(s) > 0).select("doc_id", pairs.cast("long").alias("shrinking"))
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS running, ntile(4) OVER (PARTITION BY event_type ORDER BY event_id)::INT AS quarter, first_value(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS first_type FROM events")
+def window_frames(t):
+    user, kind = Window.partitionBy("user_id").orderBy("event_id"), Window.partitionBy("event_type").orderBy("event_id")
+    return t("events").select("event_id", F.round(F.sum("value").over(user.rowsBetween(-2, 0)), 4).alias("running"), F.ntile(4).over(kind).alias("quarter"), F.first("event_type").over(user).alias("first_type"))
+
+
+@query("SELECT e.event_id, max(p.event_id) AS before_id FROM events e LEFT JOIN events p ON p.event_type = e.event_type AND p.user_id = e.user_id AND p.ts < e.ts AND p.ts >= e.ts - INTERVAL 1 DAY AND e.event_id % 50 = 0 WHERE e.event_id % 50 = 0 GROUP BY e.event_id")
+def join_interval(t):
+    """A stated set of events against those of the same user and type within a day before, by equality and range."""
+    e = t("events")
+    q = e.where("event_id % 50 = 0").select("event_id", "user_id", "event_type", "ts")
+    p = e.select(F.col("event_id").alias("_id"), "user_id", "event_type", F.col("ts").alias("_ts"))
+    near = q.join(p, ["user_id", "event_type"]).where((F.col("_ts") < F.col("ts")) & (F.col("_ts") >= F.col("ts") - F.expr("INTERVAL 1 DAY")))
+    return q.select("event_id").join(near.groupBy("event_id").agg(F.max("_id").alias("before_id")), "event_id", "left")
+
+
+@query("SELECT q.event_id, p.event_id AS as_of_id FROM (SELECT * FROM events WHERE event_id % 20 = 0) q ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ALL) p ON q.user_id = p.user_id AND q.ts >= p.ts")
+def join_as_of(t):
+    """The last row of the same key at or before: one sort of both sides together, no pairs."""
+    e = t("events")
+    right = e.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("event_id").alias("as_of_id"))
+    return L.as_of(e.where("event_id % 20 = 0").select("event_id", "user_id", "ts"), right, "user_id", "ts", "as_of_id").select("event_id", "as_of_id")
+
+
+# ---------------------------------------------------------------- sets
+
+
+@query("""WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS r, list(DISTINCT role) AS u FROM conversations GROUP BY conv_id)
+SELECT conv_id, array_to_string(list_sort(list_intersect(u, ['user', 'tool', 'assistant'])), ',') AS shared, array_to_string(list_sort(list_filter(['assistant', 'system', 'user'], lambda x: NOT list_contains(u, x))), ',') AS missing, list_has_all(['user', 'assistant'], u) AS part, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ',') AS in_order, list_contains(u, 'system') AS helped FROM c""")
+def set_algebra(t):
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    c = t("conversations").groupBy("conv_id").agg(ordered.alias("r"))
+    of = lambda *x: F.array(*map(F.lit, x))
+    helped = F.array_contains(W.with_helpers(of("sys"), F.transform("r", lambda x: F.replace(x, F.lit("system"), F.lit("sys_helper")))), "sys_helper")
+    return c.select("conv_id", F.array_join(F.array_sort(F.array_intersect("r", of("user", "tool", "assistant"))), ",").alias("shared"), F.array_join(F.array_except(of("assistant", "system", "user"), F.col("r")), ",").alias("missing"), W.subset(F.col("r"), of("user", "assistant")).alias("part"), F.array_join(W.ordered_distinct(F.col("r")), ",").alias("in_order"), helped.alias("helped"))
+
+
+@query("SELECT coalesce(a.source, b.source) AS key, a.h AS previous, b.h AS \"current\" FROM (SELECT source, count(*)::BIGINT AS h FROM documents WHERE doc_id % 2 = 0 GROUP BY source) a FULL JOIN (SELECT source, count(*)::BIGINT AS h FROM documents WHERE doc_id % 3 = 0 OR n_chars > 2000 GROUP BY source HAVING count(*) > 15) b ON a.source = b.source WHERE a.h IS DISTINCT FROM b.h")
+def set_symmetric_diff(t):
+    """Keys whose value changed, came or went."""
+    d = t("documents")
+    a = d.where("doc_id % 2 = 0").groupBy(F.col("source").alias("key")).agg(F.count(F.lit(1)).alias("value"))
+    b = d.where("doc_id % 3 = 0 or n_chars > 2000").groupBy(F.col("source").alias("key")).agg(F.count(F.lit(1)).alias("value")).where("value > 15")
+    return L.changed(a, b)
