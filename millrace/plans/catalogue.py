@@ -339,4 +339,4 @@ def tpch_idle_customers(t):
     return idle.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("customers"))
 
 
-from millrace.plans import gating, judging, relations, retrieval, tables, texts  # noqa: E402, F401  (they register their queries)
+from millrace.plans import gating, judging, relations, retrieval, streams, tables, texts  # noqa: E402, F401  (they register their queries)

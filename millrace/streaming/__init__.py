@@ -1 +1 @@
-"""See the README for the map of the package."""
+"""Structured Streaming forms of the batch operators; see the README."""
