@@ -38,13 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: lineage ends there and survives lost executors."""
+def scratch(df: DataFrame, label: str, own: list | None = None) -> DataFrame:
+    """Write the rows to the shared folder and read them back: lineage ends there and survives lost executors.
+
+    `own` collects tables that only later steps of one operator read, to discard them in the end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
+    if own is not None:
+        own.append(out)
     return out
 
 

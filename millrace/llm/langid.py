@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Names, bounded_batches, scratch, small
+from millrace.llm.common import Names, bounded_batches, discard, scratch, small
 
 BINS = 1 << 16
 #: Trigrams of a text that are looked up together.
@@ -105,8 +105,9 @@ def learn(labelled: DataFrame, text: str, lang: str, folds: int = 1, rows: int =
     picked = scratch(picked, "lang-picked")
     found = own.join(small(picked), ["lang", "fold", "h"], "left_semi").dropDuplicates(["lang", "fold", "h"])
     counts = found.select("fold", "lang", "text").mapInPandas(_counted, "fold int, lang string, bin int, n long").groupBy("fold", "lang", "bin").agg(F.sum("n").alias("n"))
-    seen = counts.collect()
-    return TextModels([tuple(r) for r in seen], [r[0] for r in picked.select("lang").distinct().collect()], folds)
+    seen, languages = counts.collect(), [r[0] for r in picked.select("lang").distinct().collect()]
+    discard(picked)
+    return TextModels([tuple(r) for r in seen], languages, folds)
 
 
 def markup_language(html: Column) -> Column:
@@ -185,6 +186,7 @@ def identify(rows: DataFrame, models: TextModels, text: str = "text", host: Colu
         hosts = counts(guess, "h", "d").join(domains, F.col("d").eqNullSafe(F.col("dd")))
         hosts = hosts.select(F.col("h").alias(name("h")), F.col("d").alias(name("d")), F.transform(smooth(F.col("n"), F.col("p")), F.ln).alias(prior))
         hosts = small(scratch(hosts, "lang-priors"), BROADCAST_HOSTS)
+        discard(guess)
         own = own.join(hosts, F.col(at).eqNullSafe(F.col(name("h"))) & F.col(under).eqNullSafe(F.col(name("d"))), "left")
         own = own.withColumn(all_, F.when(F.col(prior).isNull(), F.col(score)).otherwise(F.zip_with(score, prior, lambda a, b: a + b)))
     else:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_ROWS, Names, scratch, small
+from millrace.llm.common import BROADCAST_ROWS, Names, discard, scratch, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -106,16 +106,16 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     no copies. Repeated rows are documents of their own, and rows of one id are told apart by their text. An empty table gives an
     empty result. Reruns agree. Input columns named like the made ones are replaced.
     """
-    name = Names(docs)
+    name, tables = Names(docs), []
     src, cls, h, piece, tie, rank = map(name, ("source", "class", "h", "piece", "tie", "rank"))
     hashed = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(f":{seed}")))
     placed = docs.drop(*(c for c in docs.columns if c in MADE)).withColumns({src: F.col(source), "size": word_count(F.col(text)), h: hashed, tie: F.xxhash64(F.col(text))})
     placed = placed.withColumn(cls, size_class(F.col("size")))
-    narrow = scratch(placed.select(F.col(doc_id).alias("doc_id"), src, "size", h, tie, cls), "mix-sizes")
-    sums = scratch(narrow.groupBy(F.col(src).alias("source")).agg(F.sum("size").alias("source_size")), "mix-sources")
+    narrow = scratch(placed.select(F.col(doc_id).alias("doc_id"), src, "size", h, tie, cls), "mix-sizes", tables)
+    sums = scratch(narrow.groupBy(F.col(src).alias("source")).agg(F.sum("size").alias("source_size")), "mix-sources", tables)
     goal = targets(sums, weights, max_copies)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goal = scratch(goal.withColumn("rate", rate), "mix-targets")
+    goal = scratch(goal.withColumn("rate", rate), "mix-targets", tables)
     whole = long_texts(narrow.select(F.col(src).alias("source"), "size", F.col(h).alias("h"), F.col(tie).alias("tie")), goal, max_copies)
     whole = scratch(whole.select(F.col("source").alias(name("_ws")), F.col("size").alias(name("_wsize")), F.col("h").alias(name("_wh")), F.col("tie").alias(name("_wt")), F.col("m").alias(name("_wm")), F.col("c").alias(name("_whole"))), "mix-whole")
     spent = whole.groupBy(F.col(name("_ws")).alias("_s")).agg(F.sum(F.col(name("_wsize")) * F.col(name("_wm"))).alias("_long"), F.sum(F.col(name("_wsize")) * F.col(name("_wm")) * F.col(name("_whole"))).alias("_taken"))
@@ -125,10 +125,10 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
         return rows.join(side, F.col(src).eqNullSafe(F.col(name("_ws"))) & (F.col("size") == F.col(name("_wsize"))) & (F.col(h) == F.col(name("_wh"))) & F.col(tie).eqNullSafe(F.col(name("_wt"))), "left")
 
     rest = scratch(marked(narrow).select(*narrow.columns, name("_whole")), "mix-marked")
-    sizes = scratch(rest.where(F.col(name("_whole")).isNull()).groupBy(src, cls).agg(F.count(F.lit(1)).alias("n")), "mix-classes")
+    sizes = scratch(rest.where(F.col(name("_whole")).isNull()).groupBy(src, cls).agg(F.count(F.lit(1)).alias("n")), "mix-classes", tables)
     goal = goal.join(spent, F.col("source").eqNullSafe(F.col("_s")), "left").withColumns({"_long": F.coalesce("_long", F.lit(0)), "_taken": F.coalesce("_taken", F.lit(0))})
     left = F.when(F.col("source_size") > F.col("_long"), F.greatest(F.lit(0.0), F.least(F.lit(float(max_copies)), (F.col("target") - F.col("_taken")) / (F.col("source_size") - F.col("_long"))))).otherwise(F.lit(0.0))
-    goal = scratch(goal.select("source", "source_size", "target", left.alias("rate")), "mix-rates")
+    goal = scratch(goal.select("source", "source_size", "target", left.alias("rate")), "mix-rates", tables)
     offset = unit(F.concat(F.coalesce("source", F.lit("null")), F.lit(f":offset:{seed}")))
     upto = Window.partitionBy(src).orderBy(cls).rowsBetween(Window.unboundedPreceding, -1)
     laid = sizes.select(F.col(src).alias("_s"), F.col(cls).alias("_c"), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("long").alias("_pieces"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_before"))
@@ -146,6 +146,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     within = Window.partitionBy(src, cls).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0))).select(*(F.col(c).alias(name(f"_{k}")) for k, c in enumerate(chunk)), F.col("start").alias(name("_start")))
     starts = small(scratch(starts, "mix-starts"), BROADCAST_ROWS // 4)
+    discard(*tables)
     # a hash that two ids share, and rows of one id, are told apart by size and text; rows that are equal throughout take places alike
     order = Window.partitionBy(*chunk).orderBy(F.col(name("_whole")).asc_nulls_first(), h, "size", tie)
     out = dealt(marked(placed) if keep else rest).withColumn(rank, F.row_number().over(order))

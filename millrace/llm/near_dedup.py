@@ -210,7 +210,7 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def with_payloads(pairs: DataFrame, table: DataFrame, payload: str) -> DataFrame:
+def with_payloads(pairs: DataFrame, table: DataFrame, payload: str, tables: list) -> DataFrame:
     """Pairs (a, b), written, with the payloads of both nodes added as _a and _b.
 
     A node of many partners has its payload repeated once per PARTNERS of them, and they are dealt out over these copies, so no task
@@ -218,7 +218,7 @@ def with_payloads(pairs: DataFrame, table: DataFrame, payload: str) -> DataFrame
     """
     ends = pairs.select(F.col("a").alias("_node")).union(pairs.select(F.col("b").alias("_node")))
     hot = ends.groupBy("_node").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("_copies")).where("_copies > 1")
-    hot = small(scratch(hot, "near-hot"))
+    hot = small(scratch(hot, "near-hot", tables))
     own = table.select("node", payload).join(hot, F.col("node") == F.col("_node"), "left")
     own = own.select("node", payload, F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)).alias("_copy"))
     for end in ("a", "b"):
@@ -235,47 +235,48 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     and component_class the class of its rows that stays when one does: the first of those that hold that id.
     """
     bounded_batches(docs.sparkSession)
+    tables: list[DataFrame] = []
     # sets are compared by 64-bit hashes of their shingles: two shingles of one pair collide with a chance below 1e-12
     signed = F.pandas_udf(sign, SIGNED)(F.col(text))
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("sign"), F.col(text).alias("text"))
     base = scratch(texts.select("id", "sign", signed.alias("s")).select("id", "sign", "s.*"), "near-signed")
     # rows of a class have one sketch, so any of them does; once written, the numbers are fixed
     heads = base.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands"))
-    heads = scratch(heads.withColumn("node", F.monotonically_increasing_id()), "near-heads")
+    heads = scratch(heads.withColumn("node", F.monotonically_increasing_id()), "near-heads", tables)
     base = base.drop("sketch", "bands")
     least = least_agreement(percent / 100)
     keys = heads.select("node", F.explode("bands").alias("bucket"))
     full = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = scratch(keys.join(full, "bucket"), "near-members")
-    company = scratch(members.groupBy("node").agg(F.sum("m").alias("company")), "near-company")
+    members = scratch(keys.join(full, "bucket"), "near-members", tables)
+    company = scratch(members.groupBy("node").agg(F.sum("m").alias("company")), "near-company", tables)
     named = members.select("bucket", "node").join(company, "node")
     centre = named.groupBy("bucket").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre"))
     tried = named.join(centre, "bucket").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    tried = scratch(tried, "near-tried")
-    both = with_payloads(tried, heads, "sketch")
+    tried = scratch(tried, "near-tried", tables)
+    both = with_payloads(tried, heads, "sketch", tables)
     near = both.select("a", "b", F.pandas_udf(estimates, "int").asNondeterministic()("_a", "_b").alias("n")).where(F.col("n") >= least)
     best = Window.partitionBy("a").orderBy(F.desc("n"), "b")  # of the bands of one text: at most BANDS rows
     near = near.withColumn("_r", F.row_number().over(best)).where("_r <= 2").select("a", "b")
     wanted = company.join(heads.select("node", "class", "rep"), "node").select("node", F.col("class").alias("_class"), "rep")
-    wanted = small(scratch(wanted, "near-wanted"), BROADCAST_CLASSES)
+    wanted = small(scratch(wanted, "near-wanted", tables), BROADCAST_CLASSES)
     picked = texts.join(wanted.select("rep"), F.col("id") == F.col("rep"), "left_semi")
     # a filter on what it tells must not be pushed below the pick
     told = F.pandas_udf(full_sets, "class binary, items binary").asNondeterministic()
     picked = picked.select(told("text").alias("s")).select("s.*")
-    sets = scratch(picked.join(wanted, F.col("class") == F.col("_class")).select("node", "items").dropDuplicates(["node"]), "near-sets")
+    sets = scratch(picked.join(wanted, F.col("class") == F.col("_class")).select("node", "items").dropDuplicates(["node"]), "near-sets", tables)
     confirm = F.pandas_udf(verified(percent), "boolean")
 
     def proved(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = scratch(pairs, "near-pairs")
-        both = with_payloads(pairs, sets, "items")
-        return scratch(both.where(confirm("_a", "_b")).select("a", "b"), label)
+        pairs = scratch(pairs, "near-pairs", tables)
+        both = with_payloads(pairs, sets, "items", tables)
+        return scratch(both.where(confirm("_a", "_b")).select("a", "b"), label, tables)
 
     stars = proved(near, "near-stars")
     label = components(stars).withColumnsRenamed({"id": "node", "component": "label"})
-    tied = scratch(members.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "near-tied")
+    tied = scratch(members.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "near-tied", tables)
     sizes = tied.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy("bucket").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    split = scratch(split.select("bucket", F.col("top.label").alias("major"), F.ceil((F.col("m") - F.col("top.n")) / BLOCK).cast("int").alias("x_n"), F.ceil(F.col("m") / BLOCK).cast("int").alias("y_n")), "near-split")
+    split = scratch(split.select("bucket", F.col("top.label").alias("major"), F.ceil((F.col("m") - F.col("top.n")) / BLOCK).cast("int").alias("x_n"), F.ceil(F.col("m") / BLOCK).cast("int").alias("y_n")), "near-split", tables)
     opened = tied.join(small(split), "bucket").withColumn("minor", F.col("label") != F.col("major"))
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -291,6 +292,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     first = named.groupBy("component").agg(F.min(F.struct("rep", "class")).alias("f"))
     named = named.join(first, "component").select("class", F.col("f.rep").alias("component_id"), F.col("f.class").alias("component_class"))
     named = scratch(named, "near-named")
+    discard(*tables)
     out = base.join(small(named, BROADCAST_CLASSES), "class", "left")
     return out.select("id", "sign", "class", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "component_class")
 
