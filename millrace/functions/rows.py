@@ -67,7 +67,7 @@ def suffix_family(key: Column, skip: int = 4) -> Column:
     return F.when(F.size(parts) > skip, F.array_join(F.slice(parts, skip + 1, F.size(parts)), "_")).otherwise(key)
 
 
-def rendered(template: str, **values: Column) -> Column:
+def rendered(template: str, /, **values: Column) -> Column:
     """A template's {names} replaced by columns."""
     out = F.lit(template)
     for name, value in values.items():

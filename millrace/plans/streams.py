@@ -40,5 +40,6 @@ QUERIES |= {f.__name__: f for f in (stream_event_windows, stream_event_sessions,
 ORACLE_SQL |= {
     "stream_event_windows": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL",
     "stream_event_sessions": "WITH g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, (lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 2 HOURS)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))), c AS (SELECT user_id, s, count(*)::BIGINT AS n FROM g GROUP BY ALL) SELECT user_id, count(*)::BIGINT AS sessions, sum(n)::BIGINT AS events, max(n)::BIGINT AS longest FROM c GROUP BY user_id",
+    "stream_arrivals_once": "SELECT lang, count(*)::BIGINT AS n, min(sha256(text)) AS low FROM (SELECT text, min(lang) AS lang FROM documents GROUP BY text) GROUP BY lang",
     "stream_curated": "SELECT CASE WHEN regexp_matches(text, 'worthless|pathetic') OR regexp_matches(text, '%%%|!! ') THEN 'reject' WHEN regexp_matches(text, 'password=|AKIA[0-9A-Z]+') THEN 'quarantine' ELSE 'accept' END AS state, count(*)::BIGINT AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1",
 }

@@ -11,6 +11,7 @@ from millrace.functions import rows as W
 from millrace.functions import text as T
 from millrace.operators import curate as C
 from millrace.operators import gates as G
+from millrace.operators import generate as N
 from millrace.operators import route as Q
 from millrace.sources import readers, sinks
 from millrace.streaming import events
@@ -152,8 +153,8 @@ def test_command_line(spark, tmp_path, capsys):
 
 
 def test_late_rows_and_batches(spark, tmp_path):
-    """Two batches: what comes later than the watermark is dropped, what is in time is counted."""
-    rows = [("2020-01-01 00:10", "a"), ("2020-01-01 00:20", "a"), ("2020-01-02 00:00", "a")], [("2020-01-01 00:30", "a"), ("2020-01-02 00:10", "a")]
+    """Three batches: what comes later than the watermark is dropped, what is in time is counted."""
+    rows = [("2020-01-01 00:10", "a"), ("2020-01-01 00:20", "a"), ("2020-01-02 00:00", "a")], [("2020-01-02 00:05", "a")], [("2020-01-01 00:30", "a"), ("2020-01-02 00:10", "a")]
     for k, part in enumerate(rows):
         spark.createDataFrame(part, "at string, key string").select(F.to_timestamp("at").alias("at"), "key").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         __import__("time").sleep(1.1)
@@ -162,3 +163,16 @@ def test_late_rows_and_batches(spark, tmp_path):
     assert {(str(r.start), r.n) for r in counts.collect()} == {("2020-01-01 00:00:00", 2)}
     once = events.run_available(events.arrivals_once(events.read_table(spark, f"{tmp_path}/in"), "at", F.col("key"), "5 days"), "once", "append")
     assert once.count() == 1
+
+
+def test_readiness_loop(spark):
+    left = [2, 1, 0, 0]
+    done = N.readiness(lambda k: spark.range(left[k - 1]), lambda k: None, 3)
+    assert [(x["findings"], x["status"]) for x in done] == [(2, "repair_required"), (1, "repair_required"), (0, "ready")]
+    assert N.readiness(lambda k: spark.range(1), lambda k: None, 2)[-1]["status"] == "blocked_after_max_iterations"
+
+
+def test_system_names():
+    assert N.system_names("b, base,a", {"b": "base"}, ("base", "a")) == ["base", "a"]
+    with pytest.raises(ValueError):
+        N.system_names("x", {}, ("a",))
