@@ -100,8 +100,11 @@ def learn(labelled: DataFrame, text: str, lang: str, folds: int = 1, rows: int =
     bounded_batches(labelled.sparkSession)
     own = labelled.where(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0))
     own = own.select(F.col(lang).alias("lang"), (fold_of(F.col(text)) if folds > 1 else F.lit(0)).alias("fold"), F.xxhash64(F.col(text), F.lit(8)).alias("h"), F.col(text).alias("text"))
+    # of many texts only the part with the lowest hashes, some four times the sample, is ranked
+    many = small(scratch(own.groupBy(F.col("lang").alias("_l"), F.col("fold").alias("_f")).agg(F.approx_count_distinct("h").alias("_n")), "lang-sizes"))
+    low = own.select("lang", "fold", "h").join(many, (F.col("lang") == F.col("_l")) & (F.col("fold") == F.col("_f"))).where(F.col("h") / F.lit(2.0**64) + 0.5 < 4.0 * rows / F.col("_n"))
     first = Window.partitionBy("lang", "fold").orderBy("h")
-    picked = own.select("lang", "fold", "h").withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= rows).select("lang", "fold", "h").distinct()
+    picked = low.select("lang", "fold", "h").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows).select("lang", "fold", "h")
     picked = scratch(picked, "lang-picked")
     found = own.join(small(picked), ["lang", "fold", "h"], "left_semi").dropDuplicates(["lang", "fold", "h"])
     counts = found.select("fold", "lang", "text").mapInPandas(_counted, "fold int, lang string, bin int, n long").groupBy("fold", "lang", "bin").agg(F.sum("n").alias("n"))
