@@ -42,7 +42,7 @@ def answer(sections: list[tuple[str, Column, Column]]) -> Column:
 
 
 def quota_rows(cards: DataFrame, key: str, red: Column, quotas: list[tuple[str, int]], fillers: list[str], n: int) -> DataFrame:
-    """(place, category, <key>): n rows by quotas in order and then by fillers in turn, cards in turn; the red quota takes red cards only."""
+    """(place, category, <key>): n rows by quotas in order and then by fillers in turn, cards, a catalogue that is numbered in one task, in turn; the red quota takes red cards only."""
     listed = written(cards.select(key, red.alias("_red")), "quota-cards")
     w, reds = Window.orderBy(key), listed.where("_red").count()
     total = listed.count()
@@ -56,7 +56,7 @@ def quota_rows(cards: DataFrame, key: str, red: Column, quotas: list[tuple[str,
     for end, name in reversed(ends):
         category = F.when(F.col("id") < end, name).otherwise(category)
     places = cards.sparkSession.range(n).withColumn("category", category)
-    out = places.join(F.broadcast(every), F.col("id") % max(total, 1) == F.col("_k")).join(F.broadcast(only), F.col("id") % max(reds, 1) == F.col("_r"), "left")
+    out = places.join(every, F.col("id") % max(total, 1) == F.col("_k")).join(only, F.col("id") % max(reds, 1) == F.col("_r"), "left")
     return out.select(F.col("id").alias("place"), "category", F.when(F.col("category") == "red_escalation", F.coalesce("_only", "_any")).otherwise(F.col("_any")).alias(key))
 
 
