@@ -169,20 +169,24 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: Column, block: Column, s
     """
     rows = df.select(F.col(key).alias("id"), text.alias("t"), block.alias("block"), split.alias("split"))
     classes = rows.groupBy("block", F.sha2("t", 256).alias("h")).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.array_sort(F.collect_set("split")).alias("splits"), F.any_value("t").alias("t"))
-    classes = written(classes, "near-classes")
+    # once written, the numbers are fixed
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     exact = classes.where(F.size("splits") > 1).select(F.lit("exact").alias("kind"), F.col("id").alias("left_id"), F.col("last").alias("right_id"), F.lit(1.0).alias("similarity"))
-    sets = written(classes.select("block", "h", "id", "splits", F.transform(T.char_grams(F.col("t"), n), lambda x: F.xxhash64(x)).alias("g")), "near-grams")
-    grams = sets.select("block", "h", F.explode("g").alias("gram"))
-    often = grams.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("df"))
-    by_rarity = F.array_sort(F.collect_list(F.struct("df", "gram")))
-    prefix = grams.join(often.where("df > 1"), ["block", "gram"]).groupBy("block", "h").agg(by_rarity.alias("r"))
+    # a gram is 64 bits of block and text, so that grams of different blocks don't meet
+    sets = written(classes.select("node", "id", "splits", F.transform(T.char_grams(F.col("t"), n), lambda x: F.xxhash64("block", x)).alias("g")), "near-grams")
+    grams = sets.select("node", F.explode("g").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    prefix = grams.join(often, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("r"))
     # the grams that only one text has come first in the order, but can't be shared: of a set of m grams the first m - ceil(t * m) + 1 count
-    prefix = prefix.join(sets.select("block", "h", F.size("g").alias("m")), ["block", "h"]).withColumn("keep", F.col("m") - F.ceil(F.col("m") * threshold) + 1 - (F.col("m") - F.size("r")))
-    prefix = written(prefix.where("keep > 0").select("block", "h", F.explode(F.transform(F.slice("r", 1, F.col("keep").cast("int")), lambda x: x["gram"])).alias("gram")), "near-prefix")
-    pairs = prefix.select("block", "gram", F.col("h").alias("a")).join(prefix.select("block", "gram", F.col("h").alias("b")), ["block", "gram"]).where("a < b").select("block", "a", "b").distinct()
-    side = lambda c: sets.select("block", F.col("h").alias(c), F.col("id").alias(f"{c}_id"), F.col("splits").alias(f"{c}_s"), F.col("g").alias(f"{c}_g"))
-    both = pairs.join(side("a"), ["block", "a"]).join(side("b"), ["block", "b"])
+    prefix = prefix.join(sets.select("node", F.size("g").alias("m")), "node").withColumn("keep", F.col("m") - F.ceil(F.col("m") * threshold) + 1 - (F.col("m") - F.size("r")))
+    prefix = written(prefix.where("keep > 0").select("node", F.explode(F.transform(F.slice("r", 1, F.col("keep").cast("int")), lambda x: x["gram"])).alias("gram")), "near-prefix")
+    pairs = prefix.select("gram", F.col("node").alias("a")).join(prefix.select("gram", F.col("node").alias("b")), "gram").where("a < b").select("a", "b").distinct()
+    # pairs are small rows that take long to confirm, so they keep all the partitions there are
+    pairs = written(pairs, "near-pairs").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"), F.col("splits").alias(f"{c}_s"), F.col("g").alias(f"{c}_g"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     apart = ~((F.size("a_s") == 1) & (F.size("b_s") == 1) & (F.col("a_s") == F.col("b_s")))
-    both = both.where(apart).withColumn("similarity", T.jaccard(F.col("a_g"), F.col("b_g"))).where(F.col("similarity") > threshold)
+    alike = F.least(F.size("a_g"), F.size("b_g")) >= F.greatest(F.size("a_g"), F.size("b_g")) * threshold
+    both = both.where(apart & alike).withColumn("similarity", T.jaccard(F.col("a_g"), F.col("b_g"))).where(F.col("similarity") > threshold)
     near = both.select(F.lit("near").alias("kind"), F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"), "similarity")
     return exact.unionByName(near)
