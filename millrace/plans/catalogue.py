@@ -206,7 +206,7 @@ def _scores(t):
 
 @query(f"WITH {_BM25} SELECT query, doc, round(score, 4) AS score, rank::INT AS rank FROM ({_TOP}) WHERE rank <= 3")
 def bm25_topk(t):
-    return R.top_k(_scores(t), "query", "score", "doc", 3).select("query", "doc", F.round("score", 4).alias("score"), "rank")
+    return R.bm25_top(t("benchmark"), t("documents"), "item_id", "text", "doc_id", "text", 3).select("query", "doc", F.round("score", 4).alias("score"), "rank")
 
 
 @query(f"WITH {_BM25}, m AS (SELECT query, max(score) AS m FROM s GROUP BY query) SELECT query, count(*) FILTER (round(score / m, 6) >= 0.65)::BIGINT AS accepted, count(*) FILTER (round(score / m, 6) < 0.65)::BIGINT AS below_threshold FROM s JOIN m USING (query) GROUP BY query")
@@ -237,7 +237,7 @@ def retrieval_metrics(t):
 
 
 def _hashed(t, k):
-    q, d = (R.dense_vectors(R.hashed_vector(t(n), key, "text"), 384) for n, key in (("benchmark", "item_id"), ("documents", "doc_id")))
+    q, d = (R.hashed_vectors(t(n), key, "text") for n, key in (("benchmark", "item_id"), ("documents", "doc_id")))
     return R.dense_top(q, d, k, others_only=False).where("score > 0")
 
 
@@ -258,7 +258,7 @@ def hashed_vector_topk(t):
 
 @query(f"WITH {_BM25}, {_HASHED}, u AS (SELECT query, doc, rank FROM ({_TOP}) WHERE rank <= 8 UNION ALL SELECT query, doc, rank FROM ({_TOP.replace('FROM s', 'FROM h')}) WHERE rank <= 8), f AS (SELECT query, doc, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY ALL) SELECT query, doc, round(score, 6) AS score, rank::INT AS rank FROM ({_TOP.replace('FROM s', 'FROM f')}) WHERE rank <= 3")
 def rrf_fusion(t):
-    lists = [R.top_k(_scores(t), "query", "score", "doc", 8), _hashed(t, 8)]
+    lists = [R.bm25_top(t("benchmark"), t("documents"), "item_id", "text", "doc_id", "text", 8), _hashed(t, 8)]
     return R.top_k(R.fuse(lists), "query", "score", "doc", 3).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 

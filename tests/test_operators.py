@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from millrace.functions import text as T
-from millrace.operators import curate, evaluate
+from millrace.operators import curate, evaluate, retrieve
 from millrace.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +76,22 @@ def test_json_from_fences(spark):
     df = spark.createDataFrame([('```json\n{"a": 1}\n```',), ('so: {"a": 2} ok',), ("none",), (None,)], "t string")
     got = [r[0] for r in df.select(F.get_json_object(evaluate.extract_json(F.col("t")), "$.a")).collect()]
     assert got == ["1", "2", None, None]
+
+
+def test_best_by_bm25_are_those_of_all_scores(spark, monkeypatch):
+    docs = [(k, " ".join(f"w{(k * j) % 17}" for j in range(k % 9))) for k in range(200)] + [(900, None), (901, ""), (902, "Straße w3 W3"), (None, "w1 w2")]
+    d = spark.createDataFrame(docs, "doc long, text string")
+    q = spark.createDataFrame([(k, f"w{k} w{k + 1} w{k}") for k in range(12)] + [(50, None), (51, "none of these"), (52, "stra e")], "query long, text string")
+    want = retrieve.top_k(retrieve.bm25(q, d.where("doc is not null"), "query", "text", "doc", "text"), "query", "score", "doc", 3)
+    for terms, cells in ((retrieve.BLOCK_TERMS, retrieve.CELLS), (7, 30)):
+        monkeypatch.setattr(retrieve, "BLOCK_TERMS", terms)
+        monkeypatch.setattr(retrieve, "CELLS", cells)
+        got = retrieve.bm25_top(q, d.repartition(3), "query", "text", "doc", "text", 3)
+        assert plain(tuple(r) for r in got.select(*want.columns).collect()) == plain(tuple(r) for r in want.collect())
+    assert retrieve.bm25_top(q.limit(0), d, "query", "text", "doc", "text", 3).count() == retrieve.bm25_top(q, d.limit(0), "query", "text", "doc", "text", 3).count() == 0
+
+
+def test_hashed_vectors(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (3, "--"), (4, "a b a b")], "id long, text string")
+    out = {r.id: r.vector for r in retrieve.hashed_vectors(rows, "id", "text", 8).collect()}
+    assert set(out[2]) == set(out[3]) == {0.0} and all(abs(sum(x * x for x in out[k]) - 1) < 1e-9 for k in (1, 4)) and {len(v) for v in out.values()} == {8}
