@@ -197,7 +197,6 @@ def test_pipeline_stages_equal_plain_python(spark, tmp_path):
     long = next(r for r in known if len(r["text"].split()) > 80).asDict()
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
     made = [long | {"doc_id": 9001, "text": long["text"] + " coda"}, long | {"doc_id": 9002, "text": "intro " + long["text"]}, first | {"doc_id": 9003, "text": first["text"] + "\n" + item}]
-    made += [first | {"doc_id": 9100 + k, "text": f"{' '.join(reversed(first['text'].split()))} {k}\nread more here", "source": "src0"} for k in range(0)]
     rows += [tuple(m[c] for c in docs.columns) for m in made]
     rows = [(*r[:1], (r[1] + "\nRead more on this site") if r[0] % 2 else r[1], *r[2:]) for r in rows]
     docs = spark.createDataFrame(rows, docs.schema)
