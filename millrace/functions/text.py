@@ -50,9 +50,21 @@ def grams(items: Column, n: int) -> Column:
     return let(items, runs)
 
 
+def char_runs(text: Column, n: int) -> Column:
+    """Character n-grams with repeats; a shorter text is its own run, and a null one has one null run.
+
+    The text is split once, as a substring counts its place from the start of the text, which is quadratic over a long one.
+    """
+
+    def runs(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.array_size(c) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(c, i, n), ""))
+
+    return let(F.split(text, "", -1), runs)
+
+
 def char_grams(text: Column, n: int) -> Column:
     """Distinct character n-grams; a shorter text is its own gram."""
-    return let(text, lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substr(x, i, F.lit(n)))))
+    return F.array_distinct(char_runs(text, n))
 
 
 def repeated_grams(items: Column, n: int) -> Column:
@@ -190,8 +202,7 @@ def duplicate_sentences(text: Column) -> Column:
 
 def gram_counts(text: Column, n: int = 3) -> Column:
     """Character n-grams of the text between two spaces on each side, with repeats."""
-    padded = F.concat(F.lit("  "), text, F.lit("  "))
-    return let(padded, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substr(x, i, F.lit(n))))
+    return char_runs(F.concat(F.lit("  "), text, F.lit("  ")), n)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -12,15 +12,15 @@ from millrace.operators import relate as L
 from millrace.plans.registry import query
 
 _S = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?।])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"
-_SEEDS = f"""seeds AS (SELECT d.doc_id, 's' || d.doc_id AS seed_id, left(d.text, 300) AS text, CASE d.doc_id % 7 WHEN 0 THEN 'dev_seed' WHEN 1 THEN 'final_eval_seed' ELSE 'train_seed' END AS split, CASE WHEN toxic = 1 THEN 'red' WHEN quality = 0 THEN 'yellow' ELSE 'green' END AS risk, lang AS bucket, ['cow', 'buffalo', 'ox', 'calf'][(d.doc_id % 4 + 1)::INT] AS species, CASE WHEN lang = 'en' THEN 'english' ELSE 'hinglish' END AS style,
-list_filter([lang, CASE WHEN n_chars > 1000 THEN 'long' END, CASE WHEN d.doc_id % 5 = 0 THEN 'odd' END], lambda x: x IS NOT NULL) AS tags, source AS family, source || ':' || lang AS cluster, CASE WHEN n_chars < 300 THEN 'short' WHEN n_chars < 2000 THEN 'medium' ELSE 'long' END AS shape, lower(left(text, 60)) AS prompt, [source, 'src' || (d.doc_id % 25)] AS claim_ids, {_S.replace('text', 'd.text')}[1] AS opening, {_S.replace('text', 'd.text')}[-1] AS closing FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+_SEEDS = f"""seeds AS (SELECT d.doc_id, 's' || d.doc_id AS seed_id, d.text AS text, CASE d.doc_id % 7 WHEN 0 THEN 'dev_seed' WHEN 1 THEN 'final_eval_seed' ELSE 'train_seed' END AS split, CASE WHEN toxic = 1 THEN 'red' WHEN quality = 0 THEN 'yellow' ELSE 'green' END AS risk, lang AS bucket, ['cow', 'buffalo', 'ox', 'calf'][(d.doc_id % 4 + 1)::INT] AS species, CASE WHEN lang = 'en' THEN 'english' ELSE 'hinglish' END AS style,
+list_filter([lang, CASE WHEN n_chars > 1000 THEN 'long' END, CASE WHEN d.doc_id % 5 = 0 THEN 'odd' END], lambda x: x IS NOT NULL) AS tags, source AS family, source || ':' || lang AS cluster, CASE WHEN n_chars < 300 THEN 'short' WHEN n_chars < 2000 THEN 'medium' ELSE 'long' END AS shape, lower(d.text) AS prompt, [source, 'src' || (d.doc_id % 25)] AS claim_ids, {_S.replace('text', 'd.text')}[1] AS opening, {_S.replace('text', 'd.text')}[-1] AS closing FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
 def _seeds(t):
     d = t("documents").join(t("labels"), "doc_id")
     m = F.col("doc_id")
     return d.select(
-        "doc_id", F.concat(F.lit("s"), "doc_id").alias("seed_id"), F.substring("text", 1, 300).alias("text"),
+        "doc_id", F.concat(F.lit("s"), "doc_id").alias("seed_id"), "text",
         F.when(m % 7 == 0, "dev_seed").when(m % 7 == 1, "final_eval_seed").otherwise("train_seed").alias("split"),
         F.when(F.col("toxic") == 1, "red").when(F.col("quality") == 0, "yellow").otherwise("green").alias("risk"),
         F.col("lang").alias("bucket"), F.element_at(F.array(*map(F.lit, ("cow", "buffalo", "ox", "calf"))), (m % 4 + 1).cast("int")).alias("species"),
@@ -28,7 +28,7 @@ def _seeds(t):
         F.array_compact(F.array("lang", F.when(F.col("n_chars") > 1000, "long"), F.when(m % 5 == 0, "odd"))).alias("tags"),
         F.col("source").alias("family"), F.concat_ws(":", "source", "lang").alias("cluster"),
         F.when(F.col("n_chars") < 300, "short").when(F.col("n_chars") < 2000, "medium").otherwise("long").alias("shape"),
-        F.lower(F.substring("text", 1, 60)).alias("prompt"), F.array("source", F.concat(F.lit("src"), m % 25)).alias("claim_ids"),
+        F.lower("text").alias("prompt"), F.array("source", F.concat(F.lit("src"), m % 25)).alias("claim_ids"),
         T.first_sentence(F.col("text")).alias("opening"), T.last_sentence(F.col("text")).alias("closing"),
     )
 
@@ -248,11 +248,11 @@ def corpus_audit(t):
     return G.audit(parts, "family", "n_words", "content_hash", 0.06)
 
 
-@query("SELECT (n + least(40, 60 - n))::BIGINT AS n, (n + least(40, 60 - n))::BIGINT AS chunks, n::BIGINT AS topical FROM (SELECT count(DISTINCT x) AS n FROM (SELECT unnest(list_filter([lang, CASE WHEN n_chars > 1000 THEN 'long' END, source], lambda x: x IS NOT NULL)) AS x FROM documents WHERE doc_id % 4 = 1))")
+@query("SELECT (n + least(40, 60 - n))::BIGINT AS n, (n + least(40, 60 - n))::BIGINT AS chunks, n::BIGINT AS topical FROM (SELECT count(DISTINCT x) AS n FROM (SELECT unnest(list_filter([lang, CASE WHEN n_chars > 1000 THEN 'long' END, source], lambda x: x IS NOT NULL)) AS x FROM documents))")
 def question_bank(t):
     """As many probes as topics, then chunks in order; here counted, tests hold the choice itself."""
     topics = F.array_compact(F.array("lang", F.when(F.col("n_chars") > 1000, "long"), "source"))
-    c = t("documents").where("doc_id % 4 = 1").select("doc_id", topics.alias("topics"), "text")
+    c = t("documents").select("doc_id", topics.alias("topics"), "text")
     out = G.question_bank(c, "doc_id", "topics", "text", ("cloze", "qa", "order", "odd"))
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("chunks"), F.count_if(F.col("topic") != "any").alias("topical"))
 

@@ -13,14 +13,14 @@ P = {"unsafe": "password=|AKIA", "safe": "the|und|los", "overclaim": "worthless|
 BANNED = ["password", "license", "AKI"]
 SYSTEMS = ["base", "prompted", "tuned"]
 
-_ROWS = "(SELECT d.doc_id, left(d.text, 400) AS text, lang, source, quality, toxic, ['base', 'prompted', 'tuned'][(d.doc_id % 3 + 1)::INT] AS system, CASE WHEN toxic = 1 THEN 'red' WHEN quality = 0 THEN 'yellow' ELSE 'green' END AS risk FROM documents d JOIN labels USING (doc_id))"
+_ROWS = "(SELECT d.doc_id, d.text AS text, lang, source, quality, toxic, ['base', 'prompted', 'tuned'][(d.doc_id % 3 + 1)::INT] AS system, CASE WHEN toxic = 1 THEN 'red' WHEN quality = 0 THEN 'yellow' ELSE 'green' END AS risk FROM documents d JOIN labels USING (doc_id))"
 
 
 def _rows(t):
     d = t("documents").join(t("labels"), "doc_id")
     system = F.element_at(F.array(*map(F.lit, SYSTEMS)), (F.col("doc_id") % 3 + 1).cast("int"))
     risk = F.when(F.col("toxic") == 1, "red").when(F.col("quality") == 0, "yellow").otherwise("green")
-    return d.withColumns({"text": F.substring("text", 1, 400), "system": system, "risk": risk})
+    return d.withColumns({"system": system, "risk": risk})
 
 
 def _open_sql(pattern: str, negation: str, reach: int, of: str = "rows_") -> str:

@@ -84,14 +84,14 @@ def overlap_seal(t):
     return L.overlaps(d.where("split = 'eval'"), d.where("split = 'train'"), keys)
 
 
-_NEAR_T = "left(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), 600)"
+_NEAR_T = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')"
 
 
 @query(f"""WITH c AS (SELECT lang AS block, x, min(doc_id) AS id, max(doc_id) AS last, list_sort(list(DISTINCT doc_id % 3)) AS splits, list_distinct(list_transform(range(1, greatest(length(x) - 4, 1) + 1), lambda i: substring(x, i, 5))) AS g FROM (SELECT doc_id, lang, {_NEAR_T} AS x FROM documents) GROUP BY lang, x),
 p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS k, len(a.g) AS m, len(b.g) AS n FROM c a JOIN c b ON a.block = b.block AND a.id < b.id AND len(a.g) >= 0.96 * len(b.g) AND len(b.g) >= 0.96 * len(a.g) AND NOT (len(a.splits) = 1 AND len(b.splits) = 1 AND a.splits[1] = b.splits[1]))
 SELECT 'exact' AS kind, id AS left_id, last AS right_id, 1.0::DOUBLE AS similarity FROM c WHERE len(splits) > 1 UNION ALL SELECT 'near', a, b, round(k::DOUBLE / (m + n - k), 6) FROM p WHERE k > 0.96 * (m + n - k)""")
 def doc_near_dup_pairs(t):
-    text = F.substring(T.normalize(F.col("text")), 1, 600)
+    text = T.normalize(F.col("text"))
     out = C.near_duplicate_pairs(t("documents"), "doc_id", text, F.col("lang"), F.col("doc_id") % 3)
     return out.withColumn("similarity", F.round("similarity", 6))
 
@@ -226,11 +226,11 @@ def window_frames(t):
     return t("events").select("event_id", F.round(F.sum("value").over(user.rowsBetween(-2, 0)), 4).alias("running"), F.ntile(4).over(kind).alias("quarter"), F.first("event_type").over(user).alias("first_type"))
 
 
-@query("SELECT e.event_id, max(p.event_id) AS before_id FROM events e LEFT JOIN events p ON p.event_type = e.event_type AND p.user_id = e.user_id AND p.ts < e.ts AND p.ts >= e.ts - INTERVAL 1 DAY AND e.event_id % 50 = 0 WHERE e.event_id % 50 = 0 GROUP BY e.event_id")
+@query("SELECT e.event_id, max(p.event_id) AS before_id FROM events e LEFT JOIN events p ON p.event_type = e.event_type AND p.user_id = e.user_id AND p.ts < e.ts AND p.ts >= e.ts - INTERVAL 1 DAY AND e.event_id % 20 = 0 WHERE e.event_id % 20 = 0 GROUP BY e.event_id")
 def join_interval(t):
     """A stated set of events against those of the same user and type within a day before, by equality and range."""
     e = t("events")
-    q = e.where("event_id % 50 = 0").select("event_id", "user_id", "event_type", "ts")
+    q = e.where("event_id % 20 = 0").select("event_id", "user_id", "event_type", "ts")
     p = e.select(F.col("event_id").alias("_id"), "user_id", "event_type", F.col("ts").alias("_ts"))
     near = q.join(p, ["user_id", "event_type"]).where((F.col("_ts") < F.col("ts")) & (F.col("_ts") >= F.col("ts") - F.expr("INTERVAL 1 DAY")))
     return q.select("event_id").join(near.groupBy("event_id").agg(F.max("_id").alias("before_id")), "event_id", "left")

@@ -89,9 +89,9 @@ def doc_normal_forms(t):
     return t("documents").select("doc_id", *[F.sha2(c, 256).alias(n) for n, c in forms.items()], T.first_sentence(text).alias("first_sentence"), T.last_sentence(text).alias("last_sentence"), T.capitalize(F.substring(text, 1, 20)).alias("capital"))
 
 
-@query("SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(length(x) - 4, 1) + 1), lambda i: substring(x, i, 5))))::BIGINT AS distinct5, length('  ' || x || '  ') - 2 AS n3, len(list_distinct(list_transform(range(1, length(x) + 3), lambda i: substring('  ' || x || '  ', i, 3))))::BIGINT AS distinct3 FROM (SELECT doc_id, left(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), 400) AS x FROM documents)")
+@query("SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(length(x) - 4, 1) + 1), lambda i: substring(x, i, 5))))::BIGINT AS distinct5, length('  ' || x || '  ') - 2 AS n3, len(list_distinct(list_transform(range(1, length(x) + 3), lambda i: substring('  ' || x || '  ', i, 3))))::BIGINT AS distinct3 FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS x FROM documents)")
 def doc_char_grams(t):
-    x = F.substring(T.normalize(F.col("text")), 1, 400)
+    x = T.normalize(F.col("text"))
     three = T.gram_counts(x)
     return t("documents").select("doc_id", F.size(T.char_grams(x, 5)).cast("long").alias("distinct5"), F.size(three).cast("long").alias("n3"), F.size(F.array_distinct(three)).cast("long").alias("distinct3"))
 

@@ -95,3 +95,13 @@ def test_hashed_vectors(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, None), (3, "--"), (4, "a b a b")], "id long, text string")
     out = {r.id: r.vector for r in retrieve.hashed_vectors(rows, "id", "text", 8).collect()}
     assert set(out[2]) == set(out[3]) == {0.0} and all(abs(sum(x * x for x in out[k]) - 1) < 1e-9 for k in (1, 4)) and {len(v) for v in out.values()} == {8}
+
+
+def test_character_runs_of_any_text(spark):
+    texts = ["", "a", "abcd", "abcde", "añ😀bc😀", None, "ab\ncd ef" * 3_000]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "id long, text string")
+    out = {r.id: r for r in rows.select("id", T.char_runs(F.col("text"), 5).alias("r"), T.char_grams(F.col("text"), 5).alias("g"), T.gram_counts(F.col("text")).alias("c")).collect()}
+    for k, x in enumerate(texts):
+        want = [None] if x is None else [x[i : i + 5] for i in range(max(1, len(x) - 4))]
+        padded = None if x is None else f"  {x}  "
+        assert out[k].r == want and (x is None or (sorted(out[k].g) == sorted(set(want)) and out[k].c == [padded[i : i + 3] for i in range(len(padded) - 2)]))
