@@ -26,9 +26,9 @@ def gen_profiles(t):
     return _seeds(t).select("seed_id", N.profile(F.col("cluster"), {"src1:en": "own"}, [("src1", "teens"), (":de", "german")], "plain").alias("profile"), chosen.alias("chosen"))
 
 
-@query(f"WITH {_SEEDS} SELECT seed_id || '_' || v || '_' || p AS row_id, species || '/' || p || '/' || v AS note FROM seeds, range(3) r(v), (SELECT unnest(['ask', 'tell', 'photo']) AS p) WHERE doc_id < 300")
+@query(f"WITH {_SEEDS} SELECT seed_id || '_' || v || '_' || p AS row_id, species || '/' || p || '/' || v AS note FROM seeds, range(3) r(v), (SELECT unnest(['ask', 'tell', 'photo']) AS p)")
 def gen_expansion(t):
-    out = N.expanded(_seeds(t).where("doc_id < 300").select("seed_id", "species"), "seed_id", 3, ["ask", "tell", "photo"])
+    out = N.expanded(_seeds(t).select("seed_id", "species"), "seed_id", 3, ["ask", "tell", "photo"])
     return out.select("row_id", W.rendered("{species}/{template}/{variant}", species=F.col("species"), template=F.col("template"), variant=F.col("variant")).alias("note"))
 
 
@@ -52,11 +52,11 @@ def gate_shares(t):
     return N.share_gates(_seeds(t), "shares", "bucket", "risk", least={"fr": 0.15, "xx": 0.1})
 
 
-@query("WITH a AS (SELECT ['source', 'safety', 'language', 'other'][(doc_id % 4 + 1)::INT] AS role, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'now' END AS checksum, CASE WHEN doc_id % 5 > 0 THEN 'x' END AS approver, CASE WHEN doc_id % 7 > 0 THEN '2024-05-01T10:00:00Z' ELSE 'May' END AS stamp, CASE WHEN doc_id % 2 > 0 THEN quality = 1 END AS approved FROM labels WHERE doc_id < 200) SELECT 'approvals' AS gate, role AS entity_id, unnest(list_filter([CASE WHEN approved IS DISTINCT FROM true THEN 'not_approved' END, CASE WHEN approver IS NULL THEN 'unnamed' END, CASE WHEN checksum <> 'now' THEN 'stale_checksum' END, CASE WHEN stamp = 'May' THEN 'bad_time' END], lambda x: x IS NOT NULL)) AS code, '' AS detail FROM a UNION ALL SELECT 'approvals', 'eval', 'missing_approval', ''")
+@query("WITH a AS (SELECT ['source', 'safety', 'language', 'other'][(doc_id % 4 + 1)::INT] AS role, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'now' END AS checksum, CASE WHEN doc_id % 5 > 0 THEN 'x' END AS approver, CASE WHEN doc_id % 7 > 0 THEN '2024-05-01T10:00:00Z' ELSE 'May' END AS stamp, CASE WHEN doc_id % 2 > 0 THEN quality = 1 END AS approved FROM labels) SELECT 'approvals' AS gate, role AS entity_id, unnest(list_filter([CASE WHEN approved IS DISTINCT FROM true THEN 'not_approved' END, CASE WHEN approver IS NULL THEN 'unnamed' END, CASE WHEN checksum <> 'now' THEN 'stale_checksum' END, CASE WHEN stamp = 'May' THEN 'bad_time' END], lambda x: x IS NOT NULL)) AS code, '' AS detail FROM a UNION ALL SELECT 'approvals', 'eval', 'missing_approval', ''")
 def gate_approvals(t):
     m = F.col("doc_id")
     role = F.element_at(F.array(*map(F.lit, ("source", "safety", "language", "other"))), (m % 4 + 1).cast("int"))
-    given = t("labels").where("doc_id < 200").select(role.alias("role"), F.when(m % 3 == 0, "old").otherwise("now").alias("checksum"), F.when(m % 5 > 0, "x").alias("approver"), F.when(m % 7 > 0, "2024-05-01T10:00:00Z").otherwise("May").alias("at"), F.when(m % 2 > 0, F.col("quality") == 1).alias("approved"))
+    given = t("labels").select(role.alias("role"), F.when(m % 3 == 0, "old").otherwise("now").alias("checksum"), F.when(m % 5 > 0, "x").alias("approver"), F.when(m % 7 > 0, "2024-05-01T10:00:00Z").otherwise("May").alias("at"), F.when(m % 2 > 0, F.col("quality") == 1).alias("approved"))
     return N.approvals(given, "approvals", ("source", "safety", "language", "eval"), F.lit("now"))
 
 
