@@ -103,10 +103,10 @@ def decode_bytes(data: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(data), F.when(fits, wide), F.decode(data, "ISO-8859-1"))
 
 
-def extract_text(decoded: Column, kind: Column, path: Column) -> Column:
-    """HTML by its type, suffix or an <html in its first 500 characters is taken as text, everything else is as it is."""
+def extract_text(decoded: Column, kind: Column, path: Column, ended: bool = False) -> Column:
+    """HTML by its type, suffix or an <html in its first 500 characters is taken as text, everything else is as it is; `ended` as in unescape."""
     page = F.contains(kind, F.lit("html")) | F.lower(path).rlike(r"\.html?$") | F.contains(F.lower(F.substring(decoded, 1, 500)), F.lit("<html"))
-    return F.when(page, T.html_to_text(decoded)).otherwise(decoded)
+    return F.when(page, T.html_to_text(decoded, ended)).otherwise(decoded)
 
 
 def save_vectors(df: DataFrame, path: str, key: str, vector: str) -> None:
