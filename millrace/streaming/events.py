@@ -35,9 +35,9 @@ def session_counts(stream: DataFrame, at: str, key: str, gap: str, late: str) ->
     return timed.groupBy(s.alias("s"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("s.start").cast("timestamp_ntz").alias("start"), F.col("s.end").cast("timestamp_ntz").alias("end"), key, "n")
 
 
-def arrivals_once(stream: DataFrame, at: str, content: Column, late: str) -> DataFrame:
-    """Rows whose content hasn't come within the watermark; the state forgets older ones."""
-    return stream.withColumn("content_hash", F.sha2(content, 256)).withWatermark(at, late).dropDuplicatesWithinWatermark(["content_hash"])
+def arrivals_once(stream: DataFrame, at: str, content: Column, late: str, *per: str) -> DataFrame:
+    """Rows whose content, with the values of `per` if any, hasn't come within the watermark; the state forgets older ones."""
+    return stream.withColumn("content_hash", F.sha2(content, 256)).withWatermark(at, late).dropDuplicatesWithinWatermark(["content_hash", *per])
 
 
 def run_available(stream: DataFrame, label: str, mode: str, each: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
