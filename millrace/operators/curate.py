@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import sets as S
 from millrace.functions import text as T
 from millrace.sources.shared import written
 
@@ -159,34 +160,50 @@ def chunked(df: DataFrame, key: str, text: str, size: int = 750, overlap: int =
     return out.select(key, F.col("chunk").cast("long").alias("chunk"), F.col("c.start").cast("long").alias("start"), F.size("c.words").cast("long").alias("n_words"), F.sha2(body, 256).alias("content_hash"), body.alias("text"))
 
 
+#: Grams of the texts, and pairs, that are confirmed at a time; a larger group of candidates is cut into blocks of its texts by themselves.
+GROUP_GRAMS, GROUP_PAIRS = 2_000_000, 20_000
+
+
 def near_duplicate_pairs(df: DataFrame, key: str, text: Column, block: Column, split: Column, threshold: float = 0.96, n: int = 5) -> DataFrame:
     """(kind, left_id, right_id, similarity): texts of one block that stand in several splits, exactly or with a Jaccard similarity of their
     character n-grams over the threshold.
 
     Equal texts are one class, which its smallest id stands for: one row per class that stands in two splits (kind exact, right_id its
-    largest id), one per pair of classes that are near and not all of one split (kind near). Candidates share one of the
-    rarest grams of both, as sets that are so alike must; they are confirmed on the whole sets.
+    largest id), one per pair of classes that are near and not all of one split (kind near). Candidates share a signature, as sets
+    that are so alike must, so no pair is lost; they are confirmed on the whole sets. Sets aren't kept: signatures take a twelfth of
+    them, and a candidate's set is made again from its text, once in each group of candidates that it is in.
     """
-    rows = df.select(F.col(key).alias("id"), text.alias("t"), block.alias("block"), split.alias("split"))
-    classes = rows.groupBy("block", F.sha2("t", 256).alias("h")).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.array_sort(F.collect_set("split")).alias("splits"), F.any_value("t").alias("t"))
+    rows = df.select(F.col(key).alias("id"), text.alias("t"), block.alias("block"), split.alias("split")).withColumn("h", F.unhex(F.sha2("t", 256)))
+    sign = F.pandas_udf(S.signed(n, threshold), "m int, own array<long>, next array<long>")
+    # the larger half of the work is done where the texts stand; they don't travel
+    signed = rows.select("id", "block", "h", "split", sign("t").alias("s"))
+    classes = signed.groupBy("block", "h").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.array_sort(F.collect_set("split")).alias("splits"), F.first("s").alias("s"))
     # once written, the numbers are fixed
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     exact = classes.where(F.size("splits") > 1).select(F.lit("exact").alias("kind"), F.col("id").alias("left_id"), F.col("last").alias("right_id"), F.lit(1.0).alias("similarity"))
-    # a gram is 64 bits of block and text, so that grams of different blocks don't meet
-    sets = written(classes.select("node", "id", "splits", F.transform(T.char_grams(F.col("t"), n), lambda x: F.xxhash64("block", x)).alias("g")), "near-grams")
-    grams = sets.select("node", F.explode("g").alias("gram"))
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    prefix = grams.join(often, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("r"))
-    # the grams that only one text has come first in the order, but can't be shared: of a set of m grams the first m - ceil(t * m) + 1 count
-    prefix = prefix.join(sets.select("node", F.size("g").alias("m")), "node").withColumn("keep", F.col("m") - F.ceil(F.col("m") * threshold) + 1 - (F.col("m") - F.size("r")))
-    prefix = written(prefix.where("keep > 0").select("node", F.explode(F.transform(F.slice("r", 1, F.col("keep").cast("int")), lambda x: x["gram"])).alias("gram")), "near-prefix")
-    pairs = prefix.select("gram", F.col("node").alias("a")).join(prefix.select("gram", F.col("node").alias("b")), "gram").where("a < b").select("a", "b").distinct()
-    # pairs are small rows that take long to confirm, so they keep all the partitions there are
-    pairs = written(pairs, "near-pairs").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"), F.col("splits").alias(f"{c}_s"), F.col("g").alias(f"{c}_g"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # the lowest bit of a code: 1 as a member of the next interval, where those of its own interval aren't sought again
+    coded = lambda items, bit: F.transform(items, lambda x: F.struct(F.xxhash64("block", x).alias("k"), (F.col("node") * 2 + bit).alias("c")))
+    held = classes.where("block is not null").select(F.explode(F.concat(coded(F.col("s.own"), 0), coded(F.col("s.next"), 1))).alias("x")).select("x.k", "x.c")
+    half = lambda c: F.shiftright(c, 1)
+    met = held.select("k", F.col("c").alias("ca")).join(held.select("k", F.col("c").alias("cb")), "k").where((half("ca") < half("cb")) & (F.col("ca").bitwiseAND(F.col("cb")).bitwiseAND(F.lit(1)) == 0))
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"), F.col("block").alias(f"{c}_block"), F.col("splits").alias(f"{c}_s"))
     apart = ~((F.size("a_s") == 1) & (F.size("b_s") == 1) & (F.col("a_s") == F.col("b_s")))
-    alike = F.least(F.size("a_g"), F.size("b_g")) >= F.greatest(F.size("a_g"), F.size("b_g")) * threshold
-    both = both.where(apart & alike).withColumn("similarity", T.jaccard(F.col("a_g"), F.col("b_g"))).where(F.col("similarity") > threshold)
-    near = both.select(F.lit("near").alias("kind"), F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"), "similarity")
+    pairs = met.select(half("ca").alias("a"), half("cb").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    pairs = written(pairs.where((F.col("a_block") == F.col("b_block")) & (F.col("a_id") != F.col("b_id")) & apart).select("a", "b", "a_id", "b_id"), "near-pairs")
+    # pairs of one neighbourhood are one group, so that a text goes where its pairs are, not along with each
+    first = pairs.groupBy("b").agg(F.min("a").alias("_first"))
+    led = pairs.join(first.withColumnRenamed("b", "a"), "a", "left").withColumn("group", F.coalesce("_first", "a")).select("group", "a", "b")
+    within = led.select("group", F.col("a").alias("node")).unionByName(led.select("group", F.col("b").alias("node"))).distinct()
+    weight = within.join(classes.select("node", "s.m"), "node").groupBy("group").agg(F.sum("m").alias("m"))
+    cuts = led.groupBy("group").agg(F.count(F.lit(1)).alias("n")).join(weight, "group").select("group", F.greatest(F.ceil(F.col("m") / GROUP_GRAMS), F.ceil(F.sqrt(F.col("n") / GROUP_PAIRS))).cast("int").alias("cuts"))
+    cell = lambda c: F.pmod(F.xxhash64(c), F.col("cuts")).cast("int")
+    led = written(led.join(cuts, "group").select("group", cell("a").alias("ga"), cell("b").alias("gb"), "a", "b"), "near-groups")
+    place = ["group", "ga", "gb"]
+    members = led.select(*place, F.col("a").alias("node")).unionByName(led.select(*place, F.col("b").alias("node"))).distinct()
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("id", "h", "node")
+    few = wanted.limit(200_001).count() <= 200_000
+    texts = rows.select("id", "h", "t").join(F.broadcast(wanted) if few else wanted, ["id", "h"]).select("node", "t")
+    texts = members.join(texts, "node").select(*[F.col(c).alias(f"_{c}") for c in place], "node", "t")
+    both = led.groupBy(*place).cogroup(texts.groupBy(*[f"_{c}" for c in place])).applyInPandas(S.confirmed(n, threshold), "a long, b long, similarity double")
+    near = pairs.join(both, ["a", "b"]).select(F.lit("near").alias("kind"), F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"), "similarity")
     return exact.unionByName(near)
