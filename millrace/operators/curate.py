@@ -196,8 +196,11 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: Column, block: Column, s
     within = led.select("group", F.col("a").alias("node")).unionByName(led.select("group", F.col("b").alias("node"))).distinct()
     weight = within.join(classes.select("node", "s.m"), "node").groupBy("group").agg(F.sum("m").alias("m"))
     cuts = led.groupBy("group").agg(F.count(F.lit(1)).alias("n")).join(weight, "group").select("group", F.greatest(F.ceil(F.col("m") / GROUP_GRAMS), F.ceil(F.sqrt(F.col("n") / GROUP_PAIRS))).cast("int").alias("cuts"))
-    cell = lambda c: F.pmod(F.xxhash64(c), F.col("cuts")).cast("int")
-    led = written(led.join(cuts, "group").select("group", cell("a").alias("ga"), cell("b").alias("gb"), "a", "b"), "near-groups")
+    # groups to cut are few, so their many pairs needn't meet in one task for it
+    cuts = written(cuts.where("cuts > 1"), "near-cuts")
+    cuts = F.broadcast(cuts) if cuts.limit(200_001).count() <= 200_000 else cuts
+    cell = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.col("cuts")), F.lit(0)).cast("int")
+    led = written(led.join(cuts, "group", "left").select("group", cell("a").alias("ga"), cell("b").alias("gb"), "a", "b"), "near-groups")
     place = ["group", "ga", "gb"]
     members = led.select(*place, F.col("a").alias("node")).unionByName(led.select(*place, F.col("b").alias("node"))).distinct()
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("id", "h", "node")
