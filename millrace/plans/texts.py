@@ -111,8 +111,9 @@ _JOINED = r"array_to_string(list_filter(list_transform(string_split(regexp_repla
 @query(rf"""WITH j AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({_JOINED}, '([.!?।])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '') AS s FROM documents)
 SELECT doc_id, sha256(array_to_string(list_filter(s, lambda x: NOT regexp_matches(x, 'password|!!')), ' ')) AS clean, len(list_filter(s, lambda x: regexp_matches(x, 'password|!!')))::BIGINT AS removed FROM j""")
 def doc_clean_text(t):
-    c = T.clean_text(F.col("text"), "^(?:All rights reserved|Licensed under)", "password|!!")
-    return t("documents").select("doc_id", c.alias("c")).select("doc_id", F.sha2("c.clean", 256).alias("clean"), F.size("c.removed").cast("long").alias("removed"))
+    text = F.col("text")
+    c = F.when(text.isNotNull(), T.clean_text(F.translate(text, "\r", ""), "^(?:All rights reserved|Licensed under)", "password|!!"))
+    return t("documents").select("doc_id", c.alias("c")).select("doc_id", F.sha2("c.clean", 256).alias("clean"), F.array_size("c.removed").cast("long").alias("removed"))
 
 
 @query(r"SELECT doc_id, (len(p) - len(list_distinct(p)))::BIGINT AS repeated FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?\n]+'), lambda x: lower(trim(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), ' '))), lambda x: x <> '') AS p FROM documents)")
