@@ -17,19 +17,20 @@ list_filter([lang, CASE WHEN n_chars > 1000 THEN 'long' END, CASE WHEN d.doc_id
 
 
 def _seeds(t):
-    d = t("documents").join(t("labels"), "doc_id")
+    text = F.col("text")  # what is cut from a text is cut before the join, which then moves texts only where they are asked for
+    d = t("documents").withColumns({"opening": T.first_sentence(text), "closing": T.last_sentence(text)}).join(t("labels"), "doc_id")
     m = F.col("doc_id")
     return d.select(
         "doc_id", F.concat(F.lit("s"), "doc_id").alias("seed_id"), "text",
         F.when(m % 7 == 0, "dev_seed").when(m % 7 == 1, "final_eval_seed").otherwise("train_seed").alias("split"),
         F.when(F.col("toxic") == 1, "red").when(F.col("quality") == 0, "yellow").otherwise("green").alias("risk"),
-        F.col("lang").alias("bucket"), F.element_at(F.array(*map(F.lit, ("cow", "buffalo", "ox", "calf"))), (m % 4 + 1).cast("int")).alias("species"),
+        F.col("lang").alias("bucket"), F.when(m % 4 != -1, F.element_at(F.array(*map(F.lit, ("cow", "buffalo", "ox", "calf"))), (m % 4 + 1).cast("int"))).alias("species"),
         F.when(F.col("lang") == "en", "english").otherwise("hinglish").alias("style"),
         F.array_compact(F.array("lang", F.when(F.col("n_chars") > 1000, "long"), F.when(m % 5 == 0, "odd"))).alias("tags"),
         F.col("source").alias("family"), F.concat_ws(":", "source", "lang").alias("cluster"),
         F.when(F.col("n_chars") < 300, "short").when(F.col("n_chars") < 2000, "medium").otherwise("long").alias("shape"),
         F.lower("text").alias("prompt"), F.array("source", F.concat(F.lit("src"), m % 25)).alias("claim_ids"),
-        T.first_sentence(F.col("text")).alias("opening"), T.last_sentence(F.col("text")).alias("closing"),
+        "opening", "closing",
     )
 
 

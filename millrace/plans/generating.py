@@ -35,7 +35,8 @@ def gen_expansion(t):
 @query(f"WITH {_SEEDS} SELECT seed_id, array_to_string(list_filter(['step', CASE WHEN risk <> 'green' THEN 'red_flag' END, CASE WHEN style = 'english' THEN 'boundary' END], lambda x: x IS NOT NULL), '>') AS structure, array_to_string(list_filter([opening, CASE WHEN risk <> 'green' THEN 'Watch ' || species || '.' END, CASE WHEN style = 'english' THEN 'Do not guess.' END], lambda x: x IS NOT NULL), chr(10)) AS text FROM seeds WHERE opening <> ''")
 def gen_answers(t):
     s = _seeds(t).where("opening <> ''")
-    a = N.answer([("step", F.lit(True), F.col("opening")), ("red_flag", F.col("risk") != "green", W.rendered("Watch {species}.", species=F.col("species"))), ("boundary", F.col("style") == "english", F.lit("Do not guess."))])
+    watch = F.when(F.col("species").isNotNull(), W.rendered("Watch {species}.", species=F.col("species")))
+    a = N.answer([("step", F.lit(True), F.col("opening")), ("red_flag", F.col("risk") != "green", watch), ("boundary", F.col("style") == "english", F.lit("Do not guess."))])
     return s.select("seed_id", a.alias("a")).select("seed_id", "a.structure", "a.text")
 
 
