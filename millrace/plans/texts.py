@@ -77,9 +77,10 @@ def doc_outside_section(t):
 
 @query(f"SELECT doc_id, len(list_filter(s, lambda x: length(x) BETWEEN 30 AND 120 AND regexp_matches(x, '[.!]$') AND NOT regexp_matches(x, 'password')))::BIGINT AS usable, regexp_matches(text, '[ऀ-ॿ]') AS devanagari, lang IN ('en', 'de') AS known, quality IS DISTINCT FROM 1 AS not_good FROM (SELECT *, {_SENTENCES} AS s FROM documents LEFT JOIN labels USING (doc_id))")
 def doc_shape_predicates(t):
-    d = t("documents").join(t("labels"), "doc_id", "left")
-    usable = F.size(F.filter(T.sentences(F.col("text")), lambda s: P.usable_sentence(s, "password", 30, 120))).cast("long")
-    return d.select("doc_id", usable.alias("usable"), P.devanagari(F.col("text")).alias("devanagari"), F.col("lang").isin("en", "de").alias("known"), P.not_true(F.col("quality") == 1).alias("not_good"))
+    text = F.col("text")
+    usable = F.size(F.filter(T.sentences(text), lambda s: P.usable_sentence(s, "password", 30, 120))).cast("long")
+    d = t("documents").select("doc_id", usable.alias("usable"), P.devanagari(text).alias("devanagari"), F.col("lang").isin("en", "de").alias("known"))
+    return d.join(t("labels"), "doc_id", "left").select(*d.columns, P.not_true(F.col("quality") == 1).alias("not_good"))
 
 
 @query(rf"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) AS plain, sha256(array_to_string(regexp_extract_all(lower(text), '[a-z0-9ऀ-ॿ]+'), ' ')) AS wide, sha256(trim(regexp_replace(regexp_replace(lower(text), 'the|und|los', '{{word}}', 'g'), '[ \t\n\r\f]+', ' ', 'g'), ' ')) AS placed, coalesce({_SENTENCES}[1], '') AS first_sentence, coalesce({_SENTENCES}[-1], '') AS last_sentence, upper(left(text, 1)) || lower(substring(text, 2, 19)) AS capital FROM documents")
