@@ -212,15 +212,42 @@ def merged_spans(starts: pd.Series, ends: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def shards(batches: Iterator[pd.Series]) -> Iterator[list[str | None]]:
+    for batch in batches:
+        for lo in range(0, len(batch), SHARD_ROWS):
+            yield list(batch[lo : lo + SHARD_ROWS])
+
+
 def searcher(held):
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), SHARD_ROWS):
-                yield leaks(list(batch[lo : lo + SHARD_ROWS]), held.value)
+        for texts in shards(batches):
+            yield leaks(texts, held.value)
 
     return F.pandas_udf(search, LEAK)
 
 
+def cutter(held):
+    """Search and cut in one worker: two functions in a row would hold two workers a task. Null where a text stays as it is."""
+
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in shards(batches):
+            found = leaks(texts, held.value)
+            yield pd.Series([cut_spans(t, s, e) if len(s) else None for t, s, e in zip(texts, found["starts"], found["ends"], strict=True)], dtype=object)
+
+    return F.pandas_udf(cut, "string")
+
+
+def blocks_of(benchmark: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, int]:
+    """The items as (i, t) and the number of blocks that they are searched in."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    return items, -(-total // ITEM_BYTES) or 1
+
+
+def held_phrases(items: DataFrame, window: int):
+    return items.sparkSession.sparkContext.broadcast(Phrases([tuple(r) for r in items.collect()], window))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Add `leak`: struct<n_words, starts, ends, items> of each document; starts and ends are the merged word spans to remove.
 
@@ -229,22 +256,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     shuffled. A benchmark of more than ITEM_BYTES is searched in blocks, each a pass over the documents that writes the spans it finds,
     and the documents are joined with those once. A column `leak` of the input is replaced.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     name = Names(docs)
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = -(-total // ITEM_BYTES) or 1
+    items, blocks = blocks_of(benchmark, item_id, item_text)
     out = docs.drop("leak")
     if blocks == 1:
-        search = searcher(spark.sparkContext.broadcast(Phrases([tuple(r) for r in items.collect()], window)))
-        return out.withColumn("leak", search(F.col(text)))
+        return out.withColumn("leak", searcher(held_phrases(items, window))(F.col(text)))
     # a pass per block leaves spans by text, not the texts, and these are merged by text in the end
     key = F.struct(F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.col(text), F.lit(1)).alias("b"))
     parts = None
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        search = searcher(spark.sparkContext.broadcast(Phrases([tuple(r) for r in own.collect()], window))).asNondeterministic()
+        search = searcher(held_phrases(own, window)).asNondeterministic()
         found = docs.where(F.col(text).isNotNull()).select(key.alias("key"), search(F.col(text)).alias("leak"))
         found = scratch(found.where(F.size("leak.starts") > 0).dropDuplicates(["key"]), f"leaks{k}")
         parts = found if parts is None else parts.unionByName(found)
@@ -287,8 +310,13 @@ def removed(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
     return pd.Series([cut_spans(t, s, e) for t, s, e in zip(text, starts, ends, strict=True)])
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents with the words of every occurrence removed from the text; documents without one are as they were."""
-    found = find_leaks(docs, benchmark, text, **options)
+    items, blocks = blocks_of(benchmark, item_id, item_text)
+    if blocks == 1:
+        bounded_batches(docs.sparkSession)
+        cut = cutter(held_phrases(items, window))
+        return docs.drop("leak").withColumn(text, F.coalesce(cut(F.col(text)), F.col(text)))
+    found = find_leaks(docs, benchmark, text, item_id, item_text, window)
     cut = F.when(F.size("leak.starts") > 0, F.pandas_udf(removed, "string")(F.col(text), F.col("leak.starts"), F.col("leak.ends"))).otherwise(F.col(text))
     return found.withColumn(text, cut).drop("leak")
